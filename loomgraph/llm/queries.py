@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, quality, url_filter
+from loomgraph.llm import mixing, packing, quality, token_fst, url_filter
+from loomgraph.llm.common import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,23 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def byte_level_file() -> str:
+    """Where the byte-level vocabulary lies; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenized(table(spark, sf_dir, "documents"), byte_level_file())
+    pieces = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_fst.token_counts(table(spark, sf_dir, "documents"), byte_level_file())
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.url_verdicts(pages, url_filter.tracked_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
@@ -30,6 +48,8 @@ def queries() -> dict:
     return {
         "op1_quality": op1_quality,
         "op2_mixing": op2_mixing,
+        "op4_packing": op4_packing,
+        "op7_token_counts": op7_token_counts,
         "op9_url_filter": op9_url_filter,
     }
 

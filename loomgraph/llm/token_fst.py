@@ -25,18 +25,24 @@ of a text are the sums over its pieces.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.session import ship
+
 #: Bytes a chunk.
 CHUNK = 64
+#: Pieces a Python worker remembers.
+KNOWN = 400_000
 #: Bytes of text handled at once in a Python worker.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 8_000_000
 
 # Symbols of the boundary transducer. LETTER to OTHER are Unicode classes; lower-case letters of the contractions
 # 's 't 're 've 'm 'll 'd are symbols of their own.
@@ -146,13 +152,13 @@ class BoundaryTransducer:
         maps = np.broadcast_to(base, (rows, STATES))
         for k in range(0, CHUNK, 2):
             at = (lanes[k].astype(np.uint16) * SYMBOLS + lanes[k + 1]) * STATES
-            maps = flat[at[:, None] + maps]
+            maps = flat.take(at[:, None] + maps)
         state = prefix_scan(maps)[:, FRESH].astype(np.uint16)
         to, marks, out = self.to.ravel(), self.marks.ravel(), np.empty((CHUNK, rows), np.uint8)
         for k in range(CHUNK):
             at = lanes[k] * np.uint16(STATES) + state
-            out[k] = marks[at]
-            state = to[at].astype(np.uint16)
+            marks.take(at, out=out[k], mode="clip")
+            state = to.take(at).astype(np.uint16)
         mark = np.ascontiguousarray(out.T).ravel()[:n]
         here = (mark & HERE).view(bool)
         back = np.flatnonzero(mark & BEFORE)
@@ -277,7 +283,8 @@ class MergeTransducer:
             self._clear()
         return n
 
-    def tokens(self, piece: bytes) -> list[int]:
+    def tokens(self, piece: bytes) -> bytes:
+        """The ids as unsigned 32-bit integers."""
         state, ends = 0, []
         go = self.go
         for b in piece:
@@ -290,7 +297,7 @@ class MergeTransducer:
             at -= self.length[out[-1]]
         if len(self.keys) > self.max_states:
             self._clear()
-        return out[::-1]
+        return array("I", out[::-1]).tobytes()
 
 
 def _byte_letters() -> dict[str, int]:
@@ -339,6 +346,25 @@ class ByteLevelMachine:
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self.boundaries = BoundaryTransducer(code_point_symbols(Tokenizer.from_file(path)))
         self.merger = MergeTransducer(vocab, merges)
+        self.known: tuple[dict, dict] = self._fixed(self.merger.count), self._fixed(self.merger.tokens)
+
+    def _of_all(self, pieces: list[bytes], known: dict, run: Callable[[bytes], Any]) -> list:
+        """run of each piece; short ones are remembered, up to KNOWN of them."""
+        if len(known) > KNOWN:
+            known.clear()
+            known.update(self._fixed(run))
+        out = list(map(known.get, pieces))
+        for i, x in enumerate(out):
+            if x is None:
+                out[i] = x = run(pieces[i])
+                if len(pieces[i]) <= 24:
+                    known[pieces[i]] = x
+        return out
+
+    def _fixed(self, run: Callable[[bytes], Any]) -> dict:
+        """END and SPECIAL are no text."""
+        special = next(iter(self.special.values()), 0)
+        return {b"\xff": 0, b"\xfe": 1} if run == self.merger.count else {b"\xff": b"", b"\xfe": np.uint32(special).tobytes()}
 
     def pieces(self, texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
         """Dictionary-encoded pieces of the texts, END and SPECIAL as pieces of their own,
@@ -357,19 +383,16 @@ class ByteLevelMachine:
     def counts(self, texts: list[bytes]) -> np.ndarray:
         """Tokens of each text."""
         coded, ends = self.pieces(texts)
-        count = self.merger.count
-        own = np.array([0 if p == b"\xff" else 1 if p == b"\xfe" else count(p) for p in coded.dictionary.to_pylist()], np.int64)
+        own = np.array(self._of_all(coded.dictionary.to_pylist(), self.known[0], self.merger.count), np.int64)
         total = np.cumsum(own[coded.indices.to_numpy()])
         return np.diff(total[ends], prepend=0)
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Token ids of each text."""
         coded, ends = self.pieces(texts)
-        special = next(iter(self.special.values()), 0)
-        tokens = self.merger.tokens
-        own = [[] if p == b"\xff" else [special] if p == b"\xfe" else tokens(p) for p in coded.dictionary.to_pylist()]
-        lengths = np.array([len(x) for x in own], np.int64)
-        flat = np.fromiter((t for x in own for t in x), np.uint32, int(lengths.sum()))
+        own = self._of_all(coded.dictionary.to_pylist(), self.known[1], self.merger.tokens)
+        lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), np.uint32)
         begin = np.cumsum(lengths) - lengths
         at = coded.indices.to_numpy()
         n = lengths[at]
@@ -417,5 +440,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
