@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, packing, quality, token_fst, url_filter
+from loomgraph.llm import mixing, packing, quality, token_fst, url_filter, warc
 from loomgraph.llm.common import written
 
 
@@ -22,6 +22,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def byte_level_file() -> str:
     """Where the byte-level vocabulary lies; the same on every machine."""
     import public_tokenizers
@@ -48,6 +53,7 @@ def queries() -> dict:
     return {
         "op1_quality": op1_quality,
         "op2_mixing": op2_mixing,
+        "op3_warc": op3_warc,
         "op4_packing": op4_packing,
         "op7_token_counts": op7_token_counts,
         "op9_url_filter": op9_url_filter,
