@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, packing, quality, token_fst, url_filter, warc
+from loomgraph.llm import mixing, packing, pii, quality, token_fst, url_filter, warc
 from loomgraph.llm.common import written
 
 
@@ -49,6 +49,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(pages, url_filter.tracked_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pii_spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
@@ -57,6 +62,7 @@ def queries() -> dict:
         "op4_packing": op4_packing,
         "op7_token_counts": op7_token_counts,
         "op9_url_filter": op9_url_filter,
+        "op10_pii": op10_pii,
     }
 
 
