@@ -81,7 +81,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 _DIGIT = re.compile("[0-9]")
-_NUMBERS = re.compile(r"(?<![\w+.-])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,24}(?![\w])")
+_NUMBERS = re.compile(r"(?<![\w+.-])(?:\+[0-9]{1,3} ?)?\(?[0-9](?:[ ().-]{0,2}[0-9]){6,23}(?![\w])")
+_GROUP = re.compile(r"(?<![\w+.-])[0-9]{13,19}(?![\w])")
 _AROUND_AT = re.compile(r"(?<![\w.])[A-Za-z0-9][\w.+-]{0,40} ?[(\[] ?at ?[)\]] ?[\w-]{1,40}(?: ?[(\[] ?dot ?[)\]] ?[\w-]{1,20}|\.[\w-]{1,20}){1,4}", re.I)
 _ASSIGNED = re.compile(r"(?<![\w])([A-Za-z_-]{2,24})[ ]?[=:][ ]?[\"']?([^\s\"',;]{6,128})")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,200}={0,2}(?![A-Za-z0-9_+/=-])")
@@ -98,6 +99,7 @@ def candidates(text: str) -> list[Span]:
                 out.append(("phone", *m.span()))
             if 13 <= n <= 19:
                 out.append(("card", *m.span()))
+        out += [("card", *m.span()) for m in _GROUP.finditer(text)]
     if "(" in text or "[" in text:
         out += [("email", *m.span()) for m in _AROUND_AT.finditer(text)]
     if "=" in text or ":" in text:
@@ -109,21 +111,21 @@ def candidates(text: str) -> list[Span]:
 
 #: Words near a span that speak for a kind.
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
-    "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "contact"),
-    "secret": ("password", "passwd", "pwd", "secret", "token", "key", "credential"),
+    "email": {"mail", "email", "contact", "write"},
+    "card": {"card", "visa", "credit", "payment", "paid"},
+    "phone": {"phone", "tel", "call", "mobile", "fax", "contact"},
+    "secret": {"password", "passwd", "pwd", "secret", "token", "key", "apikey", "credential"},
 }
 #: Words near a span that speak against personal data.
-AGAINST = ("order", "invoice", "version", "page", "isbn", "serial", "commit", "sha", "md5", "checksum", "part no", "article", "build", "hash")
+AGAINST = {"order", "invoice", "version", "page", "isbn", "serial", "commit", "sha", "md5", "checksum", "part", "article", "build", "hash"}
 
 
 def features(text: str, span: Span) -> list[float]:
     """Format and context of a candidate."""
     kind, start, end = span
     s = text[start:end]
-    before, after = text[max(0, start - 32) : start].lower(), text[end : end + 16].lower()
-    digits = _digits(s)
+    before = text[max(0, start - 32) : start].lower()
+    digits, words = _digits(s), set(re.findall("[a-z0-9]+", before))
     groups = [len(g) for g in re.split(r"[^0-9]+", s) if g]
     counts = [s.count(c) for c in set(s)]
     entropy = -sum(c / len(s) * math.log2(c / len(s)) for c in counts)
@@ -132,7 +134,7 @@ def features(text: str, span: Span) -> list[float]:
     return [
         float(KINDS.index(kind)), float(len(s)), float(len(digits)), len(digits) / len(s), float(upper), float(lower), float(len(groups)), float(max(groups, default=0)), float(min(groups, default=0)),
         float(s.count(" ")), float(s.count("-")), float(s.count(".")), float(s.count("(")), entropy, hexa, float(bool(digits) and luhn(digits)), float(upper > 0 and lower > 0 and bool(digits)),
-        float(any(w in before for w in CONTEXT.get(kind, ()))), float(any(w in before or w in after for w in AGAINST)), float(before.rstrip(" \"'")[-1:] in ("=", ":")), float(bool(re.match(r"(AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza)", s))),
+        float(not words.isdisjoint(CONTEXT.get(kind, ()))), float(not words.isdisjoint(AGAINST)), float(before.rstrip(" \"'")[-1:] in ("=", ":")), float(bool(re.match(r"(AKIA|ASIA|ghp_|gho_|sk-|xox[bp]-|AIza)", s))),
         float(bool(re.fullmatch(r"(19|20)[0-9]{2}[-. ]?[01][0-9][-. ]?[0-3][0-9].*", s))), float(text[start - 1 : start] in ("", " ", "\n", '"', "'", "=", ":")), float("dot" in s.lower()),
     ]
 
@@ -161,10 +163,10 @@ def training_rows(rows: int = 6000, seed: int = 11) -> tuple[np.ndarray, np.ndar
             at, dot = r.choice(((" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)")))
             return r.choice(("mail: ", "contact ", "", "")), f"{word()}.{word()}{at}{word()}{dot}{r.choice(('com', 'org', 'net'))}"
         if kind == "card":
-            return r.choice(("card ", "visa: ", "credit card ", "", "paid with ")), grouped(card(r.choice((13, 15, 15))), (4, 4, 4), r.choice((" ", "-", "")))
+            return r.choice(("card ", "visa: ", "credit card ", "", "paid with ")), grouped(card(r.choice((13, 15, 16, 16, 19))), (4, 4, 4), r.choice((" ", "-", "", "")))
         if kind == "phone":
             s = digits(10)
-            return r.choice(("call ", "phone: ", "tel ", "mobile ", "", "fax ")), r.choice((f"({s[:3]}) {s[3:6]}-{s[6:]}", f"{s[:3]}-{s[3:6]}-{s[6:]}", f"{s[:3]}.{s[3:6]}.{s[6:]}", f"0{s[:3]} {s[3:6]} {s[6:]}"))
+            return r.choice(("call ", "phone: ", "tel ", "mobile ", "", "fax ")), r.choice((f"({s[:3]}) {s[3:6]}-{s[6:]}", f"+1 ({s[:3]}) {s[3:6]}-{s[6:]}", f"+{r.randint(20, 99)} {s[:3]} {s[3:6]} {s[6:]}", f"{s[:3]}-{s[3:6]}-{s[6:]}", f"{s[:3]}.{s[3:6]}.{s[6:]}", f"0{s[:3]} {s[3:6]} {s[6:]}"))
         key = r.choice(("password", "passwd", "secret", "token", "api_key", "apikey"))
         style = r.randint(0, 3)
         if style == 0:
@@ -177,7 +179,7 @@ def training_rows(rows: int = 6000, seed: int = 11) -> tuple[np.ndarray, np.ndar
         if kind == "email":
             return r.choice(("look ", "")), f"{word()} [at] {word()}.{digits(2)}"
         if kind == "card":
-            return r.choice(("order ", "invoice ", "serial ", "isbn ", "", "")), r.choice((digits(14), digits(17), f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}"))
+            return r.choice(("order ", "invoice ", "serial ", "isbn ", "", "")), r.choice((digits(14), digits(17), digits(16), f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}"))
         if kind == "phone":
             return r.choice(("order ", "version ", "page ", "on ", "", "", "part no ")), r.choice((digits(r.randint(7, 15)), f"20{digits(2)}-0{r.randint(1, 9)}-1{digits(1)} {digits(2)}", f"{digits(1)}.{digits(2)}.{digits(3)}.{digits(4)}", f"{digits(4)} {digits(4)}"))
         style = r.randint(0, 3)
