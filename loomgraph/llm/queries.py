@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, packing, pii, quality, token_fst, url_filter, warc
+from loomgraph.llm import mixing, ngram_join, packing, pii, quality, token_fst, url_filter, warc
 from loomgraph.llm.common import written
 
 
@@ -40,6 +40,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_fst.token_counts(table(spark, sf_dir, "documents"), byte_level_file())
 
@@ -60,6 +64,7 @@ def queries() -> dict:
         "op2_mixing": op2_mixing,
         "op3_warc": op3_warc,
         "op4_packing": op4_packing,
+        "op5_ngram_join": op5_ngram_join,
         "op7_token_counts": op7_token_counts,
         "op9_url_filter": op9_url_filter,
         "op10_pii": op10_pii,
