@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, ngram_join, packing, pii, quality, token_fst, url_filter, warc
+from loomgraph.llm import mixing, ngram_join, packing, pii, quality, token_fst, topk, url_filter, warc
 from loomgraph.llm.common import written
 
 
@@ -44,6 +44,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_fst.token_counts(table(spark, sf_dir, "documents"), byte_level_file())
 
@@ -65,6 +69,7 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_packing": op4_packing,
         "op5_ngram_join": op5_ngram_join,
+        "op6_topk": op6_topk,
         "op7_token_counts": op7_token_counts,
         "op9_url_filter": op9_url_filter,
         "op10_pii": op10_pii,
@@ -122,5 +127,17 @@ FROM c LEFT JOIN fit ON c.page_id = fit.page_id AND fit.k = 1 LEFT JOIN listed O
 """
 
 
+OP6_SQL = r"""
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda v: floor(1024 * v::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v::DOUBLE))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_quality": OP1_SQL, "op6_topk": OP6_SQL, "op9_url_filter": OP9_SQL}
