@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import mixing, ngram_join, packing, pii, quality, token_fst, topk, url_filter, warc
+from loomgraph.llm import lm_score, mixing, ngram_join, packing, pii, quality, token_fst, topk, url_filter, warc
 from loomgraph.llm.common import written
 
 
@@ -52,6 +52,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_fst.token_counts(table(spark, sf_dir, "documents"), byte_level_file())
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.url_verdicts(pages, url_filter.tracked_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
@@ -71,6 +75,7 @@ def queries() -> dict:
         "op5_ngram_join": op5_ngram_join,
         "op6_topk": op6_topk,
         "op7_token_counts": op7_token_counts,
+        "op8_lm_score": op8_lm_score,
         "op9_url_filter": op9_url_filter,
         "op10_pii": op10_pii,
     }
