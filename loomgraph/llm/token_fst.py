@@ -25,6 +25,7 @@ of a text are the sums over its pieces.
 from __future__ import annotations
 
 import json
+import os
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -334,6 +335,7 @@ class ByteLevelMachine:
     """Both transducers of a byte-level BPE file of the tokenizers library."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -344,27 +346,32 @@ class ByteLevelMachine:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(to_bytes, p) for p in pairs)}
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
-        self.boundaries = BoundaryTransducer(code_point_symbols(Tokenizer.from_file(path)))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.boundaries = BoundaryTransducer(code_point_symbols(self.tokenizer))
         self.merger = MergeTransducer(vocab, merges)
-        self.known: tuple[dict, dict] = self._fixed(self.merger.count), self._fixed(self.merger.tokens)
+        self.known: tuple[dict, dict] = {}, {}
 
-    def _of_all(self, pieces: list[bytes], known: dict, run: Callable[[bytes], Any]) -> list:
+    def _of_all(self, pieces: list[bytes], known: dict, run: Callable[[list[bytes]], list]) -> list:
         """run of each piece; short ones are remembered, up to KNOWN of them."""
         if len(known) > KNOWN:
             known.clear()
-            known.update(self._fixed(run))
         out = list(map(known.get, pieces))
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = x = run(pieces[i])
-                if len(pieces[i]) <= 24:
-                    known[pieces[i]] = x
+        new = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(new, run([pieces[i] for i in new]), strict=True):
+            out[i] = x
+            if len(pieces[i]) <= 24:
+                known[pieces[i]] = x
         return out
 
-    def _fixed(self, run: Callable[[bytes], Any]) -> dict:
+    def _counts_of(self, pieces: list[bytes]) -> list[int]:
         """END and SPECIAL are no text."""
-        special = next(iter(self.special.values()), 0)
-        return {b"\xff": 0, b"\xfe": 1} if run == self.merger.count else {b"\xff": b"", b"\xfe": np.uint32(special).tobytes()}
+        return [0 if p == b"\xff" else 1 if p == b"\xfe" else self.merger.count(p) for p in pieces]
+
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """By the library, which is faster than compiling states for pieces seen once."""
+        special = np.uint32(next(iter(self.special.values()), 0)).tobytes()
+        coded = iter(self.tokenizer.encode_batch_fast([p.decode() for p in pieces if p not in (b"\xff", b"\xfe")], add_special_tokens=False))
+        return [b"" if p == b"\xff" else special if p == b"\xfe" else array("I", next(coded).ids).tobytes() for p in pieces]
 
     def pieces(self, texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
         """Dictionary-encoded pieces of the texts, END and SPECIAL as pieces of their own,
@@ -383,14 +390,14 @@ class ByteLevelMachine:
     def counts(self, texts: list[bytes]) -> np.ndarray:
         """Tokens of each text."""
         coded, ends = self.pieces(texts)
-        own = np.array(self._of_all(coded.dictionary.to_pylist(), self.known[0], self.merger.count), np.int64)
+        own = np.array(self._of_all(coded.dictionary.to_pylist(), self.known[0], self._counts_of), np.int64)
         total = np.cumsum(own[coded.indices.to_numpy()])
         return np.diff(total[ends], prepend=0)
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Token ids of each text."""
         coded, ends = self.pieces(texts)
-        own = self._of_all(coded.dictionary.to_pylist(), self.known[1], self.merger.tokens)
+        own = self._of_all(coded.dictionary.to_pylist(), self.known[1], self._ids_of)
         lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
         flat = np.frombuffer(b"".join(own), np.uint32)
         begin = np.cumsum(lengths) - lengths
