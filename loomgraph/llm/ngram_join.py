@@ -305,9 +305,12 @@ def ngram_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id"
 
 
 def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """The document of each component with the smallest id, columns of docs unchanged; of
-    rows that share that id the first by text."""
+    """The document of each component with the smallest id, columns of docs unchanged. Rows
+    that share id and text become one; rows without an id stay."""
     found = ngram_components(docs, how)
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(gone, "doc_id", "left_anti")
-    return kept
+    again = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
