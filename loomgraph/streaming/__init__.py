@@ -1,0 +1,27 @@
+"""Incremental loads.
+
+The engine's loads are whole; change rows that keep arriving can be taken in by
+micro-batches.  A commit is written once however often it arrives.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+
+def append_changes(changes: DataFrame, table: str, checkpoint: str, keys: tuple[str, ...] = ("hash", "path")) -> StreamingQuery:
+    """Appends a stream of change rows to a Parquet table, without rows whose keys are there."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        new = df.dropDuplicates(list(keys))
+        try:
+            have = df.sparkSession.read.parquet(table).select(*keys)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+                raise
+        else:
+            new = new.join(have, list(keys), "left_anti")
+        new.write.mode("append").parquet(table)
+
+    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
