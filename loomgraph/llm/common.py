@@ -1,56 +1,22 @@
-"""Helpers shared by the operators: the shared folder, written tables, words."""
+"""Helpers shared by the operators: sizes, words, keys."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ASCII white space that separates words; words are runs of anything else.
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one the cluster names in spark.checkpoint.dir; only where that is
-    unset (tests, a single machine) a temporary folder takes its place.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+from loomgraph.sources.shared import drop_path, fresh_path, shared_dir, written
 
+__all__ = ["SPACE", "ascii_lower", "drop_path", "fresh_path", "shared_dir", "sized", "tagged", "words", "written"]
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
-    atexit.register(drop_path, spark, path)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a written table or archive; a session that has ended is left alone."""
-    with contextlib.suppress(Exception):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
+#: ASCII white space that separates words; words are runs of anything else.
+SPACE = r"[\x20\x09-\x0D]+"
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back.
 
-    This cuts the lineage (a lost executor costs no recomputation of what came
-    before) and gives the planner the table's true size.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df with a broadcast hint if its rows (narrow ones of a written table) are counted to be
+    `rows` at most; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def words(text: Column) -> Column:
