@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import written
+from loomgraph.llm.common import sized, written
 from loomgraph.llm.components import components
 from loomgraph.llm.token_fst import text_blocks
 from loomgraph.session import ship
@@ -48,7 +48,7 @@ class Join:
 
     words: int = 4
     percent: int = 85
-    extra: int = 3
+    extra: int = 8
     block: int = 2_000
     hubs: int = 16
 
@@ -184,13 +184,7 @@ def search(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], query:
     component (labels: those known) that it isn't yet connected to, a link if there is one.
 
     sets: the shingles of each that other sets may hold."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
+    _, comp = np.unique(np.asarray(labels, np.int64), return_inverse=True)
     flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.int64)
     values, codes = np.unique(flat, return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -207,21 +201,23 @@ def search(nodes: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], query:
         if len(mine) < least:
             continue
         found, seen, long = divide_skip([postings[at[c] : at[c + 1]] for c in mine.tolist()], least)
-        for j, have in sorted(zip(found.tolist(), seen.tolist(), strict=True), key=lambda c: -c[1]):
-            if j == i or root(labels[i]) == root(labels[j]):
-                continue
-            m = int(sizes[j])
-            need = -(-percent * (n + m) // (100 + percent))
-            if need > min(n, m):
-                continue
+        need = -(-percent * (n + sizes[found]) // (100 + percent))
+        fit = (comp[found] != comp[i]) & (need <= np.minimum(n, sizes[found]))
+        order = np.argsort(-seen[fit], kind="stable")
+        found, seen, need = found[fit][order], seen[fit][order], need[fit][order]
+        while len(found):
+            j, have, least_here = int(found[0]), int(seen[0]), int(need[0])
             for k, x in enumerate(long):
-                if have >= need or have + len(long) - k < need:
+                if have >= least_here or have + len(long) - k < least_here:
                     break
                 p = int(np.searchsorted(x, j))
                 have += p < len(x) and x[p] == j
-            if have >= need:
+            rest = slice(1, None)
+            if have >= least_here:
                 links.append((int(nodes[i]), int(nodes[j])))
-                parent[root(labels[i])] = root(labels[j])
+                comp[comp == comp[j]] = comp[i]
+                rest = comp[found] != comp[i]
+            found, seen, need = found[rest], seen[rest], need[rest]
     return links
 
 
@@ -234,7 +230,8 @@ def _searched(groups: DataFrame, keys: list[str], how: Join) -> DataFrame:
         links = search(pdf["node"].to_numpy(), pdf["n"].to_numpy(), [np.asarray(x, np.int64) for x in pdf["items"]], pdf["query"].to_numpy(bool), pdf["label"].to_numpy().tolist(), how.percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return groups.select(*keys, "node", "n", "items", "query", "label").groupBy(*keys).applyInPandas(run, "a long, b long")
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # groups are small in bytes, not in work
+    return groups.select(*keys, "node", "n", "items", "query", "label").repartition(parts, *keys).groupBy(*keys).applyInPandas(run, "a long, b long")
 
 
 def links_of(sets: DataFrame, how: Join) -> DataFrame:
@@ -293,7 +290,7 @@ def ngram_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id"
     firsts = each.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("at"))
     firsts = written(firsts, "nodes")
     chosen = firsts.join(alive, "node").select("node", F.col("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash"))
-    texts = src.join(written(chosen, "alive"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text")
+    texts = src.join(sized(written(chosen, "alive")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text")
     sets = written(full_sets(texts, how), "sets")
     labels = components(links_of(sets, how))
     named = firsts.select("node", "least_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -309,8 +306,8 @@ def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
     that share id and text become one; rows without an id stay."""
     found = ngram_components(docs, how)
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(sized(gone), "doc_id", "left_anti")
     again = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
     if again.isEmpty():
         return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.join(sized(again), "doc_id", "left_anti").unionByName(kept.join(sized(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
