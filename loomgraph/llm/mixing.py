@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import tagged, words, written
+from loomgraph.llm.common import sized, tagged, words, written
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     plan = mix(docs, how).groupBy("doc_id", tagged(F.col("source")).alias("_key"), "text_hash").agg(F.min("repeats").alias("least"), F.sum("repeats").alias("sum"), F.count("*").alias("n"))
     plan = written(plan, "repeats")
     at = docs.select("*", tagged(F.col("source")).alias("_at"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
-    both = at.join(plan, at["doc_id"].eqNullSafe(plan["doc_id"]) & (at["_at"] == plan["_key"]) & (at["_hash"] == plan["text_hash"]))
+    both = at.join(sized(plan), at["doc_id"].eqNullSafe(plan["doc_id"]) & (at["_at"] == plan["_key"]) & (at["_hash"] == plan["text_hash"]))
     # equal rows share what the mix takes of them: the first few of them one more than the others
     one = both.where("n = 1").select(*[at[c] for c in docs.columns], F.col("sum").alias("_times"))
     same = Window.partitionBy(plan["doc_id"], "_key", plan["text_hash"]).orderBy(F.lit(1))
