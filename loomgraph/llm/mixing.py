@@ -104,13 +104,14 @@ def mix(docs: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_col: str
 
 def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, columns unchanged."""
-    plan = mix(docs, how).groupBy("doc_id", tagged(F.col("source")).alias("_key"), "text_hash").agg(F.min("repeats").alias("least"), F.sum("repeats").alias("sum"), F.count("*").alias("n"))
+    plan = mix(docs, how).groupBy(F.col("doc_id").alias("_id"), tagged(F.col("source")).alias("_key"), F.col("text_hash").alias("_text")).agg(F.min("repeats").alias("_least"), F.sum("repeats").alias("_sum"), F.count("*").alias("_n"))
     plan = written(plan, "repeats")
     at = docs.select("*", tagged(F.col("source")).alias("_at"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
-    both = at.join(sized(plan), at["doc_id"].eqNullSafe(plan["doc_id"]) & (at["_at"] == plan["_key"]) & (at["_hash"] == plan["text_hash"]))
+    both = at.join(sized(plan), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")) & (F.col("_hash") == F.col("_text")))
     # equal rows share what the mix takes of them: the first few of them one more than the others
-    one = both.where("n = 1").select(*[at[c] for c in docs.columns], F.col("sum").alias("_times"))
-    same = Window.partitionBy(plan["doc_id"], "_key", plan["text_hash"]).orderBy(F.lit(1))
-    many = both.where("n > 1").withColumn("_k", F.row_number().over(same)).select(*[at[c] for c in docs.columns], (F.col("least") + (F.col("_k") <= F.col("sum") - F.col("least") * F.col("n")).cast("long")).alias("_times"))
+    one = both.where("_n = 1").select(*docs.columns, F.col("_sum").alias("_times"))
+    same = Window.partitionBy("_id", "_key", "_text").orderBy(F.lit(1))
+    extra = (F.row_number().over(same) <= F.col("_sum") - F.col("_least") * F.col("_n")).cast("long")
+    many = both.where("_n > 1").select(*docs.columns, (F.col("_least") + extra).alias("_times"))
     out = one.unionByName(many).where("_times > 0")
     return out.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
