@@ -87,6 +87,23 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(str(place))
 
+    def sql(self, text: str, **values) -> DataFrame:
+        """A query over the current tables by their names; values are bound as :name."""
+        for table in TABLES:
+            self.read(table).createOrReplaceTempView(table)
+        return self.spark.sql(text, args=values)
+
+    def rows(self, text: str, **values) -> list[dict]:
+        return [r.asDict(recursive=True) for r in self.sql(text, **values).collect()]
+
+    def csv(self, text: str, **values) -> str:
+        """A small result as CSV text with a header."""
+        return self.sql(text, **values).toPandas().to_csv(index=False)
+
+    def load_json_lines(self, version: int, table: str, path: str) -> None:
+        """Writes a table of a generation from JSON lines."""
+        self.write(version, table, self.spark.read.schema(TABLES[table][0]).json(path))
+
     def delete(self) -> None:
         """Forgets the graph; the folder and its version stay. Refused while a load runs."""
         if self.status()["state"] in ("queued", "running"):

@@ -245,6 +245,17 @@ def test_version_gate(spark, tmp_path):
         Store(spark, tmp_path / "s")
 
 
+def test_store_queries_and_json_lines(spark, tmp_path):
+    store = Store(spark, tmp_path / "s")
+    (tmp_path / "edges.jsonl").write_text('{"project": "p", "source": "a", "target": "b", "type": "CALLS", "properties": "{}", "version": 1}\n')
+    store.load_json_lines(1, "edges", str(tmp_path / "edges.jsonl"))
+    assert store.rows("SELECT * FROM edges") == []  # not published yet
+    store.publish(1)
+    assert store.rows("SELECT target FROM edges WHERE source = :who", who="a") == [{"target": "b"}]
+    assert store.csv("SELECT source, target FROM edges") == "source,target\na,b\n"
+    assert store.next_version() == 2
+
+
 def test_git_counts(repository):
     root, _ = repository
     assert git.count_reasons(root, 2, 4) == [] and git.count_reasons(root, 1, 1)
