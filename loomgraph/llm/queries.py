@@ -132,6 +132,30 @@ FROM c LEFT JOIN fit ON c.page_id = fit.page_id AND fit.k = 1 LEFT JOIN listed O
 """
 
 
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + list_sum(list_transform(range(5),
+    lambda j: CASE WHEN substr(bits, (i * 5 + j + 1)::BIGINT, 1) = '1' THEN 1 << (4 - j)::INTEGER ELSE 0 END)))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM p
+"""
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM d),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s FROM grams),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+walk(root, node) AS (SELECT doc_id, doc_id FROM d UNION SELECT root, y FROM walk JOIN both_ways ON x = node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(walk.root) AS component_id
+FROM d JOIN walk ON walk.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
 OP6_SQL = r"""
 WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda v: floor(1024 * v::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -145,4 +169,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op6_topk": OP6_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_quality": OP1_SQL, "op3_warc": OP3_SQL, "op5_ngram_join": OP5_SQL, "op6_topk": OP6_SQL, "op9_url_filter": OP9_SQL}
