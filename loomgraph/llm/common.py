@@ -13,7 +13,7 @@ __all__ = ["SPACE", "ascii_lower", "drop_path", "fresh_path", "shared_dir", "siz
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def sized(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df with a broadcast hint if its rows (narrow ones of a written table) are counted to be
     `rows` at most; else as it is, for a join by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -126,7 +126,7 @@ def clean(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     # only documents that go or change are looked up; the others need no verdict
     acts = written(verdict.where(~F.col("kept") | (F.size("removed_lines") > 0)).select("doc_id", "host", "text_hash", "kept", "removed_lines").distinct(), "acts")
     at = docs.select("*", tagged(F.col("source")).alias("_host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
-    both = at.join(sized(acts), at["doc_id"].eqNullSafe(acts["doc_id"]) & (at["_host"] == acts["host"]) & (at["_hash"] == acts["text_hash"]), "left").where(F.coalesce(acts["kept"], F.lit(True)))
+    both = at.join(sized(acts, 200_000), at["doc_id"].eqNullSafe(acts["doc_id"]) & (at["_host"] == acts["host"]) & (at["_hash"] == acts["text_hash"]), "left").where(F.coalesce(acts["kept"], F.lit(True)))
     left = F.array_join(F.filter(F.split(at["text"], "\n", -1), lambda x: ~F.array_contains(acts["removed_lines"], F.xxhash64(_normalised(x)))), "\n")
     text = F.when(F.size(acts["removed_lines"]) > 0, left).otherwise(at["text"])
     out = both.select(*[at[c] for c in docs.columns if c != "text"], text.alias("text"))
