@@ -395,6 +395,28 @@ def test_lm_without_training_texts(spark):
     assert got[0]["train_tokens"] == 0 and got[0]["base_score"] == 0.0 and math.isfinite(got[0]["score"])
 
 
+def test_lm_contexts_keep_their_worth_as_the_corpus_grows(spark):
+    r = random.Random(12)
+    after = [r.randint(0, 2999) for _ in range(3000)]
+
+    def chain():
+        w, out = r.randint(0, 2999), []
+        for k in range(60):
+            out.append(f"word{w}")
+            w = after[w] if r.random() < 0.9 else r.randint(0, 2999)
+        return " ".join(out)
+
+    # the same texts beside none and beside many others, whose contexts fill tables of a fixed size
+    same = [(k, chain(), "s") for k in range(1500)]
+    other = [(10_000 + k, " ".join(f"{'abcdefgh'[r.randint(0, 7)]}{r.randint(0, 40_000)}" for _ in range(500)), "s") for k in range(2000)]
+    gains = []
+    for rows in (same, same + other):
+        got = [x for x in collected(lm_score.lm_scores(frame(spark, rows))) if x["held_out"] and x["doc_id"] < 10_000]
+        gains.append(sum(x["score"] - x["base_score"] for x in got) / sum(x["n_tokens"] for x in got))
+    print(gains)
+    assert gains[1] > 0.9 * gains[0] > 0
+
+
 # --- 9 URL filter
 
 
