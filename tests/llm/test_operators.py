@@ -417,6 +417,13 @@ def test_lm_contexts_keep_their_worth_as_the_corpus_grows(spark):
     assert gains[1] > 0.9 * gains[0] > 0
 
 
+def test_lm_learns_within_texts_of_40_tokens(spark):
+    r = random.Random(3)
+    docs = frame(spark, [(k, prose(r, 45), "s") for k in range(40)])
+    learning, fixed = (sorted((x["doc_id"], x["score"]) for x in collected(lm_score.lm_scores(docs, how))) for how in (lm_score.Mixer(), lm_score.Mixer(rate=0.0, refine=0.0)))
+    assert all(abs(a - b) > 1e-6 for (_, a), (_, b) in zip(learning, fixed, strict=True))
+
+
 # --- 9 URL filter
 
 
