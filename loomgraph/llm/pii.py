@@ -84,8 +84,9 @@ _DIGIT = re.compile("[0-9]")
 _NUMBERS = re.compile(r"(?<![\w+.-])(?:\+[0-9]{1,3} ?)?\(?[0-9](?:[ ().-]{0,2}[0-9]){6,23}(?![\w])")
 _GROUP = re.compile(r"(?<![\w+.-])[0-9]{13,19}(?![\w])")
 _AROUND_AT = re.compile(r"(?<![\w.])[A-Za-z0-9][\w.+-]{0,40} ?[(\[] ?at ?[)\]] ?[\w-]{1,40}(?: ?[(\[] ?dot ?[)\]] ?[\w-]{1,20}|\.[\w-]{1,20}){1,4}", re.I)
-_ASSIGNED = re.compile(r"(?<![\w])([A-Za-z_-]{2,24})[ ]?[=:][ ]?[\"']?([^\s\"',;]{6,128})")
-_OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,200}={0,2}(?![A-Za-z0-9_+/=-])")
+# a key is read from its run's beginning only, and runs are possessive: linear at any length
+_ASSIGNED = re.compile(r"(?:(?<![\w-])|(?<=[^\WA-Za-z_])[A-Za-z_]*+-)([A-Za-z_-]{2,}+)[ ]?[=:][ ]?[\"']?([^\s\"',;]{6,}+)")
+_OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9_+/=-])")
 
 
 def candidates(text: str) -> list[Span]:
@@ -168,7 +169,10 @@ def training_rows(rows: int = 6000, seed: int = 11) -> tuple[np.ndarray, np.ndar
             s = digits(10)
             return r.choice(("call ", "phone: ", "tel ", "mobile ", "", "fax ")), r.choice((f"({s[:3]}) {s[3:6]}-{s[6:]}", f"+1 ({s[:3]}) {s[3:6]}-{s[6:]}", f"+{r.randint(20, 99)} {s[:3]} {s[3:6]} {s[6:]}", f"{s[:3]}-{s[3:6]}-{s[6:]}", f"{s[:3]}.{s[3:6]}.{s[6:]}", f"0{s[:3]} {s[3:6]} {s[6:]}"))
         key = r.choice(("password", "passwd", "secret", "token", "api_key", "apikey"))
-        style = r.randint(0, 3)
+        style = r.randint(0, 4)
+        if style == 4:
+            long = run(alnum + letters + "0189" + r.choice(("", "", "_-", "+/")), r.choice((64, 150, 300, 5000)))
+            return r.choice(("", f"{key}=", f"{key}: ", f"{word().upper()}_{word().upper()}_{word().upper()}_{key.upper()}=")), long
         if style == 0:
             return "", r.choice(("AKIA", "AKIA", "ASIA")) + run(alnum, 16)
         if style == 1:
@@ -182,7 +186,11 @@ def training_rows(rows: int = 6000, seed: int = 11) -> tuple[np.ndarray, np.ndar
             return r.choice(("order ", "invoice ", "serial ", "isbn ", "", "")), r.choice((digits(14), digits(17), digits(16), f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}"))
         if kind == "phone":
             return r.choice(("order ", "version ", "page ", "on ", "", "", "part no ")), r.choice((digits(r.randint(7, 15)), f"20{digits(2)}-0{r.randint(1, 9)}-1{digits(1)} {digits(2)}", f"{digits(1)}.{digits(2)}.{digits(3)}.{digits(4)}", f"{digits(4)} {digits(4)}"))
-        style = r.randint(0, 3)
+        style = r.randint(0, 4)
+        if style == 4:
+            if r.randint(0, 1):
+                return r.choice(("http:", "https:")), f"//www.{word()}.com/" + "/".join(r.choice((word(), word(), digits(4))) for _ in range(r.randint(3, 40)))
+            return r.choice(("", "", f"{word()}=")), r.choice("_-/").join([word() for _ in range(r.randint(4, 60))] + [digits(2)])
         if style == 0:
             return r.choice(("commit ", "sha ", "md5 ", "checksum ", "hash ")), run(hexa, r.choice((32, 40)))
         if style == 1:

@@ -486,6 +486,18 @@ def test_pii(spark, docs, rows):
     assert pii.find(long, pii.fitted())[0] == pii.base_spans(long)
 
 
+def test_pii_long_secrets_are_redacted_whole():
+    r, model = random.Random(4), pii.fitted()
+    for n in (40, 150, 300, 5000):
+        for key in ("token=", "password: ", "GOOGLE_APPLICATION_CREDENTIALS_TOKEN=", ""):
+            secret = "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n))
+            text = f"see {key}{secret} for more"
+            assert pii.redacted(text, pii.find(text, model)[1]) == f"see {key}[SECRET] for more", (n, key)
+    for text in ("-" * 300_000, "a-" * 150_000, "9" + "a" * 300_000 + "-", "ab= " * 70_000):  # linear
+        pii.candidates(text)
+    assert ("secret", 8, 14) in pii.candidates("9-token=abcdef") and pii.candidates("9token=abcdef") == []
+
+
 # --- all of them
 
 
