@@ -11,8 +11,10 @@ narrow table:
    and splits skewed partitions if they aren't;
 4. a document that loses too large a part of its words is depleted: rejected.
 
-A line above the limits stays in the document with the smallest id that holds it,
-so the content of a group of copies never vanishes as a whole.
+A line above the limits stays in the document with the smallest id that holds it:
+of all documents in the verdicts of op1_quality, as its SQL has it; of those that are
+kept in `clean`, where a rejected holder hands its lines on to the next one, so the
+content of a group of copies never vanishes as a whole.
 """
 
 from __future__ import annotations
@@ -89,20 +91,58 @@ def common_lines(feats: DataFrame, limits: LineLimits) -> DataFrame:
     return lines.join(sizes, "host").where(above).select("host", "h", "docs", "first_doc")
 
 
-def line_frequency_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def _failed(limits: LineLimits):
+    return (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
+
+
+def handed_on(hits: DataFrame, limits: LineLimits) -> DataFrame:
+    """host, h, first_doc: the smallest id among the kept documents that hold the line.
+
+    hits: doc_id, host, text_hash, n_words, h, w of the lines above the limits in documents
+    that pass the base rules. In the order of ids a document is kept unless it loses too
+    many words to lines that kept ones before it hold. That is settled in rounds for all
+    documents at once: kept is who stays even if all open documents before it are kept,
+    rejected who goes by those that are kept for certain; the first open one always is
+    settled, and only open ones come back."""
+    key = ["doc_id", "host", "text_hash"]
+    lines = None
+    while True:
+        mins = hits.groupBy("host", "h").agg(F.min("doc_id").alias("p"))
+        mins = mins.withColumn("k", F.lit(None).cast(hits.schema["doc_id"].dataType)) if lines is None else mins.join(lines.withColumnRenamed("first_doc", "k"), ["host", "h"], "left")
+        first = F.least("p", "k")
+        losable = F.when(first.isNotNull() & ~first.eqNullSafe(F.col("doc_id")), F.col("w")).otherwise(0)
+        gone = F.when(F.col("k").isNotNull() & (F.col("doc_id").isNull() | (F.col("k") < F.col("doc_id"))), F.col("w")).otherwise(0)
+        sums = hits.join(mins, ["host", "h"]).groupBy(*key, "n_words").agg(F.sum(losable).alias("losable"), F.sum(gone).alias("gone"))
+        bound = limits.depleted_percent * F.col("n_words")
+        state = F.when(100 * F.col("losable") <= bound, "kept").when(100 * F.col("gone") > bound, "rejected").otherwise("open")
+        states = written(sums.select(*[F.col(c).alias(f"_{c}") for c in key], state.alias("state")).where("state <> 'rejected'"), "states")
+        rest = hits.join(states, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]).select(*hits.columns, "state")
+        new = rest.where("state = 'kept'").groupBy("host", "h").agg(F.min("doc_id").alias("first_doc"))
+        lines = written(new if lines is None else lines.unionByName(new).groupBy("host", "h").agg(F.min("first_doc").alias("first_doc")), "holders")
+        if states.where("state = 'open'").isEmpty():
+            return lines
+        hits = written(rest.where("state = 'open'").drop("state"), "open")
+
+
+def line_frequency_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", hand_on: bool = False) -> DataFrame:
     """Verdict of each document: counts, removed_words, removed_lines (hashes),
     base_failed, depleted, kept.
 
     Host: host_col; null is a host of its own. Each input row gives one row: equal
     rows get equal verdicts, rows that share an id but not a text are judged apart. A
     document without words fails the base rule. A null id is an id like others, except
-    that it never is the first holder. Columns of docs other than the three named play
+    that it never is the first holder. hand_on: the first holder of a line is the first
+    kept one instead of the first of all. Columns of docs other than the three named play
     no part, so their names can't clash.
     """
     feats = written(features(docs, id_col, text_col, host_col), "quality")
     hot = written(common_lines(feats, limits), "lines")
     key = ["doc_id", "host", "text_hash"]
     each = feats.groupBy(*key).agg(F.any_value("lines").alias("lines"))
+    if hand_on:
+        passing = feats.where(~_failed(limits)).groupBy(*key, "n_words").agg(F.any_value("lines").alias("lines"))
+        passing = passing.select(*key, "n_words", F.explode("lines").alias("line")).select(*key, "n_words", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
+        hot = handed_on(written(passing.join(hot.select("host", "h"), ["host", "h"]).select(*key, "n_words", "h", "w"), "hits"), limits)
     hits = each.select(*key, F.explode("lines").alias("line")).select(*key, F.col("line.h").alias("h"), F.col("line.w").alias("w"))
     lost = (
         hits.join(hot.select("host", "h", "first_doc"), ["host", "h"])
@@ -115,14 +155,14 @@ def line_frequency_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_
         F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"),
         F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed_lines"),
     )
-    failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
+    failed = _failed(limits)
     depleted = 100 * F.col("removed_words") > limits.depleted_percent * F.col("n_words")
     return out.withColumn("base_failed", failed).withColumn("depleted", depleted).withColumn("kept", ~failed & ~depleted)
 
 
 def clean(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that stay, without their removed lines; the columns of docs."""
-    verdict = line_frequency_rules(docs, limits)
+    verdict = line_frequency_rules(docs, limits, hand_on=True)
     # only documents that go or change are looked up; the others need no verdict
     acts = written(verdict.where(~F.col("kept") | (F.size("removed_lines") > 0)).select("doc_id", "host", "text_hash", "kept", "removed_lines").distinct(), "acts")
     at = docs.select("*", tagged(F.col("source")).alias("_host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))

@@ -109,6 +109,20 @@ def test_quality_copies_leave_one(spark):
     assert [r["doc_id"] for r in got if r["kept"]] == [0]
 
 
+def test_clean_keeps_one_of_a_group_whose_first_copy_fails(spark):
+    r = random.Random(5)
+    lines, more = [prose(r, 12, 9000) for _ in range(4)], [prose(r, 12, 9000) for _ in range(4)]
+    junk = "\n".join(["buy this thing now or never be glad"] * 30)
+    rows = [(k, "\n".join([*lines, f"own {k}", *([junk] if k == 0 else [])]), "h") for k in range(150)]
+    got = collected(quality.clean(frame(spark, rows)))
+    assert [x["doc_id"] for x in got] == [1] and got[0]["text"] == rows[1][1]
+    # 200 loses the lines that it has of the first group to 1 and is rejected; 201 then keeps those of the second
+    rows += [(200, "\n".join([*lines, *lines, *lines, more[0]]), "h")] + [(k, f"{more[0]}\nown {k}\n{prose(r, 10, 9000)}", "h") for k in range(201, 330)]
+    got = {x["doc_id"]: x["text"] for x in collected(quality.clean(frame(spark, rows)))}
+    assert 0 not in got and 1 in got and 200 not in got and [k for k, t in got.items() if more[0] in t] == [201]
+    assert quality.clean(frame(spark, [*rows, (None, "\n".join(lines), "h")])).count() == len(got)
+
+
 # --- 2 mixing
 
 
