@@ -347,6 +347,18 @@ def test_one_of_each(docs):
     assert ngram_join.one_of_each(docs).columns == docs.columns
 
 
+def test_pipeline_joins_by_five_words_and_eight_tenths(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(200)]
+    near = [f"edit{k}" if k in (20, 70, 120, 170) else w for k, w in enumerate(words)]  # 0.815 by five words, 0.8498 by four
+    far = [f"other{k}" if k in (20, 55, 90, 125, 170) else w for k, w in enumerate(words)]  # 0.774 by five words
+    rows = frame(spark, [(1, " ".join(words), "s"), (2, " ".join(near), "s"), (3, " ".join(far), "s")])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()) == [1, 3]
+    got = ngram_join.ngram_components(rows).collect()
+    assert all(r["doc_id"] == r["component_id"] for r in got)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 20)] + [(40, 30), (30, 50), (60, 60)]
     got = {r["node"]: r["label"] for r in collected(components(spark.createDataFrame(edges, "a long, b long")))}
