@@ -68,22 +68,54 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that are hashed at a time; a longer word is hashed as a whole.
+_WINDOW = 1 << 20
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the multiplier and of its inverse, n of each at least."""
+    if len(_powers[0]) < n:
+        for k, x in enumerate((int(_M[0]), pow(int(_M[0]), -1, 1 << 64))):
+            many = np.full(max(n, _WINDOW), np.uint64(x))
+            many[0] = 1
+            _powers[k] = np.multiply.accumulate(many)
+    return _powers
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, byte after the last) of every word of data, which begins and ends with a space."""
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[:-1] != space[1:]) + 1
+    return edges[::2], edges[1::2]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The hashes of words: the sum of a word's bytes' values times powers is a difference of
+    running sums."""
+    hashes, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(stops, starts[at] + _WINDOW, side="right")))
+        first, last = int(starts[at]), int(stops[to - 1])
+        power, inverse = _powers_to(last - first)
+        sums = np.zeros(last - first + 1, np.uint64)
+        np.cumsum(_BYTE[data[first:last]] * power[: last - first], out=sums[1:])
+        begin = starts[at:to] - first
+        hashes[at:to] = _mixed((sums[stops[at:to] - first] - sums[begin]) * inverse[begin])
+        at = to
+    return hashes
+
+
+def words_of(starts: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """The number of words of each text, by the starts of all in the joined texts."""
+    return np.diff(np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])), prepend=0).astype(np.int64)
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of every word of the texts, in order."""
     data = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    space = _SPACE[data]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    span = np.diff(starts, append=len(data))
-    within = np.arange(starts[0], len(data)) - np.repeat(starts, span)
-    power = np.ones(int(span.max()), np.uint64)
-    power[1:] = _M[0]
-    power = np.multiply.accumulate(power)
-    values = _BYTE[data[starts[0] :]] * power[within]  # white space adds nothing
-    hashes = _mixed(np.add.reduceat(values, starts - starts[0]))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(ends, starts - 1, side="right")
+    starts, stops = word_spans(data)
+    return span_hashes(data, starts, stops), np.repeat(np.arange(len(texts)), words_of(starts, texts))
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
