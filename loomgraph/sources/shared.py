@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one the cluster names in spark.checkpoint.dir; only where that is
-    unset (tests, a single machine) a temporary folder takes its place.
+    It is the one the cluster names in spark.checkpoint.dir; only where that is unset and
+    driver and executors are one machine (a local master) a temporary folder takes its place.
     """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -47,3 +49,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Like written(), dealt to as many buckets by key as there are shuffle partitions, so that
+    a join on the key needs no shuffle of this side."""
+    spark = df.sparkSession
+    path, table = fresh_path(spark, name), f"loomgraph_{name}_{uuid.uuid4().hex}"
+    atexit.register(_drop_table, spark, table)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(table, format="parquet")
+    return spark.table(table)
+
+
+def _drop_table(spark: SparkSession, table: str) -> None:
+    with contextlib.suppress(Exception):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
