@@ -7,16 +7,29 @@ from pyspark.sql import functions as F
 
 from loomgraph.sources.shared import bucketed, drop_path, fresh_path, shared_dir, written
 
-__all__ = ["SPACE", "ascii_lower", "bucketed", "drop_path", "fresh_path", "shared_dir", "sized", "tagged", "words", "written"]
+__all__ = ["SPACE", "ascii_lower", "bucketed", "drop_path", "fresh_path", "own_names", "shared_dir", "sized", "tagged", "words", "written"]
 
 #: ASCII white space that separates words; words are runs of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
+def sized(df: DataFrame, rows: int = 500_000, weight: Column | None = None) -> DataFrame:
     """df with a broadcast hint if its rows (narrow ones of a written table) are counted to be
-    `rows` at most; else as it is, for a join by shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+    `rows` at most; else as it is, for a join by shuffle. weight: what a row counts for, where
+    rows hold arrays."""
+    n = df.count() if weight is None else df.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if n <= rows else df
+
+
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns beside those of df: the given ones, lengthened while df has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def words(text: Column) -> Column:
