@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import sized, tagged, words, written
+from loomgraph.llm.common import own_names, sized, tagged, words, written
 
 
 @dataclass(frozen=True)
@@ -103,15 +103,21 @@ def mix(docs: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_col: str
 
 
 def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, columns unchanged."""
-    plan = mix(docs, how).groupBy(F.col("doc_id").alias("_id"), tagged(F.col("source")).alias("_key"), F.col("text_hash").alias("_text")).agg(F.min("repeats").alias("_least"), F.sum("repeats").alias("_sum"), F.count("*").alias("_n"))
-    plan = written(plan, "repeats")
-    at = docs.select("*", tagged(F.col("source")).alias("_at"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
-    both = at.join(sized(plan), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")) & (F.col("_hash") == F.col("_text")))
+    """The mix itself: each row of docs as often as it is taken, columns unchanged.
+
+    Null and empty texts have size 0; they are taken as their order falls and add no words.
+    Equal rows share what the mix takes of them. A null source is a source. Columns of docs may
+    have any names. An empty table gives no rows."""
+    doc_id, key, text, least, total, n, times, each = own_names(docs, *[f"mix_{c}" for c in ("doc_id", "key", "text", "least", "sum", "n", "times", "each")])
+    plan = mix(docs, how).groupBy(F.col("doc_id").alias(doc_id), tagged(F.col("source")).alias(key), F.col("text_hash").alias(text)).agg(F.min("repeats").alias(least), F.sum("repeats").alias(total), F.count("*").alias(n))
+    plan = sized(written(plan, "repeats"))
+    mine = docs["doc_id"].eqNullSafe(plan[doc_id]) & (tagged(docs["source"]) == plan[key]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == plan[text])
+    both = docs.join(plan, mine)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     # equal rows share what the mix takes of them: the first few of them one more than the others
-    one = both.where("_n = 1").select(*docs.columns, F.col("_sum").alias("_times"))
-    same = Window.partitionBy("_id", "_key", "_text").orderBy(F.lit(1))
-    extra = (F.row_number().over(same) <= F.col("_sum") - F.col("_least") * F.col("_n")).cast("long")
-    many = both.where("_n > 1").select(*docs.columns, (F.col("_least") + extra).alias("_times"))
-    out = one.unionByName(many).where("_times > 0")
-    return out.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    one = both.where(F.col(n) == 1).select(*columns, F.col(total).alias(times))
+    same = Window.partitionBy(doc_id, key, text).orderBy(F.lit(1))
+    extra = (F.row_number().over(same) <= F.col(total) - F.col(least) * F.col(n)).cast("long")
+    many = both.where(F.col(n) > 1).select(*columns, (F.col(least) + extra).alias(times))
+    out = one.unionByName(many).where(F.col(times) > 0)
+    return out.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*columns)
