@@ -16,10 +16,11 @@ least ceil(percent * n / 100) for either's size n.
    lists by binary search until the overlap is reached or out of reach. Sets that are
    known to be connected are skipped: one link to a component is enough.
 
-Groups over `block` sets are cut into blocks, each searched with the same few hubs; of
-what isn't connected to the group's core then, blocks are searched against all blocks.
-So a large group of near copies costs a search a set, no pairs are emitted, and every
-link between different components is found.
+Groups of over `block` shingles, all sets together, are cut into blocks of about that many, so
+that a task's memory is bounded in bytes whatever the texts' lengths; each is searched
+with the same few hubs; of what isn't connected to the group's core then, blocks are
+searched against all blocks. So a large group of near copies costs a search a set, no
+pairs are emitted, and every link between different components is found.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import sized, written
+from loomgraph.llm.common import own_names, sized, written
 from loomgraph.llm.components import components
 from loomgraph.llm.token_fst import text_blocks
 from loomgraph.session import ship
@@ -43,13 +44,13 @@ from loomgraph.session import ship
 @dataclass(frozen=True)
 class Join:
     """words: of a shingle. percent: of the union. extra: percent of a set by which the
-    filter's prefixes are longer. block: sets in a search. hubs: sets that each block of a
-    large group is searched with."""
+    filter's prefixes are longer. block: shingles of all sets in a search. hubs: sets that each
+    block of a large group is searched with."""
 
     words: int = 4
     percent: int = 85
     extra: int = 8
-    block: int = 2_000
+    block: int = 400_000
     hubs: int = 16
 
 
@@ -258,7 +259,7 @@ def _searched(groups: DataFrame, keys: list[str], how: Join) -> DataFrame:
     ship(groups.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["node", "query"])
+        pdf = pdf[~pdf.duplicated(["node", "query"])]
         links = search(pdf["node"].to_numpy(), pdf["n"].to_numpy(), [np.asarray(x, np.int64) for x in pdf["items"]], pdf["query"].to_numpy(bool), pdf["label"].to_numpy().tolist(), how.percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
@@ -279,8 +280,9 @@ def links_of(sets: DataFrame, how: Join) -> DataFrame:
     hubs = prefix.groupBy("s").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub <> other").select("s", "hub")
     groups = components(prefix.join(hubs, "s").select(F.col("node").alias("a"), F.col("hub").alias("b")))
     groups = groups.select("node", F.col("label").alias("grp"))
-    count = groups.groupBy("grp").agg(F.count("*").alias("members"))
-    rows = written(shared.join(groups, "node").join(count, "grp").select("grp", "members", "node", "n", "items", F.lit(True).alias("query"), F.col("node").alias("label")), "groups")
+    rows = shared.join(groups, "node")
+    count = rows.groupBy("grp").agg(F.sum(F.size("items")).alias("members"))
+    rows = written(rows.join(count, "grp").select("grp", "members", "node", "n", "items", F.lit(True).alias("query"), F.col("node").alias("label")), "groups")
     small = written(_searched(rows.where(F.col("members") <= how.block), ["grp"], how), "links")
     large = rows.where(F.col("members") > how.block)
     if large.isEmpty():
@@ -304,42 +306,56 @@ def links_of(sets: DataFrame, how: Join) -> DataFrame:
     return small.union(first).union(written(second, "links"))
 
 
-def ngram_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by
-    links, its own included).
-
-    Null, empty and white texts have an empty set and are linked with nothing. Repeated
-    rows are equal sets: they link. Rows that share an id but not a text are nodes of their
-    own. A row without an id links like others but is nobody's component_id. An empty table
-    gives no rows. Other columns of docs are not read."""
+def _classes(docs: DataFrame, how: Join, id_col: str, text_col: str) -> DataFrame:
+    """Per row of docs: doc_id, text_hash, n, node, label (of the node's component; null if n is 0)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     each = written(summaries(src, how), "summaries")
-    posts = each.where("n > 0").select("doc_id", "text_hash", "node", "n", F.explode("prefix").alias("s"))
+    posts = each.where("n > 0").select("node", "n", F.explode("prefix").alias("s"))
     held = posts.groupBy("s").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("s")
     enough = F.greatest(F.lit(1), F.ceil(F.col("n") * how.extra * how.percent / 10_000))
-    alive = posts.select("node", "n", "s").join(held, "s").groupBy("node", "n").agg(F.count_distinct("s").alias("c")).where(F.col("c") >= enough).select("node")
-    firsts = each.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("at"))
-    firsts = written(firsts, "nodes")
+    alive = posts.join(held, "s").groupBy("node", "n").agg(F.count_distinct("s").alias("c")).where(F.col("c") >= enough).select("node")
+    firsts = each.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
     chosen = firsts.join(alive, "node").select("node", F.col("at.doc_id").alias("_id"), F.col("at.text_hash").alias("_hash"))
     texts = src.join(sized(written(chosen, "alive")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text")
     sets = written(full_sets(texts, how), "sets")
     labels = components(links_of(sets, how))
-    named = firsts.select("node", "least_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    by_node = named.join(ids, "label").select("node", "component_id")
-    some = each.where("n > 0").select("doc_id", "n", "node").join(by_node, "node").select("doc_id", "n", "component_id")
-    none = each.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return each.drop("prefix").join(labels, "node", "left").select("doc_id", "text_hash", "n", "node", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+
+
+def ngram_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id (the smallest id reachable by
+    links, its own included).
+
+    Null, empty and white texts have an empty set and are linked with nothing. Repeated
+    rows are equal sets: they link. Rows that share an id but not a text are nodes of their
+    own. A row without an id links like others but is nobody's component_id. An empty table
+    gives no rows. Other columns of docs are not read."""
+    found = written(_classes(docs, how, id_col, text_col), "classes")
+    ids = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    some = found.where("label is not null").join(ids, "label").select("doc_id", "n", "component_id")
+    none = found.where("label is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """The document of each component with the smallest id, columns of docs unchanged. Rows
-    that share id and text become one; rows without an id stay."""
-    found = ngram_components(docs, how)
-    gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.join(sized(gone), "doc_id", "left_anti")
-    again = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    return kept.join(sized(again), "doc_id", "left_anti").unionByName(kept.join(sized(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    """One document of each component, that with the smallest id (a null one is the last; of
+    different texts under one id the one with the smaller hash); columns of docs unchanged.
+
+    Rows that share id and text become one. Rows that share an id alone are judged apart. Null,
+    empty and white texts are linked with nothing and stay. Columns of docs may have any
+    names. An empty table gives no rows."""
+    found = written(_classes(docs, how, "doc_id", "text").where("label is not null"), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("text_hash"))
+    best = found.groupBy("label").agg(F.min(order).alias("best"), F.count("*").alias("members")).where("members > 1")
+    at, text_hash, stays, times = own_names(docs, "join_id", "join_hash", "join_stays", "join_times")
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    judged = found.join(best, "label").groupBy(F.col("doc_id").alias(at), F.col("text_hash").alias(text_hash)).agg(F.max(is_best).alias(stays), F.count("*").alias(times))
+    # documents alone in their component aren't looked up
+    judged = sized(written(judged.where(~F.col(stays) | (F.col(times) > 1)), "judged"))
+    mine = docs["doc_id"].cast("long").eqNullSafe(judged[at]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == judged[text_hash])
+    both = docs.join(judged, mine, "left").where(F.coalesce(judged[stays], F.lit(True)))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = both.where(F.col(times).isNull()).select(*columns)
+    same = Window.partitionBy(at, text_hash).orderBy(F.lit(1))
+    return kept.unionByName(both.where(F.col(times).isNotNull()).withColumn(stays, F.row_number().over(same)).where(F.col(stays) == 1).select(*columns))
