@@ -9,7 +9,10 @@ certified: no packing of its pieces is better.  Where a gap is left, the worst b
 are opened and their documents exchanged: all partitions' opened bins are dealt
 again to half as many partitions, which rerun best-fit decreasing.  A certified
 partition opens its emptiest bin only, because a bin that is partly empty in each
-partition is what bounds of single partitions can't see.
+partition is what bounds of single partitions can't see.  The last partition exchanges
+documents with its own: its worst bins and more and more of the others, chosen by a seed,
+are opened and packed again, as long as its gap lasts, `tries` times at most.  The bins
+and the bound of each partition are returned with its pieces.
 
 The work a round hands on is a few bins a partition, so it shrinks by orders of
 magnitude at once; a round's result is a written table.
@@ -36,13 +39,13 @@ from loomgraph.session import ship
 
 @dataclass(frozen=True)
 class Packing:
-    """capacity: tokens a sequence. items: pieces a partition, about. rounds: of exchange,
-    at most. opened: bins that a gap of one bin opens."""
+    """capacity: tokens a sequence. items: pieces a partition, about. opened: bins that a gap of
+    one bin opens. tries: of the last partition's exchange with itself."""
 
     capacity: int = 1024
     items: int = 50_000
-    rounds: int = 6
     opened: int = 4
+    tries: int = 24
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,13 +103,20 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece. Each piece, the longest first, goes to the fullest bin
-    that has room; bins are found by their room in one step."""
+    """(bin, offset) of each piece, the longest first."""
+    order = np.argsort(-lengths, kind="stable")
+    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    bins[order], offsets[order] = _best_fit(lengths[order], capacity)
+    return bins, offsets
+
+
+def _best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each piece. Each in turn goes to the fullest bin that has room; bins are
+    found by their room in one step."""
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask, fresh = 0, 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
+    for i, n in enumerate(lengths.tolist()):
         fitting = mask >> n
         if fitting:
             room = n + (fitting & -fitting).bit_length() - 1
@@ -123,22 +133,63 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def _pack_partition(pdf: pd.DataFrame, how: Packing, last: bool, alone: bool) -> pd.DataFrame:
-    """The partition's packing; columns bin, offset, closed, and gap (bins beyond the bound)."""
+def repacked(lengths: np.ndarray, bins: np.ndarray, capacity: int, bound: int, tries: int) -> np.ndarray:
+    """The bin of each piece, in fewer bins than `bins` if that is found: of a packing with a gap
+    the emptiest bins and some others are opened, and their pieces packed again by best-fit
+    decreasing, with the pieces of equal or near lengths in another order."""
+    r = np.random.default_rng(len(lengths))
+    for turn in range(tries):
+        n = int(bins.max(initial=-1)) + 1
+        if n <= bound:
+            break
+        used = np.bincount(bins, weights=lengths, minlength=n)
+        worst = np.argsort(used, kind="stable")[: 4 * (n - bound) * (1 + turn % 6)]
+        others = r.choice(n, min(n, 8 << turn % 6), replace=False)
+        chosen = np.zeros(n, bool)
+        chosen[worst] = chosen[others] = True
+        at = np.flatnonzero(chosen[bins])
+        nudged = lengths[at] + r.integers(0, 1 + capacity // 64 * (turn % 4), len(at)) if turn % 4 else lengths[at]
+        order = at[np.argsort(-nudged, kind="stable")]
+        again = _best_fit(lengths[order], capacity)[0]
+        if again.max(initial=-1) + 1 <= chosen.sum():  # no more bins than before: even a tie moves pieces
+            keep = np.cumsum(~chosen) - 1
+            bins = np.where(chosen[bins], 0, keep[bins])
+            bins[order] = again + int((~chosen).sum())
+    return bins
+
+
+def _offsets(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """The place of each piece in its bin, gapless from 0."""
+    order = np.argsort(bins, kind="stable")
+    before = np.cumsum(lengths[order]) - lengths[order]
+    first = np.concatenate([[True], np.diff(bins[order]) != 0]) if len(order) else np.zeros(0, bool)
+    out = np.empty(len(lengths), np.int64)
+    out[order] = before - np.repeat(before[first], np.diff(np.flatnonzero(first), append=len(order)))
+    return out
+
+
+def _pack_partition(pdf: pd.DataFrame, how: Packing, alone: bool) -> pd.DataFrame:
+    """The partition's packing; columns bin, offset, closed, part_bins and part_bound."""
     lengths = pdf["length"].to_numpy()
     bins, offsets = best_fit_decreasing(lengths, how.capacity)
+    bound = lower_bound(lengths, how.capacity)
+    if alone and bins.max(initial=-1) + 1 > bound:
+        bins = repacked(lengths, bins, how.capacity, bound, how.tries)
+        offsets = _offsets(lengths, bins)
     used = np.bincount(bins, weights=lengths).astype(np.int64)
-    gap = len(used) - lower_bound(lengths, how.capacity)
+    gap = len(used) - bound
     closed = np.ones(len(used), bool)
-    if not last and not (alone and gap == 0):
+    if not alone:
         worst = np.argsort(used, kind="stable")[: 1 + how.opened * gap]
         closed[worst[used[worst] < how.capacity]] = False
-    return pdf.assign(bin=bins, offset=offsets, closed=closed[bins], gap=gap)
+    return pdf.assign(bin=bins, offset=offsets, closed=closed[bins], part_bins=len(used), part_bound=bound)
 
 
 def pack(pieces: DataFrame, how: Packing = Packing()) -> DataFrame:
-    """pieces with sequence_id and offset. pieces: a column length (1 to capacity) and any
-    others, which are carried along; none of them may be named like the added ones.
+    """pieces with sequence_id, offset, part_bins and part_bound: how many sequences the
+    partition that packed the piece made, and the least that any packing of its pieces needs
+    (for a full piece 1 and 1). pieces: a column length (1 to capacity) and any others, which are
+    carried along; columns named like the added ones raise a ValueError.
 
     Every row is placed, repeated ones too; sequences are gapless from offset 0. Which of
     equally long pieces goes where is arbitrary but, once written, stays. An empty table
@@ -146,30 +197,32 @@ def pack(pieces: DataFrame, how: Packing = Packing()) -> DataFrame:
     """
     ship(pieces.sparkSession)
     schema = pieces.schema
+    if clash := {c.lower() for c in schema.names} & {"sequence_id", "offset", "part_bins", "part_bound", "closed", "bin"}:
+        raise ValueError(f"pieces have columns {sorted(clash)}, which the packing adds")
     full = pieces.where(F.col("length") == how.capacity)
-    done = [full.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    done = [full.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("part_bins"), F.lit(1).cast("long").alias("part_bound"))]
     todo = pieces.where(F.col("length") < how.capacity)
     n = todo.count()
     parts = max(1, math.ceil(n / how.items))
     for turn in count(1):
         if not n:
             break
-        last = turn > how.rounds or parts == 1
 
-        def run(frames: Iterator[pd.DataFrame], turn: int = turn, last: bool = last, alone: bool = parts == 1) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame], turn: int = turn, alone: bool = parts == 1) -> Iterator[pd.DataFrame]:
             got = [f for f in frames if len(f)]
             if got:
-                out = _pack_partition(pd.concat(got, ignore_index=True), how, last, alone)
+                out = _pack_partition(pd.concat(got, ignore_index=True), how, alone)
                 part = TaskContext.get().partitionId()
                 out["sequence_id"] = (turn << 56) + (part << 28) + out.pop("bin")
                 yield out
 
-        dealt = todo.repartition(parts, F.xxhash64(*[F.col(c) for c in schema.names if c != "ids"], F.lit(turn)))
-        out = written(dealt.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, offset long, closed boolean, gap long, sequence_id long"), "packed")
-        done.append(out.where("closed").select(*schema.names, "sequence_id", "offset"))
-        if last:
+        # dealt by row number too, so that equal rows don't meet in one partition
+        dealt = todo.repartition(parts, F.xxhash64(F.monotonically_increasing_id(), F.col("length"), F.lit(turn)))
+        out = written(dealt.mapInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, offset long, closed boolean, part_bins long, part_bound long, sequence_id long"), "packed")
+        done.append(out.where("closed").select(*[F.col(f"`{c}`") for c in schema.names], "sequence_id", "offset", "part_bins", "part_bound"))
+        if parts == 1:
             break
-        todo = out.where("not closed").select(*schema.names)
+        todo = out.where("not closed").select(*[F.col(f"`{c}`") for c in schema.names])
         n = todo.count()
         parts = max(1, min(math.ceil(n / how.items), parts // 2))
     result = done[0]
