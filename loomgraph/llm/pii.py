@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -83,7 +84,8 @@ def base_spans(text: str) -> list[Span]:
 _DIGIT = re.compile("[0-9]")
 _NUMBERS = re.compile(r"(?<![\w+.-])(?:\+[0-9]{1,3} ?)?\(?[0-9](?:[ ().-]{0,2}[0-9]){6,23}(?![\w])")
 _GROUP = re.compile(r"(?<![\w+.-])[0-9]{13,19}(?![\w])")
-_AROUND_AT = re.compile(r"(?<![\w.])[A-Za-z0-9][\w.+-]{0,40} ?[(\[] ?at ?[)\]] ?[\w-]{1,40}(?: ?[(\[] ?dot ?[)\]] ?[\w-]{1,20}|\.[\w-]{1,20}){1,4}", re.I)
+# an address is read from its run's beginning only, at any length
+_AROUND_AT = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*+ ?[(\[] ?at ?[)\]] ?[\w-]++(?: ?[(\[] ?dot ?[)\]] ?[\w-]++|\.[\w-]++)++", re.I)
 # a key is read from its run's beginning only, and runs are possessive: linear at any length
 _ASSIGNED = re.compile(r"(?:(?<![\w-])|(?<=[^\WA-Za-z_])[A-Za-z_]*+-)([A-Za-z_-]{2,}+)[ ]?[=:][ ]?[\"']?([^\s\"',;]{6,}+)")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9_+/=-])")
@@ -310,12 +312,23 @@ def find(text: str, model: Trees) -> tuple[list[Span], list[Span]]:
     if not proposed:
         return base, base
     p = model.probability(np.array([features(text, s) for s in proposed]))
-    taken = [(a, b) for _, a, b in base]
+    # the spans taken so far, disjoint and in order: starts and ends
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     added = []
     for i in sorted(range(len(proposed)), key=lambda i: (-p[i], proposed[i][1], -proposed[i][2])):
         kind, a, b = proposed[i]
-        if p[i] >= model.thresholds[kind] and all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
+        if p[i] < model.thresholds[kind]:
+            continue
+        k = bisect_right(ends, a)
+        if k == len(starts) or b <= starts[k]:
+            starts.insert(k, a)
+            ends.insert(k, b)
             added.append(proposed[i])
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
@@ -337,7 +350,7 @@ def joined(spans: list[Span]) -> str:
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Trees | None = None) -> DataFrame:
     """One row per row of docs: id, n_<kind> of the base spans, base and spans (strings of
-    kind:start:end in code points, end exclusive).
+    kind:start:end in code points, end exclusive), n_spans (of all kinds, added ones too).
 
     A null text is an empty one, without spans. Repeated rows repeat. Other columns of docs
     are not read. Texts of any length are read whole."""
@@ -347,22 +360,24 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[] for _ in BASE_KINDS]
-            bases, spans = [], []
+            bases, spans, total = [], [], []
             for text in batch.column(1).to_pylist():
                 base, every = find(text or "", model)
                 for k, kind in enumerate(BASE_KINDS):
                     counts[k].append(sum(s[0] == kind for s in base))
                 bases.append(joined(base))
                 spans.append(joined(every))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(bases, pa.string()), pa.array(spans, pa.string())], names=[id_col, *[f"n_{k}" for k in BASE_KINDS], "base", "spans"])
+                total.append(len(every))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(bases, pa.string()), pa.array(spans, pa.string()), pa.array(total, pa.int64())], names=[id_col, *[f"n_{k}" for k in BASE_KINDS], "base", "spans", "n_spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'n_{k} long' for k in BASE_KINDS)}, base string, spans string")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'n_{k} long' for k in BASE_KINDS)}, base string, spans string, n_spans long")
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: Trees | None = None) -> DataFrame:
     """docs with the spans of the text replaced by [KIND]; null texts stay null, a column
-    n_chars follows the new text, all others are as they were."""
+    n_chars follows the new text, all others are as they were, whatever their names. Repeated
+    rows repeat, texts of any length are read whole, an empty table gives no rows."""
     ship(docs.sparkSession)
     model = model or fitted()
     names = docs.columns
