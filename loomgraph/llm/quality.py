@@ -24,19 +24,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACE, sized, tagged, words, written
+from loomgraph.llm.common import SPACE, own_names, sized, tagged, words, written
 
 
 @dataclass(frozen=True)
 class LineLimits:
-    """min_docs: lines in fewer distinct documents of a host are never removed.
-    max_docs, max_percent: beyond either, a line is removed. depleted_percent: a
-    document that loses more of its words than this is rejected."""
+    """min_docs: lines in fewer distinct documents of a host are never removed. max_percent:
+    of the host's distinct documents; lines in more are removed, so that a line's fate is the
+    same in small hosts and large ones. depleted_percent: a document that loses more of its
+    words than this is rejected."""
 
-    min_docs: int = 20
-    max_docs: int = 100
+    min_docs: int = 5
     max_percent: float = 1.0
-    depleted_percent: int = 70
+    depleted_percent: int = 30
     min_words: int = 20
     repeat_percent: int = 30
 
@@ -87,7 +87,7 @@ def common_lines(feats: DataFrame, limits: LineLimits) -> DataFrame:
         .groupBy("host", "h").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
         .where(F.col("docs") >= limits.min_docs)
     )
-    above = (F.col("docs") > limits.max_docs) | (F.col("docs") * 100 > F.col("host_docs") * limits.max_percent)
+    above = F.col("docs") * 100 > F.col("host_docs") * limits.max_percent
     return lines.join(sizes, "host").where(above).select("host", "h", "docs", "first_doc")
 
 
@@ -161,15 +161,24 @@ def line_frequency_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_
 
 
 def clean(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
-    """The documents that stay, without their removed lines; the columns of docs."""
+    """The documents that stay, without their removed lines; the columns of docs, of which a
+    column n_chars follows the new text.
+
+    Documents without words (null, empty and white texts) fail the base rule and go. Repeated
+    rows stay or go together. A null source is a host of its own. Columns of docs may have any
+    names. An empty table gives no rows."""
     verdict = line_frequency_rules(docs, limits, hand_on=True)
     # only documents that go or change are looked up; the others need no verdict
-    acts = written(verdict.where(~F.col("kept") | (F.size("removed_lines") > 0)).select("doc_id", "host", "text_hash", "kept", "removed_lines").distinct(), "acts")
-    at = docs.select("*", tagged(F.col("source")).alias("_host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
-    both = at.join(sized(acts, 200_000), at["doc_id"].eqNullSafe(acts["doc_id"]) & (at["_host"] == acts["host"]) & (at["_hash"] == acts["text_hash"]), "left").where(F.coalesce(acts["kept"], F.lit(True)))
-    left = F.array_join(F.filter(F.split(at["text"], "\n", -1), lambda x: ~F.array_contains(acts["removed_lines"], F.xxhash64(_normalised(x)))), "\n")
-    text = F.when(F.size(acts["removed_lines"]) > 0, left).otherwise(at["text"])
-    out = both.select(*[at[c] for c in docs.columns if c != "text"], text.alias("text"))
+    acts = verdict.where(~F.col("kept") | (F.size("removed_lines") > 0)).select("doc_id", "host", "text_hash", "kept", "removed_lines").distinct()
+    names = dict(zip(acts.columns, own_names(docs, *[f"act_{c}" for c in acts.columns]), strict=True))
+    acts = written(acts.select(*[F.col(c).alias(n) for c, n in names.items()]), "acts")
+    acts = sized(acts, 200_000, 1 + F.size(names["removed_lines"]) / 4)
+    doc_id, host, text_hash, kept, removed = (acts[n] for n in names.values())
+    mine = docs["doc_id"].eqNullSafe(doc_id) & (tagged(docs["source"]) == host) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == text_hash)
+    both = docs.join(acts, mine, "left").where(F.coalesce(kept, F.lit(True)))
+    left = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x: ~F.array_contains(removed, F.xxhash64(_normalised(x)))), "\n")
+    text = F.when(F.size(removed) > 0, left).otherwise(docs["text"])
+    put = {"text": text.alias("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+        put["n_chars"] = F.char_length(text).cast("long").alias("n_chars")
+    return both.select(*[put.get(c, docs[c]) for c in docs.columns])

@@ -37,7 +37,7 @@ def byte_level_file() -> str:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenized(table(spark, sf_dir, "documents"), byte_level_file())
     pieces = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
-    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_bins", "part_bound")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pii_spans(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
 
 
 def queries() -> dict:
@@ -103,12 +103,12 @@ norm AS (SELECT host, doc_id, lower(trim(regexp_replace(regexp_replace(x, '[0-9]
          FROM (SELECT host, doc_id, unnest(lines) AS x FROM texts)),
 freq AS (SELECT host, line, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc FROM norm GROUP BY host, line),
 sizes AS (SELECT host, count(*) AS host_docs FROM texts GROUP BY host),
-hot AS (SELECT host, line, first_doc FROM freq JOIN sizes USING (host) WHERE docs >= 20 AND (docs > 100 OR docs * 100 > host_docs * 1.0)),
+hot AS (SELECT host, line, first_doc FROM freq JOIN sizes USING (host) WHERE docs >= 5 AND docs * 100 > host_docs * 1.0),
 held AS (SELECT doc_id, host, lower(trim(regexp_replace(regexp_replace(x, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
                 len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, host, unnest(lines) AS x FROM base)),
 lost AS (SELECT doc_id, sum(n) AS n FROM held JOIN hot USING (host, line) WHERE doc_id <> first_doc GROUP BY doc_id)
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (100 * coalesce(lost.n, 0) > 70 * n_words) AS kept, coalesce(lost.n, 0)::BIGINT AS removed_words
+       NOT base_failed AND NOT (100 * coalesce(lost.n, 0) > 30 * n_words) AS kept, coalesce(lost.n, 0)::BIGINT AS removed_words
 FROM flagged f LEFT JOIN lost USING (doc_id)
 """
 
