@@ -16,7 +16,7 @@ back).  Its states are compiled when first reached.  A state holds what the
 future can still depend on: the longest suffix that begins some token, and for
 each place in it the last token there and the count relative to here.  That is a
 finite set, because tokens have a longest one; max_states bounds the memory, and
-a full table is dropped and compiled again.
+a full table is dropped and compiled again, inside a long piece as well.
 
 Equal pieces of a batch are read once (Arrow's dictionary encoding); the counts
 of a text are the sums over its pieces.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -59,8 +60,8 @@ STATES = 12
 # Marks: a piece begins here; a piece begins at the character before.
 HERE, BEFORE = 1, 2
 
-#: In the joined bytes: end of a text, and a special token. Neither byte occurs in UTF-8.
-END, SPECIAL = 0xFF, 0xFE
+#: In the joined bytes: end of a text, and special tokens, from FIRST_SPECIAL on. None of these bytes occurs in UTF-8.
+END, FIRST_SPECIAL = 0xFF, 0xF5
 
 
 def _boundary_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +126,7 @@ class BoundaryTransducer:
         self.points = code_points
         self.ascii = np.full(256, INSIDE, np.uint8)
         self.ascii[:128] = code_points[:128]
-        self.ascii[[END, SPECIAL]] = CUT
+        self.ascii[FIRST_SPECIAL:] = CUT
         # two symbols at a time
         self.pairs = self.to[None, :, :].repeat(SYMBOLS, 0)
         for a in range(SYMBOLS):
@@ -134,7 +135,7 @@ class BoundaryTransducer:
 
     def symbols(self, data: np.ndarray) -> np.ndarray:
         out = self.ascii[data]
-        lead = np.flatnonzero((data >= 0xC0) & (data < SPECIAL))
+        lead = np.flatnonzero((data >= 0xC0) & (data < FIRST_SPECIAL))
         if len(lead):
             b = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint32)
             x, y, z, w = b[lead], b[lead + 1] & 63, b[lead + 2] & 63, b[lead + 3] & 63
@@ -192,15 +193,24 @@ class MergeTransducer:
         self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.valid: dict[int, bool] = {}
         self.shapes: dict[tuple[bytes, int], tuple] = {}
+        self.go: dict[int, tuple[int, int]] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.last: list[int] = []
-        self.go: dict[int, tuple[int, int]] = {}
+        self.go.clear()
         self._state((b"", ((-1, 0),)))
 
+    def _bounded(self, state: int) -> int:
+        """The state, in a new table if this one is full."""
+        if len(self.keys) < self.max_states:
+            return state
+        key = self.keys[state]
+        self._clear()
+        return self._state(key)
+
     def _state(self, key: tuple) -> int:
         if (at := self.ids.get(key)) is None:
             at = self.ids[key] = len(self.keys)
@@ -277,11 +287,9 @@ class MergeTransducer:
         for b in piece:
             step = go.get(state << 8 | b)
             if step is None:
-                step = self._compile(state, b)
+                step = self._compile(self._bounded(state), b)
             state, delta = step
             n += delta
-        if len(self.keys) > self.max_states:
-            self._clear()
         return n
 
     def tokens(self, piece: bytes) -> bytes:
@@ -290,14 +298,12 @@ class MergeTransducer:
         go = self.go
         for b in piece:
             step = go.get(state << 8 | b)
-            state = (step or self._compile(state, b))[0]
+            state = (step or self._compile(self._bounded(state), b))[0]
             ends.append(self.last[state])
         out, at = [], len(piece)
         while at:
             out.append(ends[at - 1])
             at -= self.length[out[-1]]
-        if len(self.keys) > self.max_states:
-            self._clear()
         return array("I", out[::-1]).tobytes()
 
 
@@ -345,8 +351,14 @@ class ByteLevelMachine:
         vocab = {to_bytes(k): v for k, v in spec["model"]["vocab"].items()}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(map(to_bytes, p) for p in pairs)}
-        self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self.tokenizer = Tokenizer.from_file(path)
+        added = sorted((t["content"] for t in spec["added_tokens"]), key=lambda t: (-len(t), t))
+        if len(added) > END - FIRST_SPECIAL:
+            raise ValueError(f"{len(added)} special tokens; {END - FIRST_SPECIAL} are supported")
+        # a special token is one byte that text can't hold; the longest that begins at a place counts
+        self.special = {t.encode(): bytes([FIRST_SPECIAL + k]) for k, t in enumerate(added)}
+        self.special_ids = {FIRST_SPECIAL + k: np.uint32(self.tokenizer.token_to_id(t)).tobytes() for k, t in enumerate(added)}
+        self.specials = re.compile(b"|".join(map(re.escape, self.special)) or b"(?!)")
         self.boundaries = BoundaryTransducer(code_point_symbols(self.tokenizer))
         self.merger = MergeTransducer(vocab, merges)
         self.known: tuple[dict, dict] = {}, {}
@@ -364,25 +376,24 @@ class ByteLevelMachine:
         return out
 
     def _counts_of(self, pieces: list[bytes]) -> list[int]:
-        """END and SPECIAL are no text."""
-        return [0 if p == b"\xff" else 1 if p == b"\xfe" else self.merger.count(p) for p in pieces]
+        """END is no token, a special one is one."""
+        return [(p[0] < END) if len(p) == 1 and p[0] >= FIRST_SPECIAL else self.merger.count(p) for p in pieces]
 
     def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
         """By the library, which is faster than compiling states for pieces seen once."""
-        special = np.uint32(next(iter(self.special.values()), 0)).tobytes()
-        coded = iter(self.tokenizer.encode_batch_fast([p.decode() for p in pieces if p not in (b"\xff", b"\xfe")], add_special_tokens=False))
-        return [b"" if p == b"\xff" else special if p == b"\xfe" else array("I", next(coded).ids).tobytes() for p in pieces]
+        marks = [p[0] if len(p) == 1 and p[0] >= FIRST_SPECIAL else 0 for p in pieces]
+        coded = iter(self.tokenizer.encode_batch_fast([p.decode() for p, mark in zip(pieces, marks, strict=True) if not mark], add_special_tokens=False))
+        return [self.special_ids.get(mark, b"") if mark else array("I", next(coded).ids).tobytes() for mark in marks]
 
     def pieces(self, texts: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """Dictionary-encoded pieces of the texts, END and SPECIAL as pieces of their own,
-        and the positions of the ENDs among them. One special token is supported."""
+        """Dictionary-encoded pieces of the texts, END and special tokens as pieces of their own,
+        and the positions of the ENDs among them."""
         if self.special:
-            (special,) = self.special
-            texts = [t.replace(special, b"\xfe") if special in t else t for t in texts]
+            texts = [self.specials.sub(lambda m: self.special[m[0]], t) if any(x in t for x in self.special) else t for t in texts]
         joined = b"\xff".join(texts) + b"\xff"
         data = np.frombuffer(joined, np.uint8)
         begins = self.boundaries.starts(data)
-        # what follows END or SPECIAL begins a piece, for the state there is FRESH
+        # what follows END or a special token begins a piece, for the state there is FRESH
         offsets = np.append(begins, len(data)).astype(np.int32)
         array = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(joined)])
         return array.dictionary_encode(), np.flatnonzero(data[begins] == END)
