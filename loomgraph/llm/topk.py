@@ -1,12 +1,19 @@
 """Exact top-k search by vector-approximation files.
 
 Vectors are packed into blocks; a block holds a grid (`cells` intervals a dimension,
-set by the block's own quantiles), each vector's cells as one byte a dimension, and
-the exact vectors.  A query scans the cells: with the interval ends as bounds it
-gets an upper bound of every score.  Exact vectors are then read in the order of
-falling bounds, until no bound reaches the kth score found.  Blocks of queries
-meet blocks of vectors, in an equi-join on the pair of block numbers, so that a
-task holds one block of each.  A block hands on k rows a query at most.
+set by the block's own quantiles), each vector's cells as one byte a dimension, and,
+in a column of its own, the exact vectors.  Two passes over pairs of a block of queries
+and a block of vectors:
+
+1. Cells alone, without the exact vectors: the interval ends give a lower bound of every
+   score. The kth largest lower bound of all blocks is a floor of a query's result.
+2. The cells' upper bounds leave the few vectors that may reach the floor. Their exact
+   vectors are read in the order of falling bounds, until no bound reaches the kth
+   score found.
+
+Vector blocks are dealt to buckets, query blocks are copied to each bucket, and the two
+meet in an equi-join on the bucket; a task holds one block of each.  A pair hands on k
+rows a query at most.
 """
 
 from __future__ import annotations
@@ -14,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +35,23 @@ from loomgraph.session import ship
 @dataclass(frozen=True)
 class Search:
     """k: of each query. scale: components become floor(scale * x). cells: a dimension, up
-    to 256. block: vectors; queries: queries in a block. Components are held to +-limit,
-    which keeps scores of up to 512 dimensions within a long."""
+    to 256. block: vectors; queries: queries in a block. buckets: of vector blocks, at most."""
 
     k: int = 10
     scale: int = 1024
     cells: int = 16
     block: int = 8_192
     queries: int = 512
-    limit: int = 1 << 26
+    buckets: int = 512
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, how: Search) -> DataFrame:
-    """vec_id and q (array<long>) of the vectors that take part."""
+    """vec_id and q (array<long>) of the vectors that take part. Components beyond a long's
+    range become its ends."""
     x = F.col(vec_col).cast("array<double>")
     sound = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    q = F.transform(x, lambda v: F.least(F.greatest(F.floor(v * F.lit(float(how.scale))), F.lit(-how.limit)), F.lit(how.limit)).cast("long"))
+    ends = F.lit(-float(1 << 63)), F.lit(float((1 << 63) - 1024))
+    q = F.transform(x, lambda v: F.floor(F.least(F.greatest(v * F.lit(float(how.scale)), ends[0]), ends[1])).cast("long"))
     return vectors.where(sound).select(F.col(id_col).cast("long").alias("vec_id"), q.alias("q"))
 
 
@@ -66,7 +75,7 @@ def blocks_of(q: DataFrame, size: int, cells: int) -> DataFrame:
         codes = np.zeros(x.shape, np.uint8)
         for d in range(x.shape[1]):
             codes[:, d] = np.clip(np.searchsorted(edges[:, d], x[:, d], side="right") - 1, 0, cells - 1)
-        return {"n": len(ids), "dims": x.shape[1], "ids": ids.tobytes(), "exact": x.astype("<i4").tobytes(), "edges": edges.tobytes(), "codes": codes.tobytes()}
+        return {"n": len(ids), "dims": x.shape[1], "ids": ids.tobytes(), "exact": x.astype("<i8").tobytes(), "edges": edges.tobytes(), "codes": codes.tobytes()}
 
     schema = pa.schema([("n", pa.int64()), ("dims", pa.int64()), *[(c, pa.binary()) for c in ("ids", "exact", "edges", "codes")]])
 
@@ -93,43 +102,77 @@ def blocks_of(q: DataFrame, size: int, cells: int) -> DataFrame:
     return q.mapInArrow(run, "n long, dims long, ids binary, exact binary, edges binary, codes binary")
 
 
-def block_top(queries: dict, vectors: dict, k: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vec id, score) of the k best of a block of vectors for each of a block of
-    queries; the query's own id is passed over."""
-    read = lambda b, c, t: np.frombuffer(b[c], t)
-    dims = min(queries["dims"], vectors["dims"])  # components that one side lacks are 0 there
-    qs = read(queries, "exact", "<i4").reshape(queries["n"], queries["dims"])[:, :dims].astype(np.int64)
-    n = vectors["n"]
-    exact = read(vectors, "exact", "<i4").reshape(n, vectors["dims"])[:, :dims]
-    codes = read(vectors, "codes", np.uint8).reshape(n, vectors["dims"])[:, :dims]
-    edges = read(vectors, "edges", np.int64).reshape(cells + 1, vectors["dims"])[:, :dims].astype(np.float64)
-    ids, query_ids = read(vectors, "ids", np.int64), read(queries, "ids", np.int64)
+def _read(block: dict, column: str, kind, dims: int) -> np.ndarray:
+    """A matrix of the block, without the components that the other side lacks (they are 0 there)."""
+    return np.frombuffer(block[column], kind).reshape(-1, block["dims"])[:, :dims] if block["dims"] else np.zeros((block["n"] if column != "edges" else 1, 0), kind)
+
+
+def bounds(queries: dict, vectors: dict, lower: bool) -> Iterator[tuple[slice, np.ndarray]]:
+    """(queries, lower or upper bounds of their scores [query, vector]) by the vectors' cells."""
+    dims = min(queries["dims"], vectors["dims"])
+    real = _read(queries, "exact", "<i8", dims).astype(np.float64)
+    codes, edges = _read(vectors, "codes", np.uint8, dims), _read(vectors, "edges", "<i8", dims).astype(np.float64)
     columns = np.arange(dims)
-    low, high = edges[codes, columns], edges[codes.astype(np.int64) + 1, columns]
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(qs), 64):
-        part = qs[at : at + 64]
-        real = part.astype(np.float64)
+    low, high = edges[codes, columns].T.copy(), edges[codes.astype(np.int64) + 1, columns].T.copy()
+    most, sign = np.abs(edges).max(initial=0), -1.0 if lower else 1.0
+    if lower:
+        low, high = high, low
+    for at in range(0, len(real), 64):
+        part = real[at : at + 64]
+        out = np.maximum(part, 0) @ high + np.minimum(part, 0) @ low
         # sums of doubles may be off in their last places: a bound is widened by more than that
-        upper = np.maximum(real, 0) @ high.T + np.minimum(real, 0) @ low.T
-        upper += 1 + np.abs(upper) * 1e-9 + (np.abs(real).sum(1) * (np.abs(edges).max(initial=0) * 1e-12))[:, None]
-        for i, query in enumerate(part):
-            bound = upper[i]
-            take, best = min(n, 4 * k), np.zeros(0, np.int64)
-            seen = np.zeros(0, np.int64)
-            while True:
-                rows = np.argpartition(-bound, take - 1)[:take] if take < n else np.arange(n)
-                seen = rows[ids[rows] != query_ids[at + i]]
-                best = exact[seen].astype(np.int64) @ query
+        out += sign * (1 + np.abs(out) * 1e-9 + (np.abs(part).sum(1) * most * 1e-12)[:, None])
+        yield slice(at, at + len(part)), out
+
+
+def block_floor(queries: dict, vectors: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the query in its block, lower bound) of the k highest lower bounds of each query;
+    the query's own id is passed over."""
+    ids, query_ids = np.frombuffer(vectors["ids"], np.int64), np.frombuffer(queries["ids"], np.int64)
+    number, low = [], []
+    for part, bound in bounds(queries, vectors, lower=True):
+        bound = np.where(ids[None, :] == query_ids[part, None], -np.inf, bound)
+        top = -np.partition(-bound, min(k, bound.shape[1]) - 1, axis=1)[:, :k]
+        row, _ = sound = np.nonzero(top > -np.inf)
+        number.append(row + part.start)
+        low.append(top[sound])
+    return np.concatenate(number), np.concatenate(low)
+
+
+def scores(exact: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, exact: as longs where they can't overflow, else as whole numbers of any size,
+    held to a long's range at the end of the search."""
+    most = int(np.abs(exact.astype(np.float64)).max(initial=0)) * int(np.abs(query.astype(np.float64)).max(initial=0)) * max(1, len(query))
+    if most < 1 << 62:
+        return exact @ query
+    return exact.astype(object) @ query.astype(object) if len(query) else np.zeros(len(exact), np.int64)
+
+
+def block_top(queries: dict, vectors: dict, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(query id, vec id, score) of the k best of a block of vectors for each of a block of
+    queries, of those that may reach the query's floor; the query's own id is passed over."""
+    dims = min(queries["dims"], vectors["dims"])
+    asked, exact = _read(queries, "exact", "<i8", dims), _read(vectors, "exact", "<i8", dims)
+    ids, query_ids = np.frombuffer(vectors["ids"], np.int64), np.frombuffer(queries["ids"], np.int64)
+    out_query, out_id, out_score = [], [], []
+    for part, upper in bounds(queries, vectors, lower=False):
+        for i, bound in enumerate(upper, part.start):
+            rows = np.flatnonzero((bound >= floors[i]) & (ids != query_ids[i]))
+            rows = rows[np.argsort(-bound[rows], kind="stable")]
+            best, take = np.zeros(0, np.int64), 0
+            while take < len(rows):
+                more = rows[take : take + max(4 * k, take)]
+                best = np.concatenate([best, scores(exact[more], asked[i])])
+                take += len(more)
                 # certain, if the kth score is beyond every bound not read
-                if take >= n or (len(seen) >= k and -np.partition(-best, k - 1)[k - 1] > bound[rows].min()):
+                if take < len(rows) and take >= k and sorted(best.tolist())[-k] > bound[rows[take]]:
                     break
-                take = min(n, 4 * take)
-            order = np.lexsort((ids[seen], -best))[:k]
-            out.append((np.full(len(order), query_ids[at + i]), ids[seen[order]], best[order]))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            read = ids[rows[:take]]
+            order = sorted(range(take), key=lambda j: (-best[j], read[j]))[:k]
+            out_query += [int(query_ids[i])] * len(order)
+            out_id += read[order].tolist()
+            out_score += [int(best[j]) for j in order]
+    return np.array(out_query, np.int64), np.array(out_id, np.int64), out_score
 
 
 def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -139,28 +182,52 @@ def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col:
     Vectors that are null or hold null or non-finite components take no part, nor do rows
     without an id. A query's own id is no candidate, in whichever row. Vectors of different
     lengths are compared as if the shorter went on with zeros. Repeated rows are ranked as
-    rows of their own, repeated queries give the result of one. Other columns are not read."""
+    rows of their own, repeated queries give the result of one. Scores are exact; those beyond
+    a long's range are ranked as they are and returned as its ends. Other columns are not
+    read. An empty table gives no rows."""
     q = written(quantised(vectors, id_col, vec_col, how), "quantised")
     n_queries = q.where(is_query).count()
-    rows = blocks_of(q, how.block, how.cells)
-    asked = blocks_of(q.where(is_query).dropDuplicates(["vec_id"]).repartition(max(1, math.ceil(n_queries / how.queries))), how.queries, how.cells)
     number = F.monotonically_increasing_id().alias("no")
-    rows, asked = written(rows.select("*", number), "vectors"), written(asked.select("*", number), "queries")
-    # every pair of block numbers, as rows of two numbers; blocks are joined to them by number
-    nos = rows.select(F.col("no").alias("v")).withColumn("g", F.lit(0)).join(asked.select(F.col("no").alias("a")).withColumn("g", F.lit(0)), "g").drop("g")
-    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns])
-    pairs = nos.join(side(rows, "v_"), F.col("v") == F.col("v_no")).join(side(asked, "a_"), F.col("a") == F.col("a_no"))
-    pairs = pairs.select(*[f"{p}{c}" for p in ("a_", "v_") for c in ("n", "dims", "ids", "exact")], "v_edges", "v_codes")
-    k, cells = how.k, how.cells
+    rows = written(blocks_of(q, how.block, how.cells).select("*", number), "vectors")
+    asked = blocks_of(q.where(is_query).dropDuplicates(["vec_id"]).repartition(max(1, math.ceil(n_queries / how.queries))), how.queries, how.cells)
+    asked = written(asked.select("*", number), "queries")
+    buckets = max(1, min(how.buckets, rows.count()))
+    side = lambda df, p, names: df.select("bucket", *[F.col(c).alias(f"{p}{c}") for c in names])
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("no"), F.lit(buckets)))
+    copies = lambda df: df.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    k = how.k
     ship(vectors.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (row,) = batch.slice(i, 1).to_pylist()
-                asked, held = ({c[2:]: v for c, v in row.items() if c.startswith(p)} for p in ("a_", "v_"))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in block_top(asked, held, k, cells)], names=["query_id", "vec_id", "score"])
+    def halves(batch: pa.RecordBatch) -> Iterator[tuple[dict, dict]]:
+        for i in range(batch.num_rows):
+            (row,) = batch.slice(i, 1).to_pylist()
+            yield tuple({c[2:]: v for c, v in row.items() if c.startswith(p)} for p in ("a_", "v_"))
 
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, held in halves(batch):
+                place, bound = block_floor(mine, held, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), mine["no"]), pa.int64()), pa.array(place, pa.int64()), pa.array(bound, pa.float64())], names=["no", "place", "low"])
+
+    pairs = side(copies(asked), "a_", ["no", "n", "dims", "ids", "exact"]).join(side(placed, "v_", ["n", "dims", "ids", "edges", "codes"]), "bucket").drop("bucket")
+    order = Window.partitionBy("no", "place").orderBy(F.col("low").desc())
+    lows = pairs.mapInArrow(low, "no long, place long, low double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # a query with fewer than k candidates has no floor
+    floors = lows.groupBy("no", "place").agg(F.when(F.count("*") >= k, F.min("low")).otherwise(F.lit(float("-inf"))).alias("low"))
+    floors = floors.groupBy("no").agg(F.collect_list(F.struct("place", "low")).alias("floors"))  # a block's queries
+    asked = written(asked.join(floors, "no", "left"), "floors")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, held in halves(batch):
+                floor = np.full(mine["n"], -np.inf)
+                for x in mine["floors"] or []:
+                    floor[x["place"]] = x["low"]
+                query, vec, score = block_top(mine, held, floor, k)
+                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array([Decimal(x) for x in score], pa.decimal128(38, 0))], names=["query_id", "vec_id", "score"])
+
+    pairs = side(copies(asked), "a_", ["n", "dims", "ids", "exact", "floors"]).join(side(placed, "v_", ["n", "dims", "ids", "edges", "codes", "exact"]), "bucket").drop("bucket")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = pairs.mapInArrow(best, "query_id long, vec_id long, score decimal(38,0)").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    held = F.least(F.greatest(F.col("score"), F.lit(Decimal(-(1 << 63)))), F.lit(Decimal((1 << 63) - 1)))
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", held.cast("long").alias("score"))
