@@ -52,8 +52,10 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id, part: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page_id}/{part}')}>"
+def record_id(page_id, digest: str, part: int = 0) -> str:
+    """The id of a page's record (or of its part-th segment): pages that share an id but not a
+    payload have records of their own, a null id has as well; repeated rows repeat theirs."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'{page_id}/{digest}/{part}')}>"
 
 
 def chunked(payload: bytes, size: int) -> bytes:
@@ -92,18 +94,20 @@ def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 def page_records(page_id, url: str | None, payload: bytes, refers_to, how: Archive) -> Iterator[bytes]:
     """The records of a page: a revisit, a response, or a response and its continuations."""
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:none")
-    common = [("WARC-Target-URI", target), ("WARC-Date", how.date), ("WARC-Payload-Digest", f"sha1:{base32_sha1(payload)}"), ("X-Page-Id", str(page_id))]
+    digest = base32_sha1(payload)
+    own = ("WARC-Record-ID", record_id(page_id, digest))
+    common = [("WARC-Target-URI", target), ("WARC-Date", how.date), ("WARC-Payload-Digest", f"sha1:{digest}"), *([] if page_id is None else [("X-Page-Id", str(page_id))])]
     kind = ("Content-Type", "application/http; msgtype=response")
     if refers_to is not None:
-        more = [("WARC-Refers-To", record_id(refers_to)), ("X-Refers-To-Page", str(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-        yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(page_id)), *common, *more, kind], b"HTTP/1.1 200 OK\r\n\r\n")
+        more = [("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page", str(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        yield _record([("WARC-Type", "revisit"), own, *common, *more, kind], b"HTTP/1.1 200 OK\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, how.chunk_bytes)
     parts = [block[i : i + how.segment_bytes] for i in range(0, len(block), how.segment_bytes)]
     first = [("WARC-Segment-Number", "1")] if len(parts) > 1 else []
-    yield _record([("WARC-Type", "response"), ("WARC-Record-ID", record_id(page_id)), *common, *first, kind], parts[0])
+    yield _record([("WARC-Type", "response"), own, *common, *first, kind], parts[0])
     for k, part in enumerate(parts[1:], 2):
-        headers = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, k)), ("WARC-Date", how.date), ("WARC-Target-URI", target), ("WARC-Segment-Origin-ID", record_id(page_id)), ("WARC-Segment-Number", str(k))]
+        headers = [("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, digest, k)), ("WARC-Date", how.date), ("WARC-Target-URI", target), ("WARC-Segment-Origin-ID", own[1]), ("WARC-Segment-Number", str(k))]
         if k == len(parts):
             headers.append(("WARC-Segment-Total-Length", str(len(block))))
         yield _record(headers, part)
@@ -112,7 +116,7 @@ def page_records(page_id, url: str | None, payload: bytes, refers_to, how: Archi
 def with_responses(pages: DataFrame, how: Archive) -> DataFrame:
     """pages (page_id, url, html) with refers_to: of equal payloads of at least min_bytes
     the largest id is the response (null), the others refer to it; rows that share that
-    id are responses all.
+    id are responses all. A null id is below all others; where all are null, all are responses.
 
     The payloads that occur twice or more are a written table of one narrow row each, so
     that Spark broadcasts it if it is small; else a digest has one row on that side, and
@@ -122,15 +126,17 @@ def with_responses(pages: DataFrame, how: Archive) -> DataFrame:
     best = keyed.where(F.col("size") >= how.min_bytes).groupBy("sha", "size").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1")
     best = written(best.select("sha", "size", "best"), "payloads")
     out = keyed.join(best, ["sha", "size"], "left")
-    return out.select("page_id", "url", "html", F.when(F.col("page_id") != F.col("best"), F.col("best")).alias("refers_to"))
+    return out.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("best")), F.col("best")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, how: Archive = Archive(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes one record or more a page below path, as gzipped WARC files.
 
-    A null html is an empty payload, a null url becomes urn:none. Ids are whole numbers and
-    not null. Repeated rows are records of their own, with equal ids. Other columns of pages
-    are not read. An empty table writes no record."""
+    A null html is an empty payload, a null url becomes urn:none. Ids are whole numbers; a null
+    one has no X-Page-Id and is read back as null. Repeated rows are records of their own, with
+    equal record ids; rows that share an id but not a payload have different ones. Other columns
+    of pages are not read. An empty table writes no record. A file holds no more than
+    records_per_file records, each of segment_bytes and its headers."""
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,15 +235,17 @@ def responses(records: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 (row,) = batch.slice(k, 1).to_pylist()
-                segments = {x["number"]: x["payload"] for x in row["parts"]}  # a repeated record repeats its segments
+                # a record that is there n times has each of its segments n times
+                segments: dict[int, bytes] = {x["number"]: x["payload"] for x in row["parts"]}
+                times, uneven = divmod(len(row["parts"]), len(segments))
                 block = b"".join(segments[i] for i in sorted(segments))
-                if sorted(segments) != list(range(1, len(segments) + 1)) or len(block) != row["total"]:
+                if uneven or sorted(segments) != list(range(1, len(segments) + 1)) or len(block) != row["total"]:
                     raise ValueError(f"segments of {row['origin']} don't add up to {row['total']}")
                 payload = http_payload(block)
                 digest = base32_sha1(payload)
                 if digest != row["declared"]:
                     raise ValueError(f"digest of {row['origin']}")
-                yield pa.RecordBatch.from_pylist([{"record_id": row["origin"], "page_id": row["page_id"], "digest": digest, "payload": payload}], schema)
+                yield pa.RecordBatch.from_pylist([{"record_id": row["origin"], "page_id": row["page_id"], "digest": digest, "payload": payload}] * times, schema)
 
     return whole.unionByName(parts.mapInArrow(run, out))
 
