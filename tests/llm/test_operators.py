@@ -91,7 +91,7 @@ def test_common_lines(spark):
     own = lambda: prose(r, 30, 9000)
     rows = [(k, f"{own()}\nShared line {k} here", "host") for k in range(40)] + [(k, f"{own()}\nshared line 1 here", "other") for k in range(40, 50)]
     rows += [(100 + k, f"Shared line 7 here\n{'word ' * 3}{own().split()[0]} x{k}", "host") for k in range(3)]
-    limits = quality.LineLimits(min_docs=20, max_docs=30, depleted_percent=20)
+    limits = quality.LineLimits(min_docs=20, max_percent=50, depleted_percent=20)
     got = {r["doc_id"]: r for r in collected(quality.line_frequency_rules(frame(spark, rows), limits))}
     assert got[0]["removed_words"] == 0 and got[1]["removed_words"] == 4  # the first holder keeps the line
     assert got[45]["removed_words"] == 0  # another host
@@ -249,7 +249,7 @@ def test_token_counts(docs, rows, library):
     assert sorted((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == sorted((i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t, _ in rows)
 
 
-@pytest.mark.parametrize("how", [packing.Packing(), packing.Packing(items=20), packing.Packing(capacity=100, items=5, rounds=2)])
+@pytest.mark.parametrize("how", [packing.Packing(), packing.Packing(items=20), packing.Packing(capacity=100, items=5)])
 def test_packing(docs, rows, library, how):
     pieces = packing.tokenized(docs.dropDuplicates(["doc_id"]), byte_level_file(), capacity=how.capacity)
     got = collected(packing.pack(pieces, how))
