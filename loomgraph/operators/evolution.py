@@ -34,16 +34,25 @@ def churn(changes: DataFrame, roles: Roles = Roles()) -> DataFrame:
     )
 
 
-def coupling(changes: DataFrame, roles: Roles = Roles(), min_support: int = 2) -> DataFrame:
+#: Paths of a commit in one block of its self-join.
+COUPLED = 2_000
+
+
+def coupling(changes: DataFrame, roles: Roles = Roles(), min_support: int = 2, block: int = COUPLED) -> DataFrame:
     """file_a < file_b, support (pairs of rows in the same commits), conf_a_to_b, conf_b_to_a
     (support over the distinct commits of either); the best supported first.
 
     Rows are added up to one a commit and path before the self-join: a path that a commit
-    holds twice doubles a product instead of the pairs."""
+    holds twice doubles a product instead of the pairs. The paths of a commit with more than
+    `block` are dealt to blocks, and each pair of blocks is a join key of its own, so that no
+    task holds all pairs of a large commit."""
     rows = changes.groupBy(F.expr(roles.commit).alias("commit"), F.expr(roles.path).alias("path")).agg(F.count("*").alias("n"))
-    a = rows.select("commit", F.col("path").alias("file_a"), F.col("n").alias("na"))
-    b = rows.select("commit", F.col("path").alias("file_b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "commit").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.sum(F.col("na") * F.col("nb")).alias("support"))
+    large = rows.groupBy("commit").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    dealt = rows.join(large, "commit", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = dealt.select("commit", F.col("own").alias("block_a"), every.alias("block_b"), F.col("path").alias("file_a"), F.col("n").alias("na"))
+    b = dealt.select("commit", every.alias("block_a"), F.col("own").alias("block_b"), F.col("path").alias("file_b"), F.col("n").alias("nb"))
+    pairs = a.join(b, ["commit", "block_a", "block_b"]).where("file_a < file_b").groupBy("file_a", "file_b").agg(F.sum(F.col("na") * F.col("nb")).alias("support"))
     totals = rows.groupBy("path").agg(F.count("*").alias("commits"))
     pairs = pairs.where(F.col("support") >= min_support)
     out = pairs.join(totals.select(F.col("path").alias("file_a"), F.col("commits").alias("ta")), "file_a")

@@ -11,7 +11,22 @@ from loomgraph.sources.shared import written
 
 #: Deepest traversal.
 MAX_DEPTH = 10
-DIRECTIONS = ("callees", "callers")
+#: What a step follows: from the first column to the second.
+DIRECTIONS = {"callees": ("source", "target"), "callers": ("target", "source")}
+
+
+def steps(edges: DataFrame, direction: str) -> DataFrame:
+    """here, there: the distinct steps that a traversal may take."""
+    try:
+        here, there = DIRECTIONS[direction]
+    except KeyError:
+        raise ValueError(f"direction must be one of {', '.join(DIRECTIONS)}; got {direction!r}") from None
+    return edges.select(F.col(here).alias("here"), F.col(there).alias("there")).distinct()
+
+
+def held_depth(depth: int) -> int:
+    """A depth within 1 to MAX_DEPTH."""
+    return sorted((1, int(depth), MAX_DEPTH))[1]
 
 
 def in_degree(edges: DataFrame, target: str = "target") -> DataFrame:
@@ -32,21 +47,17 @@ def trace_path(edges: DataFrame, start: str, direction: str = "callees", depth:
     count once. depth is held to 1..MAX_DEPTH, and no path visits a node twice, so the
     recursion ends on cycles. Paths can be many on dense graphs: Spark stops at
     spark.sql.cteRecursionRowLimit rows with an error; see reachable() for nodes only."""
-    if direction not in DIRECTIONS:
-        raise ValueError(f"direction must be one of {DIRECTIONS}, not {direction!r}")
-    spark = edges.sparkSession
-    src, dst = ("source", "target") if direction == "callees" else ("target", "source")
-    view = f"edges_{uuid.uuid4().hex}"
-    edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct().createOrReplaceTempView(view)
-    return spark.sql(
-        f"""WITH RECURSIVE walk(node, path, depth) AS (
-              SELECT CAST(:start AS STRING), array(CAST(:start AS STRING)), 0
+    view = f"steps_{uuid.uuid4().hex}"
+    steps(edges, direction).createOrReplaceTempView(view)
+    # a path says all: its last element is the node, its length the depth
+    return edges.sparkSession.sql(
+        f"""WITH RECURSIVE found(path) AS (
+              SELECT array(CAST(:start AS STRING))
               UNION ALL
-              SELECT e.dst, array_append(w.path, e.dst), w.depth + 1
-              FROM walk w JOIN {view} e ON e.src = w.node
-              WHERE w.depth < :depth AND NOT array_contains(w.path, e.dst))
-            SELECT node, path, depth FROM walk ORDER BY depth, node, path""",
-        args={"start": start, "depth": max(1, min(int(depth), MAX_DEPTH))},
+              SELECT array_append(f.path, s.there) FROM {view} s JOIN found f ON s.here = element_at(f.path, -1)
+              WHERE size(f.path) <= :most AND array_position(f.path, s.there) = 0)
+            SELECT element_at(path, -1) AS node, path, size(path) - 1 AS depth FROM found ORDER BY depth, node, path""",
+        args={"start": start, "most": held_depth(depth)},
     )
 
 
@@ -54,13 +65,9 @@ def reachable(edges: DataFrame, start: str, direction: str = "callees", depth: i
     """node, depth: each node that can be reached, at its least depth. Its size is that of the
     graph, not of its paths: a step is one join of the nodes new in the step before, and a
     written table."""
-    if direction not in DIRECTIONS:
-        raise ValueError(f"direction must be one of {DIRECTIONS}, not {direction!r}")
-    spark = edges.sparkSession
-    src, dst = ("source", "target") if direction == "callees" else ("target", "source")
-    step = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
-    seen = new = spark.createDataFrame([(start, 0)], "node string, depth int")
-    for k in range(1, max(1, min(int(depth), MAX_DEPTH)) + 1):
+    step = steps(edges, direction).toDF("node", "next")
+    seen = new = edges.sparkSession.createDataFrame([(start, 0)], "node string, depth int")
+    for k in range(1, held_depth(depth) + 1):
         new = new.join(step, "node").select(F.col("next").alias("node"), F.lit(k).alias("depth")).distinct().join(seen.select("node"), "node", "left_anti")
         new = written(new, "reached")
         if new.isEmpty():

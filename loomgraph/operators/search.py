@@ -7,8 +7,12 @@ centrality and a deprecation penalty, each rounded before it is weighted.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,10 +62,67 @@ class SearchPage:
     has_more: bool
 
 
+def _similarities(vectors: DataFrame, vector: list[float], id_col: str) -> DataFrame:
+    """id and sim (cosine; 0 for a zero vector) of the vectors with as many dimensions, a matrix
+    product a batch."""
+    asked = np.asarray(vector, np.float64)
+    asked = asked / (np.linalg.norm(asked) or 1.0)
+    dims = len(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+            norms = np.sqrt(np.einsum("ij,ij->i", x, x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((x @ asked) / np.where(norms > 0, norms, 1.0))], names=[id_col, "sim"])
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    return vectors.where(F.size("vec") == dims).select(id_col, "vec").mapInArrow(run, f"`{id_col}` {kind}, sim double")
+
+
 def nearest(vectors: DataFrame, vector: list[float], k: int, id_col: str = "qualified_name") -> DataFrame:
     """The k most similar vectors, ties by id: planned as a top-k in each task, then of all."""
-    sim = cosine_similarity(F.col("vec"), F.array(*[F.lit(float(x)) for x in vector]), len(vector))
-    return vectors.where(F.size("vec") == len(vector)).select(id_col, sim.alias("sim")).orderBy(F.col("sim").desc(), id_col).limit(k)
+    return _similarities(vectors, vector, id_col).orderBy(F.col("sim").desc(), id_col).limit(k)
+
+
+class VectorIndex:
+    """Vectors kept for many queries: packed once into matrices of unit length, a row a block, in
+    the executors' memory or on their disks."""
+
+    def __init__(self, vectors: DataFrame, id_col: str = "qualified_name", block: int = 8192):
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, block):
+                    part = batch.slice(at, block)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    norms = np.linalg.norm(x, axis=1, keepdims=True)
+                    unit = (x / np.where(norms > 0, norms, 1)).astype(np.float32)
+                    yield pa.RecordBatch.from_pylist([{"ids": part.column(0).to_pylist(), "dims": unit.shape[1], "unit": unit.tobytes()}], schema)
+
+        kind = vectors.schema[id_col].dataType
+        schema = pa.schema([("ids", pa.list_(pa.int64() if kind.simpleString() == "bigint" else pa.string())), ("dims", pa.int32()), ("unit", pa.binary())])
+        self.id_col, self.kind = id_col, kind.simpleString()
+        self.blocks = vectors.select(id_col, "vec").mapInArrow(pack, f"ids array<{self.kind}>, dims int, unit binary").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def nearest(self, vector: list[float], k: int) -> DataFrame:
+        """The k most similar vectors: each block hands on k rows."""
+        asked = np.asarray(vector, np.float32)
+        asked = asked / (np.linalg.norm(asked) or 1.0)
+        id_col = self.id_col
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    if batch.column(1)[i].as_py() != len(asked):
+                        continue
+                    sim = np.frombuffer(batch.column(2)[i].as_buffer(), np.float32).reshape(-1, len(asked)) @ asked
+                    kth = np.partition(sim, len(sim) - min(k, len(sim)))[len(sim) - min(k, len(sim))]
+                    some = np.flatnonzero(sim >= kth)  # ties stay, the ids decide below
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[i].values.take(pa.array(some)), pa.array(sim[some].astype(np.float64))], names=[id_col, "sim"])
+
+        return self.blocks.mapInArrow(run, f"`{id_col}` {self.kind}, sim double").orderBy(F.col("sim").desc(), id_col).limit(k)
+
+    def close(self) -> None:
+        self.blocks.unpersist()
 
 
 def candidates(graph: Graph, query: Query, config: RankConfig = RankConfig()) -> DataFrame:
@@ -85,9 +146,9 @@ def candidates(graph: Graph, query: Query, config: RankConfig = RankConfig()) ->
     return nodes.select(*graph.nodes.columns)
 
 
-def scored(graph: Graph, query: Query, as_of: Column, config: RankConfig = RankConfig()) -> DataFrame:
-    """Candidates with lex, vec, rec, cen, dep and score."""
-    found = candidates(graph, query, config)
+def scored(graph: Graph, query: Query, as_of: Column, config: RankConfig = RankConfig(), found: DataFrame | None = None) -> DataFrame:
+    """Candidates (found, if they are known) with lex, vec, rec, cen, dep and score."""
+    found = candidates(graph, query, config) if found is None else found
     recency = graph.changes.groupBy(F.col("path").alias("file_path")).agg(decay(age_days(F.max("committed_at"), as_of)).alias("_rec"))
     degree = graph.edges.where("type = 'CALLS'").groupBy(F.col("target").alias("qualified_name")).agg(F.count("*").alias("_deg"))
     most = degree.agg(F.greatest(F.max("_deg"), F.lit(1)).alias("_most"))
@@ -108,11 +169,20 @@ def scored(graph: Graph, query: Query, as_of: Column, config: RankConfig = RankC
 
 def ranked(graph: Graph, query: Query, as_of: Column, config: RankConfig = RankConfig(), limit: int = 200, offset: int = 0) -> DataFrame:
     """A page of scored candidates, the best first, ties by qualified name."""
-    return scored(graph, query, as_of, config).orderBy(F.col("score").desc(), "qualified_name").offset(offset).limit(limit)
+    return _page(scored(graph, query, as_of, config), limit, offset)
+
+
+def _page(scores: DataFrame, limit: int, offset: int) -> DataFrame:
+    return scores.orderBy(F.col("score").desc(), "qualified_name").offset(offset).limit(limit)
 
 
 def search_graph(graph: Graph, query: Query, as_of: Column, config: RankConfig = RankConfig(), limit: int = 200, offset: int = 0) -> SearchPage:
     """A page with the total, which stays right past the last page."""
-    items = [r.asDict() for r in ranked(graph, query, as_of, config, limit, offset).collect()]
-    total = candidates(graph, query, config).count()
+    # the nearest vectors are searched once for the page and its total
+    found = candidates(graph, query, config).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        items = [r.asDict() for r in _page(scored(graph, query, as_of, config, found), limit, offset).collect()]
+        total = found.count()
+    finally:
+        found.unpersist()
     return SearchPage(items, total, offset + len(items) < total)

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions import expr
+from loomgraph.functions import embed, expr
 from loomgraph.operators import evolution, graph, latest, search
-from loomgraph.plans import rank_eval
+from loomgraph.plans import index_job, rank_eval
 from loomgraph.sources import python_source
 
 LINE_PARTS = evolution.Roles(path="l_partkey", commit="l_orderkey", author="l_returnflag", ts="l_shipdate", churn="l_quantity + l_linenumber")
@@ -152,8 +152,7 @@ def lexical_binary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_flag(spark: SparkSession, d: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, d, "events").where(k > 90).select("event_id", k.alias("k"))
+    return symbols(spark, d).select("qualified_name", expr.json_flag(F.col("properties"), "deprecated").alias("deprecated"), expr.json_flag(F.col("properties"), "none").alias("missing"))
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -185,8 +184,23 @@ def hybrid_search_page2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_total(spark: SparkSession, d: str) -> DataFrame:
-    total = search.candidates(search.Graph(symbols(spark, d), None, None), search.Query("red")).agg(F.count("*").alias("total"))
-    return total.withColumn("has_more", F.col("total") > 20)
+    """The totals of search pages by text and vector: the first, one within, one past the last."""
+    g, query = symbol_graph(spark, d), search.Query("red", vector=first_vector(spark, d))
+    rows = []
+    for offset in (0, 40, 1_000_000):
+        page = search.search_graph(g, query, as_of(LINE_AS_OF), limit=30, offset=offset)
+        rows.append((offset, len(page.items), page.total, page.has_more))
+    return spark.createDataFrame(rows, "first long, n long, total long, has_more boolean")
+
+
+def semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a hashed query vector finds the symbols with the same tokens: symbols by text and
+    vector, with the nearest ones' similarity."""
+    model = embed.HashedTokens(64)
+    names = symbols(spark, d).select("name").distinct()
+    vectors = embed.embedded(names.select(F.col("name").alias("qualified_name"), F.col("name").alias("text")), model)
+    near = search.nearest(vectors, model.vectors(["red widget"])[0].tolist(), 1)
+    return near.select("qualified_name", F.round("sim", 4).alias("sim"))
 
 
 # --- text and evaluation
@@ -196,29 +210,54 @@ def rename_expand(spark: SparkSession, d: str) -> DataFrame:
     """Change paths made from page addresses: plain, with a brace, and with an arrow."""
     path = F.regexp_replace("url", r"^[a-z]+://", "")
     made = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("src/{ => core}/"), path)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("old/"), path, F.lit(" => new/"), path)).otherwise(path)
-    pages = table(spark, d, "pages").select("page_id", made.alias("p"))
-    return pages.select("page_id", expr.renamed_from(F.col("p")).alias("old_path"), expr.renamed_to(F.col("p")).alias("path"))
+    pages = table(spark, d, "pages").select("page_id", expr.rename_sides(made).alias("p"))
+    return pages.select("page_id", F.col("p.old").alias("old_path"), F.col("p.new").alias("path"))
 
 
 def snippet(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", expr.lines_between(F.col("text"), F.lit(2), F.lit(4)).alias("snippet"))
+    r"""Lines of texts whose lines end in \n, \r\n or \r, by id."""
+    text = F.when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit("\n"), F.lit("\r\n"))).when(F.col("doc_id") % 3 == 2, F.replace("text", F.lit("\n"), F.lit("\r"))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", expr.lines_between(text, F.lit(2), F.lit(4)).alias("snippet"))
+
+
+def module_names(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("src/"), F.regexp_replace("url", r"^[a-z]+://", ""), F.when(F.col("page_id") % 2 == 0, F.lit("/__init__.py")).otherwise(F.lit(".py")))
+    return table(spark, d, "pages").select("page_id", expr.module_name(path).alias("module"))
+
+
+def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
+    doc = F.when(F.col("start_line") % 2 == 0, F.col("label"))
+    return symbols(spark, d).select("qualified_name", expr.embedding_text(F.col("qualified_name"), doc).alias("text"))
 
 
 def density_gate(spark: SparkSession, d: str) -> DataFrame:
-    out = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.char_length("text")).alias("chars"))
-    density = F.col("docs") / F.greatest(F.col("chars") / 1000, F.lit(0.001))
-    return out.select("source", "docs", F.round(density, 6).alias("density"), (density < 0.4).alias("degraded"))
+    """Documents as symbols, their lines as lines, sources as projects."""
+    lines = F.size(F.split("text", "\n", -1))
+    out = table(spark, d, "documents").groupBy("source").agg(F.count_distinct("lang").alias("files"), F.count("*").alias("docs"), F.sum(lines).alias("lines"))
+    density, bad = index_job.density(F.col("docs"), F.col("lines")), index_job.too_sparse(F.col("files"), F.col("docs"), F.col("lines"), 100.0)
+    return out.select("source", "docs", F.round(density, 6).alias("density"), bad.alias("degraded"))
+
+
+#: Weights of the signals in the three configurations that are compared.
+CONFIGS = {"blind": {"lex": 0.35}, "hybrid": {"lex": 0.35, "rec": 0.2}, "hybrid_dep": {"lex": 0.35, "rec": 0.2, "dep": -0.2}}
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels")
-    return labels.select(F.concat(F.lit("q"), (F.col("doc_id") % 20).cast("string")).alias("golden"), F.when(F.col("doc_id") % 20 < 10, "general").otherwise("staleness").alias("slice"), F.col("doc_id").alias("candidate"), F.col("doc_id").alias("pool_pos"), F.col("quality").cast("double").alias("lex"), F.col("toxic").cast("double").alias("dep"))
+    return labels.select(F.concat(F.lit("q"), (F.col("doc_id") % 20).cast("string")).alias("golden"), F.when(F.col("doc_id") % 20 < 10, "general").otherwise("staleness").alias("slice"), F.col("doc_id").alias("candidate"), F.col("doc_id").alias("pool_pos"), F.col("quality").cast("double").alias("lex"), F.col("toxic").cast("double").alias("dep"), (F.col("doc_id") % 7 / 8).alias("rec"))
 
 
 def mrr_by_slice(spark: SparkSession, d: str) -> DataFrame:
     pool = _pool(spark, d)
     goldens = pool.groupBy("golden", "slice").agg(F.max("candidate").alias("expected"))
-    return rank_eval.mrr_by_slice(pool, goldens, {"blind": {"lex": 0.35}, "hybrid": {"lex": 0.35, "dep": -0.2}})
+    return rank_eval.mrr_by_slice(pool, goldens, CONFIGS)
+
+
+def ranking_gates(spark: SparkSession, d: str) -> DataFrame:
+    """The gates' verdict on the registered configurations, as one row."""
+    rows = mrr_by_slice(spark, d).collect()
+    reasons = rank_eval.gates({(r["slice"], r["config"]): r["mrr"] for r in rows}, "staleness")
+    return spark.createDataFrame([(not reasons, len(reasons))], "passed boolean, reasons long")
 
 
 def noise_band(spark: SparkSession, d: str) -> DataFrame:
@@ -231,18 +270,57 @@ def report_summary(spark: SparkSession, d: str) -> DataFrame:
     return rank_eval.report_summary(rows, "all").drop("all")
 
 
-def page_parse_udtf(spark: SparkSession, d: str) -> DataFrame:
-    """Pages as sources: each becomes a module with a function, and is parsed."""
-    pages = table(spark, d, "pages")
-    code = F.concat(F.lit("import os\n\ndef page_"), F.col("page_id").cast("string"), F.lit('():\n    """'), F.replace(F.regexp_extract("html", "<title>([^<\"\\\\\\\\]*)", 1), F.lit("\n"), F.lit(" ")), F.lit('"""\n    return 1\n'))
-    sources = pages.select(F.concat(F.lit("site/p"), F.col("page_id").cast("string"), F.lit(".py")).alias("path"), F.encode(code, "utf-8").alias("content"))
-    return python_source.parsed(sources)
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations as answers with the tools they used."""
+    turns = table(spark, d, "conversations")
+    tool = F.concat(F.lit("tool"), (F.length("text") % 4).cast("string"))
+    return turns.select(F.col("conv_id").cast("string").alias("golden_id"), tool.alias("tool"), (F.length("text") % 5 == 0).alias("is_error"), (F.col("turn") % 2 == 0).alias("passed"), F.when(F.col("turn") % 3 > 0, F.col("turn")).alias("input"), F.length("text").cast("long").alias("output"))
+
+
+def tool_tally(spark: SparkSession, d: str) -> DataFrame:
+    return rank_eval.tool_tally(_answers(spark, d))
+
+
+def leaked_tools(spark: SparkSession, d: str) -> DataFrame:
+    used = _answers(spark, d).groupBy("golden_id").agg(F.collect_set("tool").alias("tools"))
+    return rank_eval.leaked_tools(used, ["tool0", "tool1"]).select("golden_id", F.array_join(F.array_sort("leaked"), " ").alias("leaked"))
+
+
+def failed_answers(spark: SparkSession, d: str) -> DataFrame:
+    return rank_eval.failures(_answers(spark, d)).groupBy("golden_id", "reason").agg(F.count("*").alias("n"))
+
+
+def token_totals(spark: SparkSession, d: str) -> DataFrame:
+    return _answers(spark, d).groupBy("golden_id").agg(F.sum(rank_eval.token_total("input", "output")).alias("tokens"))
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as a module: a function a line of its text, which is the docstring."""
+    line = lambda x, i: F.concat(F.lit("def f"), i.cast("string"), F.lit('():\n    """'), F.regexp_replace(x, "[^A-Za-z0-9 ]", ""), F.lit('"""\n    return helper()\n'))
+    body = F.array_join(F.transform(F.split("text", "\n", -1), line), "")
+    code = F.concat(F.lit("import os.path\nfrom lib import helper\n\n"), body)
+    path = F.concat(F.lit("corpus/d"), F.col("doc_id").cast("string"), F.lit(".py"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select(path.alias("path"), F.encode(code, "utf-8").alias("content"))
+
+
+def parsed_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return python_source.nodes_of(python_source.parsed(_sources(spark, d)), "p", 1).select("label", "name", "qualified_name", "file_path", "start_line", "end_line", "doc")
+
+
+def parsed_edges(spark: SparkSession, d: str) -> DataFrame:
+    return python_source.edges_of(python_source.parsed(_sources(spark, d)), "p", 1).select("source", "target", "type")
+
+
+def deprecation_share(spark: SparkSession, d: str) -> DataFrame:
+    rows = symbols(spark, d).select(F.lit("node").alias("kind"), "label", "properties")
+    return index_job.deprecation_share(rows)
 
 
 QUERIES = {f.__name__: f for f in (
     churn, coupling, coupling_sparse, ownership, recency, file_evolution, author_counts, latest_version, exact_distinct, in_degree, trace_callees, trace_callers, reachable, schema_info,
     filter_ci_substring, filter_regex, filter_label, subtoken_jaccard, lexical_binary, json_flag, vector_topk, vector_left_guard, candidate_union, hybrid_search, hybrid_search_page2, search_total,
-    rename_expand, snippet, density_gate, mrr_by_slice, noise_band, report_summary, page_parse_udtf,
+    semantic_search, rename_expand, snippet, module_names, embedding_texts, density_gate, mrr_by_slice, ranking_gates, noise_band, report_summary, tool_tally, leaked_tools, failed_answers, token_totals,
+    parsed_nodes, parsed_edges, deprecation_share,
 )}
 
 
@@ -277,7 +355,7 @@ symbols AS (
 
 
 def _lex_sql(query: str) -> str:
-    tokens = "[" + ", ".join(f"'{t}'" for t in expr.python_subtokens(query)) + "]"
+    tokens = "[" + ", ".join(f"'{t}'" for t in query.split()) + "]"
     own = _TOKENS.format(s="name")
     return f"greatest(len(list_intersect({own}, {tokens})) / greatest(len(list_distinct(list_concat({own}, {tokens}))), 1), CASE WHEN contains(lower(qualified_name), '{query}') THEN 0.15 ELSE 0.0 END)"
 
@@ -301,6 +379,18 @@ signals AS (
 SELECT *, round(0.35 * lex + 0.3 * vec + 0.2 * rec + 0.15 * cen - 0.2 * dep, 4) AS score FROM signals ORDER BY score DESC, qualified_name LIMIT {limit} OFFSET {offset}"""
 
 
+_MRR = """
+WITH pool AS (SELECT 'q' || (doc_id % 20)::VARCHAR AS golden, CASE WHEN doc_id % 20 < 10 THEN 'general' ELSE 'staleness' END AS slice, doc_id, quality, toxic, doc_id % 7 / 8 AS rec FROM labels),
+g AS (SELECT golden, slice, max(doc_id) AS expected FROM pool GROUP BY 1, 2),
+configs(config, wl, wr, wd) AS (VALUES ('blind', 0.35::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('hybrid', 0.35::DOUBLE, 0.2::DOUBLE, 0.0::DOUBLE), ('hybrid_dep', 0.35::DOUBLE, 0.2::DOUBLE, -0.2::DOUBLE)),
+r AS (SELECT config, golden, doc_id, row_number() OVER (PARTITION BY config, golden ORDER BY wl * quality + wr * rec + wd * toxic DESC, doc_id) AS k FROM pool, configs)
+SELECT slice, config, count(*) AS n, round(avg(CASE WHEN k <= 10 THEN 1.0::DOUBLE / k ELSE 0 END), 6) AS mrr FROM g JOIN r ON r.golden = g.golden AND r.doc_id = g.expected GROUP BY 1, 2"""
+_ANSWERS = """
+a AS (SELECT conv_id::VARCHAR AS golden_id, 'tool' || (length(text) % 4)::VARCHAR AS tool, length(text) % 5 = 0 AS is_error, turn % 2 = 0 AS passed, CASE WHEN turn % 3 > 0 THEN turn ELSE 0 END + length(text) AS tokens FROM conversations)"""
+_LINES = """
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, 'corpus/d' || doc_id::VARCHAR || '.py' AS path, 'corpus.d' || doc_id::VARCHAR AS module, i, line FROM l)"""
+
 SQL = {
     "churn": "SELECT l_partkey AS path, count(*) AS commits, sum(l_quantity + l_linenumber) AS churn, max(l_shipdate) AS last_touched FROM lineitem GROUP BY 1",
     "coupling": _coupling_sql("l_suppkey", 20),
@@ -334,7 +424,7 @@ SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey,
     "filter_label": f"WITH {_SYMBOLS.strip()} SELECT qualified_name, label FROM symbols WHERE label = 'STANDARD'",
     "subtoken_jaccard": f"WITH {_SYMBOLS.strip()} SELECT qualified_name, array_to_string({_TOKENS.format(s='qualified_name')}, ' ') AS tokens, round({_lex_sql(SEARCH_TEXT)}, 3) AS lex FROM symbols",
     "lexical_binary": f"WITH {_SYMBOLS.strip()} SELECT qualified_name, CASE WHEN contains(lower(name), 'red') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS lex FROM symbols",
-    "json_flag": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE json_extract_string(props, '$.k')::BIGINT > 90",
+    "json_flag": f"WITH {_SYMBOLS.strip()} SELECT qualified_name, deprecated, false AS missing FROM symbols",
     "vector_topk": f"SELECT vec_id, round(sim, 6) AS sim FROM (SELECT vec_id, {_SIM.format(v='embedding')} AS sim FROM embeddings) ORDER BY sim DESC, vec_id LIMIT 100",
     "vector_left_guard": f"WITH {_SYMBOLS.strip()} SELECT qualified_name, round(CASE WHEN embedding IS NULL THEN 0.0 ELSE {_SIM.format(v='embedding')} END, 6) AS vec FROM symbols LEFT JOIN embeddings ON vec_id = key",
     "candidate_union": f"""
@@ -343,22 +433,44 @@ top AS (SELECT qualified_name FROM (SELECT qualified_name, {_SIM.format(v='embed
 SELECT qualified_name FROM symbols WHERE contains(lower(name), '{SEARCH_TEXT}') OR contains(lower(qualified_name), '{SEARCH_TEXT}') OR qualified_name IN (SELECT qualified_name FROM top)""",
     "hybrid_search": _search_sql(20, 0),
     "hybrid_search_page2": _search_sql(20, 20),
-    "search_total": f"WITH {_SYMBOLS.strip()} SELECT count(*) AS total, count(*) > 20 AS has_more FROM symbols WHERE contains(lower(name), 'red') OR contains(lower(qualified_name), 'red')",
+    "search_total": f"""
+WITH {_SYMBOLS.strip()},
+top AS (SELECT qualified_name FROM (SELECT qualified_name, {_SIM.format(v='embedding')} AS sim FROM embeddings JOIN symbols ON vec_id = key) ORDER BY sim DESC, qualified_name LIMIT 100),
+t AS (SELECT count(*) AS total FROM symbols WHERE contains(lower(name), 'red') OR contains(lower(qualified_name), 'red') OR qualified_name IN (SELECT qualified_name FROM top))
+SELECT f.first::BIGINT AS first, greatest(0, least(30, total - f.first))::BIGINT AS n, total, f.first + greatest(0, least(30, total - f.first)) < total AS has_more FROM t, (VALUES (0), (40), (1000000)) f(first)""",
+    "semantic_search": "SELECT p_name AS qualified_name, 1.0::DOUBLE AS sim FROM part WHERE lower(p_name) = 'red widget' GROUP BY 1",
     "rename_expand": r"""
 WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS u FROM pages)
 SELECT page_id, CASE page_id % 3 WHEN 0 THEN replace('src//' || u, '//', '/') WHEN 1 THEN 'old/' || u END AS old_path,
   CASE page_id % 3 WHEN 0 THEN replace('src/core/' || u, '//', '/') WHEN 1 THEN 'new/' || u ELSE u END AS path FROM p""",
     "snippet": "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS snippet FROM documents",
+    "module_names": r"SELECT page_id, replace('src/' || regexp_replace(url, '^[a-z]+://', ''), '/', '.') AS module FROM pages",
+    "embedding_texts": f"WITH {_SYMBOLS.strip()} SELECT qualified_name, trim(array_to_string({_TOKENS.format(s='qualified_name')}, ' ') || '. ' || CASE WHEN start_line % 2 = 0 THEN label ELSE '' END) AS text FROM symbols",
     "density_gate": """
-SELECT source, docs, round(docs / greatest(chars / 1000, 0.001), 6) AS density, docs / greatest(chars / 1000, 0.001) < 0.4 AS degraded
-FROM (SELECT source, count(*) AS docs, sum(length(text)) AS chars FROM documents GROUP BY 1)""",
-    "mrr_by_slice": """
-WITH pool AS (SELECT 'q' || (doc_id % 20)::VARCHAR AS golden, CASE WHEN doc_id % 20 < 10 THEN 'general' ELSE 'staleness' END AS slice, doc_id, quality, toxic FROM labels),
-g AS (SELECT golden, slice, max(doc_id) AS expected FROM pool GROUP BY 1, 2),
-configs(config, wl, wd) AS (VALUES ('blind', 0.35::DOUBLE, 0.0::DOUBLE), ('hybrid', 0.35::DOUBLE, -0.2::DOUBLE)),
-r AS (SELECT config, golden, doc_id, row_number() OVER (PARTITION BY config, golden ORDER BY wl * quality + wd * toxic DESC, doc_id) AS k FROM pool, configs)
-SELECT slice, config, count(*) AS n, round(avg(CASE WHEN k <= 10 THEN 1.0::DOUBLE / k ELSE 0 END), 6) AS mrr FROM g JOIN r ON r.golden = g.golden AND r.doc_id = g.expected GROUP BY 1, 2""",
+SELECT source, docs, round(docs / greatest(lines / 1000, 0.001), 6) AS density, docs / greatest(lines / 1000, 0.001) < 100 AS degraded
+FROM (SELECT source, count(*) AS docs, sum(len(string_split(text, chr(10)))) AS lines FROM documents GROUP BY 1)""",
+    "mrr_by_slice": _MRR,
+    "ranking_gates": f"""
+WITH m AS ({_MRR}),
+w AS (SELECT b.slice, n.mrr - b.mrr AS gain FROM m b JOIN m n ON b.slice = n.slice WHERE b.config = 'blind' AND n.config = 'hybrid'),
+bad AS (SELECT count_if(CASE WHEN slice = 'staleness' THEN gain < 0.1 ELSE -gain > 0.02 END)::BIGINT AS reasons FROM w)
+SELECT reasons = 0 AS passed, reasons FROM bad""",
     "noise_band": "SELECT role, count(*) AS n, round(avg(length(text)), 4) AS mean, min(length(text))::DOUBLE AS min, max(length(text))::DOUBLE AS max, round(coalesce(stddev_samp(length(text)), 0), 4) AS stdev FROM conversations GROUP BY 1",
     "report_summary": """
 SELECT count(*) AS n, count_if(quality = 1)::BIGINT AS passed, round(count_if(quality = 1) / count(*), 6) AS quality, sum(doc_id)::BIGINT AS tokens_total, round(sum(doc_id) / count(*), 4) AS tokens_mean, round(count_if(toxic = 1) / count(*), 6) AS graph_adoption FROM labels""",
+    "tool_tally": f"WITH {_ANSWERS.strip()} SELECT golden_id, tool, count(*) AS n FROM a GROUP BY 1, 2",
+    "leaked_tools": f"WITH {_ANSWERS.strip()} SELECT golden_id, string_agg(DISTINCT tool, ' ' ORDER BY tool) AS leaked FROM a WHERE tool NOT IN ('tool0', 'tool1') GROUP BY 1",
+    "failed_answers": f"WITH {_ANSWERS.strip()} SELECT golden_id, CASE WHEN is_error THEN 'agent_error' ELSE 'judge_fail' END AS reason, count(*) AS n FROM a WHERE is_error OR NOT passed GROUP BY 1, 2",
+    "token_totals": f"WITH {_ANSWERS.strip()} SELECT golden_id, sum(tokens)::BIGINT AS tokens FROM a GROUP BY 1",
+    "parsed_nodes": f"""
+WITH {_LINES.strip()}
+SELECT 'Function' AS label, 'f' || i::VARCHAR AS name, module || '.f' || i::VARCHAR AS qualified_name, path AS file_path, (4 + 3 * i)::INTEGER AS start_line, (6 + 3 * i)::INTEGER AS end_line,
+  substr(trim(regexp_replace(line, '[^A-Za-z0-9 ]', '', 'g')), 1, 200) AS doc FROM n
+UNION ALL SELECT 'File', 'd' || doc_id::VARCHAR || '.py', path, path, 1, (4 + 3 * count(*))::INTEGER, '' FROM n GROUP BY doc_id, path""",
+    "parsed_edges": f"""
+WITH {_LINES.strip()}
+SELECT path AS source, module || '.f' || i::VARCHAR AS target, 'DEFINES' AS type FROM n
+UNION ALL SELECT module || '.f' || i::VARCHAR, 'lib.helper', 'CALLS' FROM n
+UNION ALL SELECT DISTINCT path, t.x, 'IMPORTS' FROM n, (VALUES ('os.path'), ('lib.helper')) t(x)""",
+    "deprecation_share": f"WITH {_SYMBOLS.strip()} SELECT count(*) AS symbols, count_if(deprecated)::BIGINT AS flagged, round(100 * count_if(deprecated) / count(*), 4) AS percent FROM symbols",
 }

@@ -6,9 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.embed import Embedder, embedded
 from loomgraph.functions.expr import embedding_text
 from loomgraph.operators import evolution
 from loomgraph.operators.latest import latest_version
@@ -30,11 +31,26 @@ class IndexResult:
     degraded_reasons: list[str] = field(default_factory=list)
 
 
-def density_reasons(files: int, symbols: int, lines: int) -> list[str]:
-    density = symbols / max(lines / 1000, 0.001)
-    if files and density < LEAST_DENSITY:
-        return [f"nodes-per-KLOC: {density:.1f} is below {LEAST_DENSITY} ({symbols} symbols in {lines} lines)"]
-    return []
+def density(symbols: Column, lines: Column) -> Column:
+    """Symbols per thousand lines."""
+    return symbols / F.greatest(lines / 1000, F.lit(0.001))
+
+
+def too_sparse(files: Column, symbols: Column, lines: Column, least: float = LEAST_DENSITY) -> Column:
+    """Whether files were read but hold too few symbols to be believed."""
+    return (files > 0) & (density(symbols, lines) < least)
+
+
+def density_reasons(counts: DataFrame) -> list[str]:
+    """The gate's answer for one row of files, symbols and lines."""
+    one = tuple(F.coalesce(F.col(c), F.lit(0)) for c in ("files", "symbols", "lines"))
+    row = counts.select(*[c.alias(n) for c, n in zip(one, ("files", "symbols", "lines"), strict=True)], density(*one[1:]).alias("density"), too_sparse(*one).alias("bad")).first()
+    return [f"nodes-per-KLOC: {row['density']:.1f} is below {LEAST_DENSITY} ({row['symbols']} symbols in {row['lines']} lines)"] if row["bad"] else []
+
+
+def vector_reasons(symbols: int, vectors: int) -> list[str]:
+    """The vector gate: every symbol that has a text has a vector."""
+    return [] if symbols == vectors else [f"vectors: {vectors} of {symbols} symbols"]
 
 
 def deprecation_share(rows: DataFrame) -> DataFrame:
@@ -44,9 +60,21 @@ def deprecation_share(rows: DataFrame) -> DataFrame:
     return symbols.agg(F.count("*").alias("symbols"), flagged.alias("flagged"), F.round(100 * flagged / F.greatest(F.count("*"), F.lit(1)), 4).alias("percent"))
 
 
-def index_repository(store: Store, root: str | Path, project: str, as_of: Column, embed: Callable[[DataFrame], DataFrame] | None = None, on_progress: Callable[[str], None] | None = None) -> IndexResult:
-    """Writes a generation and publishes it. embed: (qualified_name, text) to (qualified_name,
-    vec), optional. A failure leaves the generation before in place, state failed."""
+def deprecation_audit(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """project, symbols, flagged, percent, names (the flagged ones) over all .py files below each
+    root, tracked or not."""
+    out = None
+    for project, root in sorted(roots.items()):
+        rows = python_source.parsed(python_source.read_sources(spark, str(Path(root).resolve())))
+        names = rows.where("kind = 'node' AND label <> 'File' AND properties LIKE '%true%'").agg(F.array_sort(F.collect_set("qualified_name")).alias("names"))
+        one = deprecation_share(rows).crossJoin(names).select(F.lit(project).alias("project"), "symbols", "flagged", "percent", "names")  # a row each
+        out = one if out is None else out.union(one)
+    return out
+
+
+def index_repository(store: Store, root: str | Path, project: str, as_of: Column, embedder: Embedder | None = None, on_progress: Callable[[str], None] | None = None) -> IndexResult:
+    """Writes a generation and publishes it. embedder: optional; one that isn't available is
+    passed over. A failure leaves the generation before in place, state failed."""
     spark, say = store.spark, on_progress or (lambda step: None)
     version = store.next_version()
     store.set_status("running", version=version)
@@ -61,19 +89,23 @@ def index_repository(store: Store, root: str | Path, project: str, as_of: Column
         # of equal keys in one load the one further down wins
         store.write(version, "nodes", latest_version(nodes, TABLES["nodes"][1], [F.col("version"), F.col("start_line"), F.col("end_line"), F.col("label")]))
         store.write(version, "edges", edges.dropDuplicates(TABLES["edges"][1]))
-        if embed:
+        reasons = []
+        if embedder and embedder.available():
             say("embed")
             texts = nodes.where("label <> 'File'").select("qualified_name", embedding_text(F.col("name"), F.col("doc")).alias("text")).dropDuplicates(["qualified_name"])
-            store.write(version, "embeddings", embed(texts).select(F.lit(project).alias("project"), "qualified_name", "vec", F.lit(version).cast("long").alias("version")))
+            store.write(version, "embeddings", embedded(texts, embedder).select(F.lit(project).alias("project"), "qualified_name", "vec", F.lit(version).cast("long").alias("version")))
+            reasons += vector_reasons(texts.count(), spark.read.parquet(str(store.folder / f"gen={version}" / "embeddings")).count())
         say("history")
-        commits, changes = git.read_history(spark, root, project)
+        log = store.folder / f"gen={version}" / "_log"
+        git.read_commits(spark, Path(root).resolve()).write.mode("overwrite").parquet(str(log))
+        commits, changes = git.tables_of(spark.read.schema(git.COMMIT).parquet(str(log)), project)
         store.write(version, "git_commits", commits)
         store.write(version, "git_file_changes", changes)
         changes = spark.read.parquet(str(store.folder / f"gen={version}" / "git_file_changes"))
         store.write(version, "file_evolution", evolution.file_evolution(changes, as_of, version))
         count = rows.agg(F.count_if(F.col("kind") == "node").alias("nodes"), F.count_if(F.col("kind") == "edge").alias("edges"), F.count_if(F.col("label") == "File").alias("files"), F.sum("lines").alias("lines"), F.count_if(~F.col("parsed")).alias("bad")).first()
-        reasons = git.count_reasons(root, commits.count(), changes.count())
-        reasons += density_reasons(len(tracked), count["nodes"] - count["files"], count["lines"] or 0)
+        reasons += git.count_reasons(root, commits.count(), changes.count())
+        reasons += density_reasons(rows.agg(F.count_if(F.col("label") == "File").alias("files"), F.count_if((F.col("kind") == "node") & (F.col("label") != "File")).alias("symbols"), F.sum("lines").alias("lines")))
         if count["bad"]:
             reasons.append(f"{count['bad']} of {count['files']} files don't parse")
         store.publish(version)

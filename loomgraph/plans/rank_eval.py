@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Ranks that count.
@@ -110,6 +112,66 @@ def checked_goldens(rows: list[dict], categories: set[str]) -> list[Golden]:
     return out
 
 
+def _yaml(path: Path):
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the package pyyaml") from e
+    return yaml.safe_load(path.read_text()) or []
+
+
+#: The categories of questions.
+CATEGORIES = frozenset({"symbol_lookup", "caller_callee", "impact", "architecture", "data_flow", "evolution"})
+#: Slices of ranking goldens.
+SLICES = frozenset({"staleness", "general", "semantic"})
+
+
+def load_goldens(folder: Path, categories: frozenset[str] = CATEGORIES) -> list[Golden]:
+    """The goldens of all YAML files of a folder, checked together."""
+    return checked_goldens([r for path in sorted(Path(folder).glob("*.yaml")) for r in _yaml(path)], set(categories))
+
+
+def load_ranking_goldens(spark: SparkSession, path: Path, slices: frozenset[str] = SLICES) -> DataFrame:
+    """golden, slice, expected, repo of a YAML list of (query, expected, repo, slice)."""
+    rows = []
+    for r in _yaml(Path(path)):
+        if r.get("slice") not in slices or not r.get("query") or not r.get("expected"):
+            raise ValueError(f"no ranking golden: {r}")
+        rows.append((r["query"], r["slice"], r["expected"], r.get("repo", "")))
+    return spark.createDataFrame(rows, "golden string, slice string, expected string, repo string")
+
+
+def load_corpus(path: Path) -> dict[str, dict]:
+    """The repositories of a corpus file by name; each has its address and commit."""
+    out = {}
+    for r in _yaml(Path(path))["repos"]:
+        if r["name"] in out or not re.fullmatch(r"[0-9a-f]{7,40}", str(r["sha"])):
+            raise ValueError(f"{r['name']}: repeated, or no commit")
+        out[r["name"]] = {"repo": r["repo"], "sha": r["sha"], "language": r["language"], "role": r.get("role", "")}
+    return out
+
+
+def ranking_run(pool: DataFrame, goldens: DataFrame, configs: dict[str, dict[str, float]], improved: str, folder: Path, provenance: dict, base: str = "blind", new: str = "hybrid") -> dict:
+    """MRR of each slice and configuration, the gates' reasons, and where they come from, as a JSON
+    artifact named by its content: a later run doesn't overwrite an earlier one."""
+    rows = [r.asDict() for r in mrr_by_slice(pool, goldens, configs).orderBy("slice", "config").collect()]
+    reasons = gates({(r["slice"], r["config"]): r["mrr"] for r in rows}, improved, base, new)
+    run = {"provenance": provenance, "configs": configs, "mrr": rows, "passed": not reasons, "reasons": reasons}
+    text = json.dumps(run, indent=2, sort_keys=True)
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / f"rank-{hashlib.sha256(text.encode()).hexdigest()[:12]}.json").write_text(text)
+    return run
+
+
+def judge_prompt(golden: Golden, answer: str) -> str:
+    """What a judge is asked: one flag for each key point, as JSON."""
+    points = "\n".join(f"{k}. {p}" for k, p in enumerate(golden.key_points, 1))
+    return (
+        f"Question:\n{golden.question}\n\nKey points:\n{points}\n\nAnswer to judge:\n{answer}\n\n"
+        f'For each of the {len(golden.key_points)} key points say whether the answer covers it. Reply with JSON alone: {{"covered": [true or false, ...], "score": 0 to 1}}'
+    )
+
+
 def parsed_verdict(text: str, key_points: int) -> dict:
     """The first JSON object of a judge's answer; `covered` must have one flag a key point."""
     start = text.index("{")

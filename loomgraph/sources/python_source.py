@@ -3,13 +3,14 @@
 Files come as rows (path, content), for example from Spark's binaryFile reader; each
 is parsed where it lies.  A call becomes an edge only if its name is bound by a
 module-level definition or an import and isn't rebound in the functions around it.
-Sources that don't parse give their File row alone, marked as not parsed.
+A source with errors is marked as not parsed and gives the rows of what does parse.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+import uuid
 import warnings
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ DEPRECATION = re.compile(r"(?:Pending)?DeprecationWarning\b|RemovedIn\w*Warning\
 WARN_CALLS = ("warnings.warn", "warn")
 
 _STRING = re.compile(r"""^[A-Za-z]*(\"{3}|'{3}|"|')(.*)\1$""", re.S)
+# lines with their ends, as the parser counts them
+_LINES = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -42,9 +45,16 @@ class _Module:
         self.path, self.text, self.tree, self.name = path, text, tree, module_of(path)
         self.bound: dict[str, str] = {}
         self.imports: dict[str, str] = {}
+        self.lines = [line.encode() for line in _LINES.findall(text)]
 
     def _source(self, node: ast.AST) -> str:
-        return ast.get_source_segment(self.text, node) or ""
+        """The node's text; the lines are split once a file."""
+        part = self.lines[node.lineno - 1 : node.end_lineno]
+        if not part:
+            return ""
+        part[-1] = part[-1][: node.end_col_offset]
+        part[0] = part[0][node.col_offset :]
+        return b"".join(part).decode(errors="replace")
 
     # --- descriptions and deprecation
 
@@ -152,20 +162,65 @@ class _Module:
             stack += [(c, scope, hidden) for c in ast.iter_child_nodes(node)]
 
 
+#: Lines of a statement that are given up one after the other before the statement is.
+_GIVEN_UP = 40
+
+
+def _statements(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, end) line numbers of what begins in the first column: a decorator belongs to what
+    follows, a closing bracket or a continued block to what comes before."""
+    first = None
+    for k, line in enumerate(lines):
+        begins = line[:1] not in ("", " ", "\t", "#", "\r", "\n", ")", "]", "}") and not re.match(r"(else|elif|except|finally)\b", line)
+        if begins and not (first is not None and all(x.startswith("@") or not x.strip() for x in lines[first:k])):
+            if first is not None:
+                yield first, k
+            first = k
+    if first is not None:
+        yield first, len(lines)
+
+
+def _tolerant(text: str) -> tuple[ast.Module, bool]:
+    """(tree, whether all of the text is in it). Statements are parsed one by one where the whole
+    doesn't parse; in a broken one the lines with errors are passed over."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            return ast.parse(text), True
+        except (SyntaxError, ValueError):
+            pass
+        lines, body = _LINES.findall(text.replace("\0", " ")), []
+        for first, end in _statements(lines):
+            part = lines[first:end]
+            for _ in range(_GIVEN_UP):
+                try:
+                    tree = ast.parse("\n" * first + "".join(part))
+                except SyntaxError as e:
+                    at = min(max((e.lineno or 1) - 1 - first, 0), len(part) - 1)
+                    while at and not part[at].strip(" \t\r\n"):
+                        at -= 1  # the error is seen on a later line than it is
+                    # first the line's code goes, then, if its indent is the error, all of it
+                    part[at] = "\n" if part[at].strip() == "pass" else re.match(r"[ \t]*", part[at])[0] + "pass\n"
+                else:
+                    body += tree.body
+                    break
+        return ast.Module(body, []), False
+
+
 def parse_source(path: str, content: bytes) -> list[dict]:
     """Rows of a file: its File node first, then symbols, definitions, imports and calls. Never
     raises on bad sources."""
     lines = content.count(b"\n") + 1
-    file = {"kind": "node", "label": "File", "name": path.rsplit("/", 1)[-1], "qualified_name": path, "start_line": 1, "end_line": lines, "properties": "{}", "doc": "", "lines": lines, "parsed": True}
+    file = {"kind": "node", "label": "File", "name": path.rsplit("/", 1)[-1], "qualified_name": path, "start_line": 1, "end_line": lines, "properties": "{}", "doc": "", "lines": lines}
+    text = content.decode(errors="replace").removeprefix("\ufeff")
     try:
-        text = content.decode()
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            module = _Module(path, text, ast.parse(text))
+        tree, whole = _tolerant(text)
+        module = _Module(path, text, tree)
         found = [*module.symbols(), *module.calls()]
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return [file | {"file_path": path, "parsed": False}]
-    return [{**r, "file_path": path} for r in (file, *found)]
+        found, whole = [], False
+    whole = whole and text.encode() == content.removeprefix(b"\xef\xbb\xbf")  # else bytes were no UTF-8
+    return [{**r, "file_path": path} for r in (file | {"parsed": whole}, *found)]
 
 
 _NAMES = [c.split()[0] for c in ROW.split(", ")]
@@ -185,8 +240,9 @@ def parsed(sources: DataFrame) -> DataFrame:
     spark = sources.sparkSession
     ship(spark)
     spark.udtf.register("parse_python", ParsePython)
-    sources.select("path", "content").createOrReplaceTempView("_python_sources")
-    return spark.sql("SELECT p.* FROM _python_sources s, LATERAL parse_python(s.path, s.content) p")
+    view = f"python_sources_{uuid.uuid4().hex}"
+    sources.select("path", "content").createOrReplaceTempView(view)
+    return spark.sql(f"SELECT p.* FROM {view} s, LATERAL parse_python(s.path, s.content) p")
 
 
 def nodes_of(rows: DataFrame, project: str, version: int) -> DataFrame:
@@ -206,4 +262,4 @@ def read_sources(spark: SparkSession, root: str, tracked: list[str] | None = Non
     out = files.select(F.substring(path, F.length(base) + 1, F.length(path)).alias("path"), "content")
     if tracked is None:
         return out
-    return out.join(F.broadcast(spark.createDataFrame([(t,) for t in tracked], "path string")), "path", "left_semi")
+    return out.join(spark.createDataFrame([(t,) for t in tracked], "path string"), "path", "left_semi")

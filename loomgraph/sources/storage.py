@@ -47,6 +47,17 @@ def write_atomically(path: Path, data: dict) -> None:
     os.replace(name, path)
 
 
+def _alive(pid: int) -> bool:
+    """Whether a process of this machine runs."""
+    try:
+        os.kill(pid, 0)
+    except (ProcessLookupError, OverflowError):
+        return False
+    except PermissionError:
+        pass
+    return pid > 0
+
+
 class Store:
     """A project's tables below a folder that driver and executors share."""
 
@@ -79,19 +90,44 @@ class Store:
         for old in sorted(self.folder.glob("gen=*"), key=lambda p: int(p.name.split("=")[1]))[:-keep]:
             shutil.rmtree(old)
 
-    def read(self, table: str) -> DataFrame:
+    def read(self, table: str, session: SparkSession | None = None) -> DataFrame:
         """A table of the current generation; empty without one."""
-        schema = TABLES[table][0]
+        schema, spark = TABLES[table][0], session or self.spark
         place = self.folder / f"gen={self.generation}" / table
         if self.generation is None or not place.exists():
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(str(place))
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(str(place))
+
+    def compact(self, table: str, target_bytes: int = 128 << 20) -> int:
+        """Writes the current generation's table again in as few files as hold target_bytes each;
+        readers keep the old files until the swap. Returns the number of files."""
+        place = self.folder / f"gen={self.generation}" / table
+        files = list(place.glob("*.parquet"))
+        n = max(1, -(-sum(f.stat().st_size for f in files) // target_bytes))
+        if len(files) > n:
+            fresh, old = place.with_name(f"_{table}.new"), place.with_name(f"_{table}.old")
+            shutil.rmtree(fresh, ignore_errors=True)
+            self.read(table).coalesce(n).write.parquet(str(fresh))
+            os.replace(place, old)
+            os.replace(fresh, place)
+            shutil.rmtree(old)
+        return min(len(files), n)
 
     def sql(self, text: str, **values) -> DataFrame:
-        """A query over the current tables by their names; values are bound as :name."""
+        """A query over the current tables by their names; values are bound as :name. The names hold
+        in a session of its own, so that projects and a user's views don't meet."""
+        session = self.spark.newSession()
         for table in TABLES:
-            self.read(table).createOrReplaceTempView(table)
-        return self.spark.sql(text, args=values)
+            self.read(table, session).createOrReplaceTempView(table)
+        return session.sql(text, args=values)
+
+    def tables(self) -> list[str]:
+        """The tables of the current generation."""
+        place = self.folder / f"gen={self.generation}"
+        return sorted(t for t in TABLES if (place / t).exists())
+
+    def has_rows(self, table: str) -> bool:
+        return not self.read(table).isEmpty()
 
     def rows(self, text: str, **values) -> list[dict]:
         return [r.asDict(recursive=True) for r in self.sql(text, **values).collect()]
@@ -105,8 +141,10 @@ class Store:
         self.write(version, table, self.spark.read.schema(TABLES[table][0]).json(path))
 
     def delete(self) -> None:
-        """Forgets the graph; the folder and its version stay. Refused while a load runs."""
-        if self.status()["state"] in ("queued", "running"):
+        """Forgets the graph; the folder and its version stay. Refused while a load runs, which a
+        load of a process that is gone doesn't."""
+        now = self.status()
+        if now["state"] in ("queued", "running") and _alive(now.get("pid", 0)):
             raise RuntimeError("the project is being indexed")
         (self.folder / "current.json").unlink(missing_ok=True)
         for old in self.folder.glob("gen=*"):
@@ -116,7 +154,7 @@ class Store:
     def set_status(self, state: str, **more) -> None:
         if state not in STATES:
             raise ValueError(f"unknown state {state!r}")
-        write_atomically(self.folder / "status.json", {"state": state, **more, "updated_at": time.time()})
+        write_atomically(self.folder / "status.json", {"state": state, **more, "pid": os.getpid(), "updated_at": time.time()})
 
     def status(self) -> dict:
         path = self.folder / "status.json"

@@ -1,4 +1,5 @@
 import os
+import subprocess
 import sys
 from pathlib import Path
 
@@ -18,3 +19,19 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def repository(tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@example.com", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (root / "a.py").write_text("def f():\n    return g()\n\ndef g():\n    return 1\n")
+    (root / "b.py").write_text("from a import f\n\ndef h():\n    return f()\n")
+    (root / "raw.bin").write_bytes(bytes(range(256)))
+    run("add", "-A")
+    run("commit", "-qm", "one\ttab")
+    run("mv", "b.py", "c.py")
+    run("commit", "-qam", "rename")
+    return root, run
