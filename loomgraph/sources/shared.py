@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,32 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Paths made within each open scratch(), the innermost last.
+_scopes: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver ends."""
+    """A new path under the shared folder, removed at the end of the scratch() around, and at
+    the latest when the driver ends."""
     path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
     atexit.register(drop_path, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written within are removed at its end: by then what reads them must be
+    written to a path made outside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a written table or archive; a session that has ended is left alone."""
     with contextlib.suppress(Exception):
