@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.sources.shared import bucketed, drop_path, fresh_path, shared_dir, written
+from loomgraph.sources.shared import bucketed, drop_path, fresh_path, scratch, shared_dir, written
 
-__all__ = ["SPACE", "ascii_lower", "bucketed", "drop_path", "fresh_path", "own_names", "shared_dir", "sized", "tagged", "words", "written"]
+__all__ = ["SPACE", "ascii_lower", "bucketed", "drop_path", "fresh_path", "own_names", "scratch", "shared_dir", "sized", "tagged", "words", "written"]
 
 #: ASCII white space that separates words; words are runs of anything else.
 SPACE = r"[\x20\x09-\x0D]+"

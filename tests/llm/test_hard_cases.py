@@ -472,3 +472,20 @@ def test_lm_keys_that_need_two_sorts():
         a, b = block.pairs(kind, 30), block.pairs(kind, 44)
         assert len(a[0]) == len(b[0])
         assert Counter(a[1].tolist()) == Counter(b[1].tolist()) and np.array_equal(a[3], b[3])
+
+
+# --- the pipeline
+
+
+def test_pipeline_on_an_empty_table_and_its_leftovers(spark, tmp_path):
+    import corpus_pipeline
+    from loomgraph.sources.shared import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    r = random.Random(17)
+    for name, rows in (("none", []), ("some", [(k, words(r, 60), f"s{k % 3}") for k in range(40)] + [(None, words(r, 60), None), (7, None, "s1")])):
+        documents(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        before = set(folder.iterdir())
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert (got.count() > 30) == bool(rows)
+        assert len(set(folder.iterdir()) - before) == 1  # the last stage's output alone
