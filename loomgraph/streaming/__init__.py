@@ -6,6 +6,9 @@ micro-batches.  A commit is written once however often it arrives.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,7 +24,9 @@ def append_changes(changes: DataFrame, table: str, checkpoint: str, keys: tuple[
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         else:
-            new = new.join(have, list(keys), "left_anti")
+            # null keys are keys too, so that a batch that comes again adds nothing
+            same = reduce(and_, (new[k].eqNullSafe(have[k]) for k in keys))
+            new = new.join(have, same, "left_anti")
         new.write.mode("append").parquet(table)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
