@@ -7,10 +7,11 @@ Each round is one aggregation over a row a source; the driver gets three numbers
 
 Repetitions: target / size gives whole epochs and a fraction.  The fraction is a
 prefix of the source's documents in a seeded order, cut where it comes nearest to
-the words still due.  The order is by (bucket, hash): with about sqrt(n) buckets in
-a source of n documents, the running sums are windows over sqrt(n) buckets and over
-the sqrt(n) documents of the one bucket that is cut, so a source that holds a third
-of all rows needs no task that holds a third of all rows.
+the words still due.  The order is that of a hash's leading bits, and buckets are equal
+ranges of it: with about sqrt(n) buckets in a source of n documents, the running sums
+are windows over sqrt(n) buckets and over the sqrt(n) documents of the one bucket that
+is cut, so a source that holds a third of all rows needs no task that holds a third of
+all rows.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import own_names, sized, tagged, words, written
 
 
+#: Bits of the hash that orders a source's documents.
+ORDER_BITS = 52
+
+
 @dataclass(frozen=True)
 class Mix:
     """weights: dealt to the sources in code point order, repeating. epochs: how often
@@ -69,7 +74,9 @@ def mix(docs: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_col: str
     are documents of their own; which of them the fraction takes makes no difference.
     An empty table gives no rows. Other columns of docs are not read.
     """
-    order = F.xxhash64(F.lit(how.seed), F.col("doc_id"), F.col("text_hash"))
+    # ORDER_BITS of a hash that any database has, so that the mix can be checked by SQL
+    name = F.concat_ws("/", F.lit(str(how.seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    order = F.conv(F.substring(F.md5(name), 1, ORDER_BITS // 4), 16, 10).cast("long")
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.size(words(F.col(text_col))).cast("long").alias("size"))
     sizes = written(sizes.withColumn("order", order), "sizes")
     sources = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), F.col("source"), "sources")
@@ -84,7 +91,7 @@ def mix(docs: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_col: str
         .withColumn("buckets", F.ceil(F.sqrt("docs")).cast("long"))
         .select(tagged(F.col("source")).alias("key"), "source_size", "target", "whole", "due", "buckets"), "targets",
     )
-    rows = sizes.withColumn("key", tagged(F.col("source"))).join(sources, "key").withColumn("bucket", F.pmod(F.shiftrightunsigned("order", 20), F.col("buckets")))
+    rows = sizes.withColumn("key", tagged(F.col("source"))).join(sources, "key").withColumn("bucket", F.floor(F.col("order") / (1 << ORDER_BITS) * F.col("buckets")).cast("long"))
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("key", "bucket", "words", F.coalesce(F.sum("words").over(upto), F.lit(0)).alias("before"))

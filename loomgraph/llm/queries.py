@@ -112,6 +112,25 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM flagged f LEFT JOIN lost USING (doc_id)
 """
 
+#: The level of the water-filling is the first, in the order of the caps by weight, that its source's cap reaches.
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('20240/' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS at
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3.0::DOUBLE * sum(size) AS cap, (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS weight FROM d GROUP BY source),
+filled AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+lev AS (SELECT coalesce(arg_min(level, cap / weight) FILTER (level <= cap / weight), max(cap / weight)) AS level FROM filled),
+t AS (SELECT source, source_size, least(cap, weight * lev.level)::DOUBLE AS target FROM s, lev),
+u AS (SELECT *, least(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END, 3)::BIGINT AS whole FROM t),
+c AS (
+  SELECT d.doc_id, d.size, u.source_size, u.target, u.whole, u.target - u.whole * u.source_size AS due, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.at, d.doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, size, source_size, target, (size * least(whole + CASE WHEN due > 0 AND upto - size / 2 <= due THEN 1 ELSE 0 END, 3))::BIGINT AS taken FROM c
+"""
+
 OP9_SQL = r"""
 WITH p AS (
   SELECT page_id, url,
@@ -169,4 +188,4 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op3_warc": OP3_SQL, "op5_ngram_join": OP5_SQL, "op6_topk": OP6_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_quality": OP1_SQL, "op2_mixing": OP2_SQL, "op3_warc": OP3_SQL, "op5_ngram_join": OP5_SQL, "op6_topk": OP6_SQL, "op9_url_filter": OP9_SQL}
