@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.sources.shared import bucketed, drop_path, fresh_path, scratch, shared_dir, written
 
-__all__ = ["SPACE", "ascii_lower", "bucketed", "drop_path", "fresh_path", "own_names", "scratch", "shared_dir", "sized", "tagged", "words", "written"]
+__all__ = ["SPACE", "ascii_lower", "bucketed", "bytes_in_parts", "drop_path", "fresh_path", "lower_bytes", "own_names", "scratch", "shared_dir", "sized", "tagged", "words", "written"]
 
 #: ASCII white space that separates words; words are runs of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -45,3 +48,22 @@ def ascii_lower(text: Column) -> Column:
 def tagged(key: Column) -> Column:
     """A string key that keeps null apart from every string, for joins and groups."""
     return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
+
+
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def lower_bytes(text: bytes) -> bytes:
+    """Lower-cases A-Z alone, in UTF-8."""
+    return text.translate(_LOWER)
+
+
+def bytes_in_parts(text: bytes, word: re.Pattern, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in parts of about `size` bytes; none ends within a run that the pattern matches."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + size)
+        if end < len(text) and (rest := word.match(text, end)):
+            end = rest.end()
+        yield text[at:end]
+        at = end
