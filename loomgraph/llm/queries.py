@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import lm_score, mixing, ngram_join, packing, pii, quality, token_fst, topk, url_filter, warc
+from loomgraph.llm import ball_tree, lexical, licenses, lm_score, mixing, ngram_join, packing, pii, quality, token_fst, topk, url_filter, warc
 from loomgraph.llm.common import written
 
 
@@ -66,6 +66,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.license_scan(table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels"), joined("labels"), "score")
+
+
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
@@ -78,6 +92,9 @@ def queries() -> dict:
         "op8_lm_score": op8_lm_score,
         "op9_url_filter": op9_url_filter,
         "op10_pii": op10_pii,
+        "op11_ball_tree": op11_ball_tree,
+        "op12_lexical": op12_lexical,
+        "op13_licenses": op13_licenses,
     }
 
 
@@ -187,5 +204,50 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+
+
+def op11_sql(clusters: int = 8, rounds: int = 10, dims: int = 64, seed: int = 3) -> str:
+    """The rounds of op11 one after the other, as tables."""
+    parts = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, q) - 1 AS k, q AS c FROM v ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, q LIMIT {clusters})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT row, vec_id, q, k, d FROM (SELECT row, vec_id, q, k, list_sum(list_transform(list_zip(q, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r})
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, k) = 1)""")
+        if r < rounds:
+            parts.append(f"""
+s{r} AS (SELECT k, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT k, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{r}) GROUP BY k, i),
+m{r} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{r} GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))""")
+    return f"""WITH {",".join(parts)}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)
+"""
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+sizes AS MATERIALIZED (SELECT row, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+whole AS MATERIALIZED (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+items AS (
+  SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS MATERIALIZED (SELECT item, item_id, t, count(*) AS times FROM items GROUP BY ALL),
+tf AS MATERIALIZED (SELECT row, t, count(*)::BIGINT AS tf FROM (SELECT row, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY row, t),
+weights AS MATERIALIZED (SELECT t, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY t, docs),
+gains AS (SELECT row, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))) AS gain FROM tf JOIN sizes USING (row) JOIN weights USING (t), whole),
+scores AS (SELECT item, item_id, row, doc_id, sum(times * gain)::BIGINT AS score FROM asked JOIN gains USING (t) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1_SQL, "op2_mixing": OP2_SQL, "op3_warc": OP3_SQL, "op5_ngram_join": OP5_SQL, "op6_topk": OP6_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_quality": OP1_SQL, "op2_mixing": OP2_SQL, "op3_warc": OP3_SQL, "op5_ngram_join": OP5_SQL, "op6_topk": OP6_SQL, "op9_url_filter": OP9_SQL, "op11_ball_tree": op11_sql(), "op12_lexical": OP12_SQL}
