@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import os
 import signal
@@ -35,9 +36,11 @@ def _pid(folder: Path) -> int | None:
     try:
         pid = int((folder / "daemon.pid").read_text())
         os.kill(pid, 0)
-    except (OSError, ValueError):
+        # a process that has ended stays listed until its parent asks for it
+        state = Path(f"/proc/{pid}/stat").read_text().rpartition(")")[2].split()[0] if Path("/proc/self").exists() else ""
+    except (OSError, ValueError, IndexError):
         return None
-    return pid
+    return None if state in ("Z", "X") else pid
 
 
 def _until(condition) -> bool:
@@ -66,20 +69,24 @@ def start(args: argparse.Namespace) -> int:
 
 
 def stop(args: argparse.Namespace) -> int:
-    """Asks the daemon to end; one that doesn't answer is terminated, then killed."""
+    """Leaves no daemon and nothing of one: asks it to end, terminates one that doesn't answer, kills
+    one that doesn't end; what a dead one has left is removed."""
     folder = _folder(args)
-    pid = _pid(folder)
-    try:
+    pid, answered = _pid(folder), False
+    with contextlib.suppress(ServiceError):
         Client(socket_of(folder)).call("shutdown")
-    except ServiceError:
+        answered = True
+    for sign in (None if answered else signal.SIGTERM, signal.SIGKILL):
         if pid is None:
-            print("not running")
-            return 0
-        os.kill(pid, signal.SIGTERM)
-    if pid is not None and not _until(lambda: _pid(folder) is None):
-        os.kill(pid, signal.SIGKILL)
-    (folder / "daemon.pid").unlink(missing_ok=True)
-    print("stopped")
+            break
+        with contextlib.suppress(ProcessLookupError):
+            if sign:
+                os.kill(pid, sign)
+        if _until(lambda: _pid(folder) is None):
+            break
+    for left in (folder / "daemon.pid", socket_of(folder)):
+        left.unlink(missing_ok=True)
+    print("stopped" if answered or pid is not None else "not running")
     return 0
 
 
