@@ -3,24 +3,28 @@
 Files come as rows (path, content), for example from Spark's binaryFile reader; each
 is parsed where it lies.  A call becomes an edge only if its name is bound by a
 module-level definition or an import and isn't rebound in the functions around it.
-A source with errors is marked as not parsed and gives the rows of what does parse.
+A source with errors is marked as not parsed and gives the rows of what is sound: a
+definition whose head has an error is no symbol, but what its block defines is; calls
+in a function whose parameters can't be read are left out, as these may hide names.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-import uuid
 import warnings
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from loomgraph.session import ship
+from loomgraph.sources.recovery import Scope, recovered
 
-#: A row of a parsed file: nodes and edges share it.
+#: A row of a parsed file: nodes and edges share it. Further kinds are for names across files: alias (the module
+#: qualified_name binds name to the name target of module label; * for all), bound (the module binds name to something
+#: else), all (the module lists name as public) and use (source calls name of module label).
 ROW = "kind string, label string, name string, qualified_name string, source string, target string, file_path string, start_line int, end_line int, properties string, doc string, lines long, parsed boolean"
 
 # Warning classes that mark a deprecation, and calls that issue warnings.
@@ -43,8 +47,15 @@ class _Module:
 
     def __init__(self, path: str, text: str, tree: ast.Module):
         self.path, self.text, self.tree, self.name = path, text, tree, module_of(path)
+        self.package = self.name if path.endswith("__init__.py") else self.name.rpartition(".")[0]
         self.bound: dict[str, str] = {}
         self.imports: dict[str, str] = {}
+        #: local name -> (module, name) of names imported from modules; of those, the module's own
+        self.origins: dict[str, tuple[str, str]] = {}
+        self.aliases: dict[str, tuple[str, str]] = {}
+        self.stars: list[str] = []
+        self.rebound: set[str] = set()
+        self.public: list[str] | None = None
         self.lines = [line.encode() for line in _LINES.findall(text)]
 
     def _source(self, node: ast.AST) -> str:
@@ -100,16 +111,38 @@ class _Module:
                     yield {"kind": "node", "label": "Class" if isinstance(child, ast.ClassDef) else "Function", "name": child.name, "qualified_name": qualified, "start_line": child.lineno, "end_line": child.end_lineno, "properties": '{"deprecated": true}' if self.deprecated(child) else "{}", "doc": self.doc(child)}
                     yield {"kind": "edge", "label": "DEFINES", "source": self.path, "target": qualified}
                     below.append((child, qualified))
+                elif isinstance(child, Scope):
+                    below.append((child, f"{scope}.{child.name}"))
                 elif isinstance(child, (ast.Import, ast.ImportFrom)):
-                    yield from self._imported(child)
+                    yield from self._imported(child, scope == self.name)
                 else:
                     below.append((child, scope))
             stack += reversed(below)
 
-    def _imported(self, node: ast.Import | ast.ImportFrom) -> Iterator[dict]:
+    def _absolute(self, node: ast.ImportFrom) -> str | None:
+        """The module that is imported from; None beyond the top."""
+        if not node.level:
+            return node.module or ""
+        parts = self.package.split(".") if self.package else []
+        if node.level - 1 > len(parts):
+            return None
+        return ".".join([*parts[: len(parts) - node.level + 1], *([node.module] if node.module else [])])
+
+    def _imported(self, node: ast.Import | ast.ImportFrom, of_module: bool) -> Iterator[dict]:
+        origin = self._absolute(node) if isinstance(node, ast.ImportFrom) else None
         for a in node.names:
             if a.name == "*":
+                if origin is not None and of_module:
+                    self.stars.append(origin)
                 continue
+            here = a.asname or (a.name if isinstance(node, ast.ImportFrom) else a.name.split(".")[0])
+            for table in (self.origins, *([self.aliases] if of_module else [])):
+                if origin is None:
+                    table.pop(here, None)
+                else:
+                    table[here] = origin, a.name
+            if origin is None and of_module:
+                self.rebound.add(here)
             if isinstance(node, ast.Import):
                 local, target = a.asname or a.name.split(".")[0], a.name
             else:
@@ -118,6 +151,38 @@ class _Module:
             self.imports[local] = target
             yield {"kind": "edge", "label": "IMPORTS", "source": self.path, "target": target}
 
+    # --- names for other files
+
+    def _module_names(self) -> None:
+        """What the module's own code binds beside definitions and imports, and its list of public names."""
+        todo: list[ast.AST] = list(self.tree.body)
+        while todo:
+            node = todo.pop()
+            if isinstance(node, (*_DEFS, Scope, ast.Lambda)):
+                if isinstance(node, Scope):
+                    self.rebound.add(node.name)
+                continue
+            if isinstance(node, ast.Name) and isinstance(node.ctx, (ast.Store, ast.Del)):
+                self.rebound.add(node.id)
+            if isinstance(node, (ast.Assign, ast.AugAssign)) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in (node.targets if isinstance(node, ast.Assign) else [node.target])):
+                listed = [x.value for x in getattr(node.value, "elts", []) if isinstance(x, ast.Constant) and isinstance(x.value, str)]
+                self.public = [*(self.public or []), *listed]
+            todo += ast.iter_child_nodes(node)
+
+    def names(self) -> Iterator[dict]:
+        """Run after symbols(): the module's aliases, other bindings and public names. A name that is
+        bound in several ways is a definition first, then something else, then an alias."""
+        self._module_names()
+        for local, (origin, name) in self.aliases.items():
+            if local not in self.rebound:
+                yield {"kind": "alias", "qualified_name": self.name, "name": local, "label": origin, "target": name}
+        for origin in dict.fromkeys(self.stars):
+            yield {"kind": "alias", "qualified_name": self.name, "name": "*", "label": origin, "target": "*"}
+        for local in sorted(self.rebound):
+            yield {"kind": "bound", "label": self.name, "qualified_name": self.name, "name": local}
+        for name in dict.fromkeys(self.public or []):
+            yield {"kind": "all", "label": self.name, "qualified_name": self.name, "name": name}
+
     # --- calls
 
     def _assigned(self, target: ast.AST) -> Iterator[str]:
@@ -134,7 +199,7 @@ class _Module:
         todo: list[ast.AST] = list(function.body)
         while todo:
             node = todo.pop()
-            if isinstance(node, _DEFS):
+            if isinstance(node, (*_DEFS, Scope)):
                 names.add(node.name)
             elif isinstance(node, ast.Assign):
                 names.update(self._assigned(node.targets[0]))
@@ -155,56 +220,30 @@ class _Module:
                 inner = hidden | self._own_names(node) if isinstance(node, _FUNCTIONS) else hidden
                 stack += [(s, f"{scope}.{node.name}", inner) for s in node.body]
                 continue
+            if isinstance(node, Scope):
+                stack += [] if node.silent else [(s, f"{scope}.{node.name}", hidden) for s in node.body]
+                continue
             if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id not in hidden:
-                target = self.bound.get(node.func.id) or self.imports.get(node.func.id)
+                name = node.func.id
+                target = self.bound.get(name) or self.imports.get(name)
                 if target:
                     yield {"kind": "edge", "label": "CALLS", "source": scope, "target": target}
+                if name not in self.bound and name not in self.rebound:
+                    if name in self.origins:
+                        yield {"kind": "use", "source": scope, "label": self.origins[name][0], "name": self.origins[name][1]}
+                    elif self.stars and name not in self.imports:
+                        yield {"kind": "use", "source": scope, "label": self.name, "name": name}
             stack += [(c, scope, hidden) for c in ast.iter_child_nodes(node)]
 
 
-#: Lines of a statement that are given up one after the other before the statement is.
-_GIVEN_UP = 40
-
-
-def _statements(lines: list[str]) -> Iterator[tuple[int, int]]:
-    """(first, end) line numbers of what begins in the first column: a decorator belongs to what
-    follows, a closing bracket or a continued block to what comes before."""
-    first = None
-    for k, line in enumerate(lines):
-        begins = line[:1] not in ("", " ", "\t", "#", "\r", "\n", ")", "]", "}") and not re.match(r"(else|elif|except|finally)\b", line)
-        if begins and not (first is not None and all(x.startswith("@") or not x.strip() for x in lines[first:k])):
-            if first is not None:
-                yield first, k
-            first = k
-    if first is not None:
-        yield first, len(lines)
-
-
 def _tolerant(text: str) -> tuple[ast.Module, bool]:
-    """(tree, whether all of the text is in it). Statements are parsed one by one where the whole
-    doesn't parse; in a broken one the lines with errors are passed over."""
+    """(tree, whether all of the text is in it)."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
             return ast.parse(text), True
-        except (SyntaxError, ValueError):
-            pass
-        lines, body = _LINES.findall(text.replace("\0", " ")), []
-        for first, end in _statements(lines):
-            part = lines[first:end]
-            for _ in range(_GIVEN_UP):
-                try:
-                    tree = ast.parse("\n" * first + "".join(part))
-                except SyntaxError as e:
-                    at = min(max((e.lineno or 1) - 1 - first, 0), len(part) - 1)
-                    while at and not part[at].strip(" \t\r\n"):
-                        at -= 1  # the error is seen on a later line than it is
-                    # first the line's code goes, then, if its indent is the error, all of it
-                    part[at] = "\n" if part[at].strip() == "pass" else re.match(r"[ \t]*", part[at])[0] + "pass\n"
-                else:
-                    body += tree.body
-                    break
-        return ast.Module(body, []), False
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return recovered(_LINES.findall(text.replace("\0", " "))), False
 
 
 def parse_source(path: str, content: bytes) -> list[dict]:
@@ -216,7 +255,7 @@ def parse_source(path: str, content: bytes) -> list[dict]:
     try:
         tree, whole = _tolerant(text)
         module = _Module(path, text, tree)
-        found = [*module.symbols(), *module.calls()]
+        found = [*module.symbols(), *module.names(), *module.calls()]
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         found, whole = [], False
     whole = whole and text.encode() == content.removeprefix(b"\xef\xbb\xbf")  # else bytes were no UTF-8
@@ -224,25 +263,32 @@ def parse_source(path: str, content: bytes) -> list[dict]:
 
 
 _NAMES = [c.split()[0] for c in ROW.split(", ")]
-
-
-@udtf(returnType=ROW)
-class ParsePython:
-    """Table function: parse_python(path, content)."""
-
-    def eval(self, path: str, content: bytes):
-        for row in parse_source(path, bytes(content or b"")):
-            yield tuple(row.get(c) for c in _NAMES)
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+_SCHEMA = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in ROW.split(", ")])
+#: Rows of a batch that the parser hands on, about.
+_BATCH = 10_000
 
 
 def parsed(sources: DataFrame) -> DataFrame:
-    """Rows (ROW) of sources (path, content)."""
-    spark = sources.sparkSession
-    ship(spark)
-    spark.udtf.register("parse_python", ParsePython)
-    view = f"python_sources_{uuid.uuid4().hex}"
-    sources.select("path", "content").createOrReplaceTempView(view)
-    return spark.sql(f"SELECT p.* FROM {view} s, LATERAL parse_python(s.path, s.content) p")
+    """Rows (ROW) of sources (path, content). A null path is an empty one, a null content an empty
+    source."""
+    ship(sources.sparkSession)
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(_NAMES, _SCHEMA.types, strict=True)], schema=_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                rows += parse_source(path.as_py() or "", content.as_py() or b"")
+                if len(rows) >= _BATCH:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
+
+    return sources.select("path", F.col("content").cast("binary")).mapInArrow(run, ROW)
 
 
 def nodes_of(rows: DataFrame, project: str, version: int) -> DataFrame:
