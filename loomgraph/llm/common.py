@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.sources.shared import bucketed, drop_path, fresh_path, scratch, shared_dir, written
 
-__all__ = ["SPACE", "ascii_lower", "bucketed", "bytes_in_parts", "drop_path", "fresh_path", "lower_bytes", "own_names", "scratch", "shared_dir", "sized", "tagged", "words", "written"]
+__all__ = ["SPACE", "ascii_lower", "bucketed", "bytes_in_parts", "drop_path", "fresh_path", "lower_bytes", "own_names", "plain_columns", "scratch", "shared_dir", "sized", "tagged", "words", "written"]
 
 #: ASCII white space that separates words; words are runs of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -35,6 +36,18 @@ def own_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def plain_columns(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions of documents that return their columns: within, columns that play no part have
+    plain names, and outside, all have their own, whatever characters these hold."""
+
+    @wraps(run)
+    def renamed(docs: DataFrame, *args, **more) -> DataFrame:
+        parts = {"doc_id", "text", "source", "n_chars", *(x for x in (*args, *more.values()) if isinstance(x, str))}
+        return run(docs.toDF(*[c if c in parts else f"column_{k}" for k, c in enumerate(docs.columns)]), *args, **more).toDF(*docs.columns)
+
+    return renamed
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import own_names, sized, tagged, words, written
+from loomgraph.llm.common import own_names, plain_columns, sized, tagged, words, written
 
 
 #: Bits of the hash that orders a source's documents.
@@ -109,6 +109,7 @@ def mix(docs: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_col: str
     )
 
 
+@plain_columns
 def mixed(docs: DataFrame, how: Mix = Mix()) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, columns unchanged.
 

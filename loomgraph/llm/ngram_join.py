@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import own_names, sized, written
+from loomgraph.llm.common import own_names, plain_columns, sized, written
 from loomgraph.llm.components import components
 from loomgraph.llm.token_fst import text_blocks
 from loomgraph.session import ship
@@ -338,6 +338,7 @@ def ngram_components(docs: DataFrame, how: Join = Join(), id_col: str = "doc_id"
     return some.unionByName(none).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+@plain_columns
 def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """One document of each component, that with the smallest id (a null one is the last; of
     different texts under one id the one with the smaller hash); columns of docs unchanged.

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import written
+from loomgraph.llm.common import own_names, written
 from loomgraph.llm.token_fst import machine, text_blocks
 from loomgraph.session import ship
 
@@ -189,16 +189,17 @@ def pack(pieces: DataFrame, how: Packing = Packing()) -> DataFrame:
     """pieces with sequence_id, offset, part_bins and part_bound: how many sequences the
     partition that packed the piece made, and the least that any packing of its pieces needs
     (for a full piece 1 and 1). pieces: a column length (1 to capacity) and any others, which are
-    carried along; columns named like the added ones raise a ValueError.
+    carried along; where they have a name of an added one, that is lengthened by underscores.
 
     Every row is placed, repeated ones too; sequences are gapless from offset 0. Which of
     equally long pieces goes where is arbitrary but, once written, stays. An empty table
     gives no rows.
     """
     ship(pieces.sparkSession)
+    names = [*pieces.columns, *own_names(pieces, "sequence_id", "offset", "part_bins", "part_bound")]
+    # within, columns that are only carried have plain names
+    pieces = pieces.toDF(*[c if c == "length" else f"column_{k}" for k, c in enumerate(pieces.columns)])
     schema = pieces.schema
-    if clash := {c.lower() for c in schema.names} & {"sequence_id", "offset", "part_bins", "part_bound", "closed", "bin"}:
-        raise ValueError(f"pieces have columns {sorted(clash)}, which the packing adds")
     full = pieces.where(F.col("length") == how.capacity)
     done = [full.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("part_bins"), F.lit(1).cast("long").alias("part_bound"))]
     todo = pieces.where(F.col("length") < how.capacity)
@@ -228,4 +229,4 @@ def pack(pieces: DataFrame, how: Packing = Packing()) -> DataFrame:
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
-    return result
+    return result.toDF(*names)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import plain_columns
 from loomgraph.session import ship
 
 #: Kinds in the order of results; the first four are the base ones.
@@ -374,6 +375,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {', '.join(f'n_{k} long' for k in BASE_KINDS)}, base string, spans string, n_spans long")
 
 
+@plain_columns
 def redact(docs: DataFrame, text_col: str = "text", model: Trees | None = None) -> DataFrame:
     """docs with the spans of the text replaced by [KIND]; null texts stay null, a column
     n_chars follows the new text, all others are as they were, whatever their names. Repeated

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import SPACE, own_names, sized, tagged, words, written
+from loomgraph.llm.common import SPACE, own_names, plain_columns, sized, tagged, words, written
 
 
 @dataclass(frozen=True)
@@ -160,6 +160,7 @@ def line_frequency_rules(docs: DataFrame, limits: LineLimits = LineLimits(), id_
     return out.withColumn("base_failed", failed).withColumn("depleted", depleted).withColumn("kept", ~failed & ~depleted)
 
 
+@plain_columns
 def clean(docs: DataFrame, limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that stay, without their removed lines; the columns of docs, of which a
     column n_chars follows the new text.
