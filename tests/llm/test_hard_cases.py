@@ -34,7 +34,7 @@ def words(r, n, kinds=9000):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_registered_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{TESTDATA}/{t}.parquet'")
     want = con.execute(oracle_sql()[name]).df()
     got = queries()[name](spark, str(TESTDATA)).toPandas()
@@ -57,7 +57,7 @@ def test_quality_rules_reject_in_the_registered_query(spark, tmp_path):
 # --- columns of documents that are named like the operators' own
 
 
-CLASHING = ["_id", "_hash", "_host", "_key", "_text", "_n", "_at", "_times", "act_kept", "act_host", "mix_key", "mix_times", "mix_n", "join_id", "join_hash", "join_stays", "label", "node", "Repeats"]
+CLASHING = ["_id", "_hash", "_host", "_key", "_text", "_n", "_at", "_times", "act_kept", "act_host", "mix_key", "mix_times", "mix_n", "join_id", "join_hash", "join_stays", "label", "node", "Repeats", "a.b", "a`b", "column_1"]
 
 
 def test_clashing_columns(spark):
@@ -139,8 +139,9 @@ def test_packing_returns_bins_and_bounds_and_deals_equal_rows(spark):
     assert len(per) <= 4000 // 3 + 2
     sizes = got.groupby(got.sequence_id.floordiv(1 << 28)).size()
     assert sizes.max() < 900  # no partition got all of them
-    with pytest.raises(ValueError, match="offset"):
-        packing.pack(pieces.withColumn("offset", F.lit(0)))
+    clash = packing.pack(pieces.limit(20).withColumn("offset", F.lit("x")).withColumn("a.b", F.lit(7)).withColumn("bin", F.lit(8)), packing.Packing(items=500))
+    assert clash.columns == ["doc_id", "length", "offset", "a.b", "bin", "sequence_id", "offset_", "part_bins", "part_bound"]
+    assert {(x["offset"], x["a.b"], x["bin"]) for x in clash.collect()} == {("x", 7, 8)}
 
 
 # --- top-k
@@ -289,7 +290,7 @@ def lm_twin(texts, held, how):
     escape = math.log(e / (1 - e))
     # spelling
     by_one, by_two = defaultdict(Counter), defaultdict(Counter)
-    slot = lambda x, y: (x * 257 + y) * 2654435761 % (1 << 32) >> 20
+    slot = lambda x, y: (x, y)
     steps = lambda w: (lambda a: [(a[i - 2] if i > 1 else 256, a[i - 1], a[i]) for i in range(1, len(a))])([256, *w.encode(), 256])
     for w, c in count.items():
         if c == 1 and w:
@@ -348,12 +349,9 @@ def lm_twin(texts, held, how):
                     x.append(odds if bit else -odds)
                 for t, leaves in enumerate((one[a], two_classes)):
                     there, same = tree(leaves, w, level)
-                    if there <= lm_score.FEW:
-                        less = min(mine[t], there)
-                        there, same, sure = there - less, same - less, int(there - less > 0)
-                        odds = math.log((same + prior) / (there - same + prior))
-                    else:
-                        sure, odds = 2, max(-59, min(59, round(math.log((same + prior) / (there - same + prior)) * lm_score.STEPS))) / lm_score.STEPS
+                    there, same = there - mine[t], same - mine[t]
+                    sure = (there > 0) + (there > lm_score.OFTEN)
+                    odds = math.log((same + prior) / (there - same + prior))
                     x.append(odds if bit else -odds)
                     gate += sure * (3, 1)[t]
                 logit = max(-12.0, min(12.0, sum(self.w[k][gate] * x[k] for k in range(4))))
@@ -435,16 +433,36 @@ def test_lm_score_against_its_twin(spark):
         assert got[i]["bits_per_byte"] == (None if not n else pytest.approx(-got[i]["score"] * math.log2(10) / n))
 
 
+def test_lm_leaves_out_own_occurrences_at_every_count(spark):
+    """A training text's score stays the same when it alone repeats its contexts more often than OFTEN."""
+    r = random.Random(23)
+    rows = [(k, words(r, 60, 4000), "s") for k in range(60)]
+    model = lm_score.Mixer(fit_rows=0)
+    block = lambda copies: lm_score.Block(lm_score.packed(list(range(62)), [False] * 60 + [False, True], [t.encode() for _, t, _ in rows] + [b"alone told " * copies] * 2))
+    for copies in (5, 40):
+        b = block(copies)
+        for kind in (0, 1):
+            keys, n, place, own = b.pairs(kind, 40)
+            seen = lm_score.recounted(lm_score.counted(kind, [keys], [n])[0])
+            mine = (b.doc == 60) & (b.index != 0)
+            left = np.take(seen, place[mine], axis=0)[:, lm_score.CLASS_BITS] - own[mine]
+            inner = np.arange(mine.sum())[3:-1]
+            assert (left[inner] == 0).all()  # no other taught text has them
+            held = (b.doc == 61) & (b.index != 0)
+            assert (np.take(seen, place[held], axis=0)[inner, lm_score.CLASS_BITS] >= copies - 3).all()
+    assert model.epochs == 12 and lm_score.CLASS_BITS == 8
+
+
 def test_lm_spelling_adds_up(spark):
     """The next bytes of a spelling, and its end, add up to 1."""
     rows = [b"alpha", b"alpine", b"beta"]
     _, one, two = lm_score.spelled(rows)
-    sums = np.bincount(np.concatenate([one + lm_score.BY_ONE, two + lm_score.BY_TWO]), minlength=lm_score.N_SUMS)
-    sums[[lm_score.N_TOKENS, lm_score.N_WORDS, lm_score.N_ONCE]] = 10, 5, 3
+    slots, n = np.unique(np.concatenate([one + lm_score.BY_ONE, two + lm_score.BY_TWO]), return_counts=True)
+    sums = np.concatenate([[lm_score.N_TOKENS, lm_score.N_WORDS, lm_score.N_ONCE], slots]), np.concatenate([[10, 5, 3], n])
     model = lm_score.Model(sums, np.ones((lm_score.CLASSES + 1) * lm_score.CLASSES, np.int64), lm_score.Mixer(), 30)
     for before in (b"", b"al", b"zz"):
         nexts = [lm_score.spelled([before + bytes([c])]) for c in range(256) if c not in (9, 10, 11, 12, 13, 32)]
-        p = lambda x, y: (model.two[y] + 4 * model.by_one[x]) / (model.two_sums[y // 257] + 4)
+        p = lambda x, y: float(model.spelled_byte(np.atleast_1d(x), np.atleast_1d(y))[0])
         total = sum(p(a[len(before)], b[len(before)]) for _, a, b in nexts)
         _, a, b = lm_score.spelled([before or b"x"])
         end = p(a[-1], b[-1]) if before else p(np.int64(256 * 257 + 256), np.int64(int(lm_score.spelled([b"x"])[2][0]) // 257 * 257 + 256))
