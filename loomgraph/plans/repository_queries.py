@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import subprocess
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +56,7 @@ def indexed(spark: SparkSession, d: str) -> tuple[Path, Store]:
         root = _local(fresh_path(spark, "repository"))
         pages = [r["page_id"] for r in spark.read.parquet(f"{d}/pages.parquet").select("page_id").orderBy("page_id").collect()]
         _repository(pages, root)
-        store = Store(spark, _local(fresh_path(spark, "store")))
+        store = Store(spark, fresh_path(spark, "store"))
         index_repository(store, root, "pages", F.lit(AS_OF).cast("timestamp"))
         _made[key] = root, store
     return _made[key]
@@ -90,16 +89,15 @@ def indexed_evolution(spark: SparkSession, d: str) -> DataFrame:
 def stored_rows(spark: SparkSession, d: str) -> DataFrame:
     """Three loads of a table, JSON lines among them, of which the last published one is read with a
     bound value; a load that isn't published, and one that comes again, show nothing."""
-    store = Store(spark, _local(fresh_path(spark, "store")))
+    store = Store(spark, fresh_path(spark, "store"))
     orders = spark.read.parquet(f"{d}/orders.parquet")
     rows = lambda version: orders.select(F.lit("p").alias("project"), F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("o"), "o_orderkey").alias("target"), F.col("o_orderstatus").alias("type"), F.lit("{}").alias("properties"), F.lit(version).cast("long").alias("version"))
     first = store.next_version()
     store.write(first, "edges", rows(first).limit(10))
     store.publish(first)
-    with tempfile.TemporaryDirectory(dir=store.folder) as lines:
-        second = store.next_version()
-        rows(second).write.mode("overwrite").json(lines)
-        store.load_json_lines(second, "edges", lines)
+    lines, second = fresh_path(spark, "lines"), store.next_version()
+    rows(second).write.json(lines)
+    store.load_json_lines(second, "edges", lines)
     store.publish(second)
     store.compact("edges")
     store.write(store.next_version(), "edges", rows(9).limit(3))  # never published
@@ -109,7 +107,7 @@ def stored_rows(spark: SparkSession, d: str) -> DataFrame:
 def service_answers(spark: SparkSession, d: str) -> DataFrame:
     """Answers of the service's operations as (op, answer)."""
     root, store = indexed(spark, d)
-    service = Service(spark, str(root), tempfile.mkdtemp(dir=store.folder))
+    service = Service(spark, str(root), fresh_path(spark, "service"))
     service.store = store
     ask = lambda op, **params: service.handle(json.dumps({"op": op, "params": params}))["result"]
     last = store.read("nodes").where("label = 'Function' AND name LIKE 'f%'").orderBy(F.length("name").desc(), F.col("name").desc()).first()["qualified_name"]

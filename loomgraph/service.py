@@ -31,7 +31,7 @@ class Service:
 
     def __init__(self, spark: SparkSession, root: str, folder: str, embedder: Embedder | None = None, config: search.RankConfig = search.RankConfig()):
         self.spark, self.root, self.project, self.embedder, self.config = spark, root, project_slug(root), embedder, config
-        self.store = Store(spark, Path(folder) / self.project)
+        self.store = Store(spark, f"{folder}/{self.project}")
         self._lock = threading.Lock()
 
     def op_ping(self) -> dict:
@@ -43,7 +43,7 @@ class Service:
 
         def job() -> None:
             with contextlib.suppress(Exception):  # the status tells
-                index_repository(self.store, self.root, self.project, F.current_timestamp(), self.embedder)
+                index_repository(self.store, self.root, self.project, F.current_timestamp(), self.embedder, job=number)
             self._lock.release()
 
         try:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -26,8 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-#: Paths made within each open scratch(), the innermost last.
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """Paths made within each scratch() that is open in a thread, the innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -35,20 +42,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     the latest when the driver ends."""
     path = f"{shared_dir(spark)}/loomgraph-{name}-{uuid.uuid4().hex}"
     atexit.register(drop_path, spark, path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return path
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are written within are removed at its end: by then what reads them must be
+    """Tables that this thread writes within are removed at its end: by then what reads them must be
     written to a path made outside."""
-    _scopes.append([])
+    _scopes.open.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _scopes.open.pop():
             drop_path(spark, path)
 
 

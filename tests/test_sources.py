@@ -1,11 +1,20 @@
-"""The error-recovering parser and names across files."""
+"""The error-recovering parser, names across files, generations of the store."""
 
 import random
+import shutil
+import subprocess
+import threading
 import time
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
+from loomgraph.functions.embed import HashedTokens
 from loomgraph.operators import resolve
+from loomgraph.plans.index_job import index_repository
 from loomgraph.sources import python_source
+from loomgraph.sources.storage import TABLES, ConcurrentLoad, MissingFiles, Store
 
 
 def calls_of(rows):
@@ -122,3 +131,113 @@ def test_names_against_a_plain_search(spark):
         got = {(x["source"], x["target"]) for x in resolve.resolved_calls(python_source.parsed(spark.createDataFrame(rows, "path string, content binary"))).collect()}
         want = {(f"user.u_{m}{n}", f"{x[0][0]}.{x[0][1]}") for m in modules for n in "abcd" if len(x := list(meant((m, n)))) == 1}
         assert got == want and want
+
+
+# --- generations
+
+
+def _git_repository(tmp_path, n=40):
+    root = tmp_path / "many"
+    root.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@example.com", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for k in range(n):
+        (root / f"m{k}.py").write_text(f"def f{k}():\n    return g{k}()\n\ndef g{k}():\n    return {k}\n")
+    run("add", "-A")
+    run("commit", "-qm", "all")
+    return root, run
+
+
+def test_an_index_of_changed_sources_writes_those_alone(spark, tmp_path):
+    root, run = _git_repository(tmp_path)
+    store, now = Store(spark, tmp_path / "s"), F.lit("2024-06-01").cast("timestamp")
+    first = index_repository(store, root, "p", now, HashedTokens(16))
+    before = store.read("nodes")  # a reader from before keeps its generation
+    n = before.count()
+    assert n == 40 * 3 and first.degraded_reasons == []
+    (root / "m3.py").write_text("def f3():\n    return f3()\n")
+    (root / "m5.py").unlink()
+    (root / "new.py").write_text("def fresh():\n    pass\n")
+    run("add", "-A")
+    run("commit", "-qm", "changes")
+    second = index_repository(store, root, "p", now, HashedTokens(16))
+    assert second.version == 2 and second.files == 40 and second.nodes == 38 * 3 + 2 + 2 and second.degraded_reasons == []
+    parts = store.manifest()["tables"]["nodes"]["parts"]
+    assert len(parts) == 2 and store._files_of("nodes", parts[1:]).select("file_path").distinct().count() == 2
+    assert store.manifest()["tables"]["nodes"]["parts"][0] == store.manifest(1)["tables"]["nodes"]["parts"][0]
+    same = index_repository(Store(spark, tmp_path / "whole"), root, "p", now, HashedTokens(16))
+    assert (same.nodes, same.edges, same.files) == (second.nodes, second.edges, second.files)
+    for table, drop in (("nodes", "version"), ("edges", "version"), ("embeddings", "version"), ("file_evolution", "version")):
+        got, want = ({str(r) for r in s.read(table).drop(drop).collect()} for s in (store, Store(spark, tmp_path / "whole")))
+        assert got == want and got
+    rows = {str(r) for r in store.read("nodes").collect()}
+    during = store.read("nodes")
+    assert store.compact("nodes") == 1 and store.generation == 3 and not store.manifest()["tables"]["nodes"]["gone"]
+    assert rows == {str(r) for r in store.read("nodes").collect()} == {str(r) for r in during.collect()}
+    assert before.count() == n and store.read("nodes", generation=1).count() == n
+    assert store.vacuum(keep=1) == 0  # all files are young
+    assert store.vacuum(keep=1, retained=-1) > 0 and store.generations() == [3]
+    assert rows == {str(r) for r in store.read("nodes").collect()}
+    third = index_repository(store, root, "p", now, HashedTokens(16))
+    assert third.nodes == second.nodes and rows == {str(r) for r in store.read("nodes").collect()}  # nothing changed
+    lost = store.manifest()["tables"]["nodes"]["parts"][0]
+    shutil.rmtree(tmp_path / "s" / lost["path"])
+    with pytest.raises(MissingFiles):
+        store.read("nodes")
+
+
+def test_of_two_loads_one_is_published(spark, tmp_path):
+    one, two = Store(spark, tmp_path / "s"), Store(spark, tmp_path / "s")
+    row = lambda target: spark.createDataFrame([("p", "a", target, "CALLS", "{}", 1)], TABLES["edges"][0])
+    a, b = one.begin(), two.begin()
+    a.write("edges", row("a"))
+    b.write("edges", row("b"))
+    results = []
+
+    def publish(load):
+        try:
+            results.append(load.publish())
+        except ConcurrentLoad as e:
+            results.append(str(e))
+
+    threads = [threading.Thread(target=publish, args=(x,)) for x in (a, b)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(map(type, results), key=str) == sorted([int, str], key=str) and "another load" in next(r for r in results if isinstance(r, str))
+    assert one.read("edges").count() == 1 and one.generations() == [1]
+    with pytest.raises(ConcurrentLoad):
+        one.write(1, "edges", row("c"))
+
+
+def test_a_key_of_two_sources_is_one_row_until_its_source_goes(spark, tmp_path):
+    store = Store(spark, tmp_path / "s")
+    node = lambda path, line, v: ("p", "Function", "f", "a.f", path, line, line, "{}", "", v, path)
+    frame = lambda *rows: spark.createDataFrame(rows, TABLES["nodes"][0] + ", _origin string")
+    paths = lambda *names: spark.createDataFrame([(x,) for x in names], "path string")
+    load = store.begin()
+    load.write("nodes", frame(node("a.py", 1, 1)))
+    load.publish()
+    load = store.begin()
+    load.change("nodes", frame(node("a/__init__.py", 5, 2)), paths("a/__init__.py"))
+    load.publish()
+    assert [r["file_path"] for r in store.read("nodes").collect()] == ["a/__init__.py"]
+    load = store.begin()
+    load.change("nodes", frame().limit(0), paths("a/__init__.py"))
+    load.publish()
+    assert [r["file_path"] for r in store.read("nodes").collect()] == ["a.py"]
+
+
+def test_a_store_behind_a_file_system_of_spark(spark, tmp_path):
+    spark._jsparkSession.sessionState().newHadoopConf()
+    spark.conf.set("fs.viewfs.mounttable.graphs.link./in", f"file://{tmp_path}")
+    store = Store(spark, "viewfs://graphs/in/s")
+    row = spark.createDataFrame([("p", "a", "b", "CALLS", "{}", 1)], TABLES["edges"][0])
+    store.write(1, "edges", row)
+    store.publish(1)
+    assert Store(spark, "viewfs://graphs/in/s").read("edges").count() == 1 and not store.files.create("generations/000000001.json", "")
+    store.set_status("indexed")
+    assert store.status()["state"] == "indexed" and (tmp_path / "s" / "status.json").exists()
+    store.delete()
+    assert store.generation is None and store.read("edges").isEmpty()
