@@ -109,19 +109,20 @@ def serve(args: argparse.Namespace) -> int:
 
     model = SentenceModel()
     service = Service(SparkSession.builder.appName("loomgraph").getOrCreate(), args.root, args.data, model if model.available() else HashedTokens())
-    if args.command == "index":
-        service.op_index(wait=True)
-        print(json.dumps(service.op_status()))
-        return EXIT.get(service.op_status()["state"], 2)
-    if not args.socket:
-        service.serve(sys.stdin, sys.stdout)
+    with contextlib.closing(service):
+        if args.command == "index":
+            service.op_index(wait=True)
+            print(json.dumps(service.op_status()))
+            return EXIT.get(service.op_status()["state"], 2)
+        if not args.socket:
+            service.serve(sys.stdin, sys.stdout)
+            return 0
+        pid = _folder(args) / "daemon.pid"
+        pid.write_text(str(os.getpid()))
+        signal.signal(signal.SIGTERM, lambda *_: sys.exit(0))
+        service.serve_socket(socket_of(_folder(args)))
+        pid.unlink(missing_ok=True)
         return 0
-    pid = _folder(args) / "daemon.pid"
-    pid.write_text(str(os.getpid()))
-    signal.signal(signal.SIGTERM, lambda *_: sys.exit(0))
-    service.serve_socket(socket_of(_folder(args)))
-    pid.unlink(missing_ok=True)
-    return 0
 
 
 def main(argv: list[str] | None = None) -> int:

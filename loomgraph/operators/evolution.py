@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.expr import HALF_LIFE_DAYS, age_days, decay
@@ -93,8 +93,12 @@ def file_evolution(changes: DataFrame, as_of: Column, version: int, roles: Roles
 
 
 def with_author_counts(changes: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """changes with cnt_by_author: rows of the same path and author."""
-    return changes.withColumn("cnt_by_author", F.count("*").over(Window.partitionBy(F.expr(roles.path), F.expr(roles.author))))
+    """changes with cnt_by_author: rows of the same path and author. Counts are aggregated and joined
+    back, so that a pair with very many rows is no task of its own."""
+    pair = changes.select("*", F.expr(roles.path).alias("_path"), F.expr(roles.author).alias("_author"))
+    counts = pair.groupBy("_path", "_author").agg(F.count("*").alias("cnt_by_author")).toDF("_p", "_a", "cnt_by_author")
+    same = F.col("_path").eqNullSafe(F.col("_p")) & F.col("_author").eqNullSafe(F.col("_a"))
+    return pair.join(counts, same).select(*changes.columns, "cnt_by_author")
 
 
 def distinct_commits(changes: DataFrame, roles: Roles = Roles()) -> DataFrame:

@@ -63,7 +63,7 @@ class SearchPage:
 
 
 def _similarities(vectors: DataFrame, vector: list[float], id_col: str) -> DataFrame:
-    """id and sim (cosine; 0 for a zero vector) of the vectors with as many dimensions, a matrix
+    """id and sim (cosine; 0 for a zero vector) of the sound vectors with as many dimensions, a matrix
     product a batch."""
     asked = np.asarray(vector, np.float64)
     asked = asked / (np.linalg.norm(asked) or 1.0)
@@ -76,7 +76,14 @@ def _similarities(vectors: DataFrame, vector: list[float], id_col: str) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((x @ asked) / np.where(norms > 0, norms, 1.0))], names=[id_col, "sim"])
 
     kind = vectors.schema[id_col].dataType.simpleString()
-    return vectors.where(F.size("vec") == dims).select(id_col, "vec").mapInArrow(run, f"`{id_col}` {kind}, sim double")
+    return vectors.where(sound(dims)).select(id_col, "vec").mapInArrow(run, f"`{id_col}` {kind}, sim double")
+
+
+def sound(dims: int | None = None) -> Column:
+    """Whether vec is a vector (of so many dimensions) without null, NaN or infinite components; others
+    are near to nothing."""
+    whole = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(whole if dims is None else (F.size("vec") == dims) & whole, F.lit(False))
 
 
 def nearest(vectors: DataFrame, vector: list[float], k: int, id_col: str = "qualified_name") -> DataFrame:
@@ -86,22 +93,27 @@ def nearest(vectors: DataFrame, vector: list[float], k: int, id_col: str = "qual
 
 class VectorIndex:
     """Vectors kept for many queries: packed once into matrices of unit length, a row a block, in
-    the executors' memory or on their disks."""
+    the executors' memory or on their disks. Vectors that aren't sound are left out, and those
+    of different lengths lie in blocks of their own; ids may be of any type."""
 
     def __init__(self, vectors: DataFrame, id_col: str = "qualified_name", block: int = 8192):
+        self.id_col, self.kind = id_col, vectors.schema[id_col].dataType.simpleString()
+        kind = vectors.select(id_col).limit(0).toArrow().schema.field(0).type
+        schema = pa.schema([("ids", pa.list_(kind)), ("dims", pa.int32()), ("unit", pa.binary())])
+
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, block):
-                    part = batch.slice(at, block)
-                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    norms = np.linalg.norm(x, axis=1, keepdims=True)
-                    unit = (x / np.where(norms > 0, norms, 1)).astype(np.float32)
-                    yield pa.RecordBatch.from_pylist([{"ids": part.column(0).to_pylist(), "dims": unit.shape[1], "unit": unit.tobytes()}], schema)
-
-        kind = vectors.schema[id_col].dataType
-        schema = pa.schema([("ids", pa.list_(pa.int64() if kind.simpleString() == "bigint" else pa.string())), ("dims", pa.int32()), ("unit", pa.binary())])
-        self.id_col, self.kind = id_col, kind.simpleString()
-        self.blocks = vectors.select(id_col, "vec").mapInArrow(pack, f"ids array<{self.kind}>, dims int, unit binary").persist(StorageLevel.MEMORY_AND_DISK)
+                lengths = np.diff(batch.column(1).offsets.to_numpy())
+                for dims in np.unique(lengths).tolist():
+                    own = batch.filter(pa.array(lengths == dims))
+                    for at in range(0, own.num_rows, block):
+                        part = own.slice(at, block)
+                        x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dims)
+                        norms = np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+                        unit = (x / np.where(norms > 0, norms, 1)).astype(np.float32)
+                        yield pa.RecordBatch.from_pylist([{"ids": part.column(0).to_pylist(), "dims": dims, "unit": unit.tobytes()}], schema)
+
+        self.blocks = vectors.where(sound()).select(id_col, "vec").mapInArrow(pack, f"ids array<{self.kind}>, dims int, unit binary").persist(StorageLevel.MEMORY_AND_DISK)
 
     def nearest(self, vector: list[float], k: int) -> DataFrame:
         """The k most similar vectors: each block hands on k rows."""

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import embed, expr
 from loomgraph.operators import evolution, graph, latest, search
+from loomgraph.operators.cells import CellIndex, Cells
 from loomgraph.plans import index_job, rank_eval
 from loomgraph.sources import python_source
+from loomgraph.sources.shared import fresh_path, written
 
 LINE_PARTS = evolution.Roles(path="l_partkey", commit="l_orderkey", author="l_returnflag", ts="l_shipdate", churn="l_quantity + l_linenumber")
 LINE_SUPPLIERS = evolution.Roles(path="l_suppkey", commit="l_orderkey", author="l_returnflag", ts="l_shipdate", churn="l_quantity + l_linenumber")
@@ -160,6 +162,41 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.nearest(vectors, first_vector(spark, d), 100, "vec_id").select("vec_id", F.round("sim", 6).alias("sim"))
 
 
+def _damaged_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors, of which some have a component that is NaN or null, are cut short or are null."""
+    at = F.col("vec_id") % 10
+    damaged = F.when(at == 3, F.transform("embedding", lambda x, i: F.when(i == 5, F.lit(float("nan"))).otherwise(x))).when(at == 4, F.transform("embedding", lambda x, i: F.when(i != 7, x)))
+    damaged = damaged.when(at == 5, F.slice("embedding", 1, 40)).when(at == 6, F.lit(None)).otherwise(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", damaged.cast("array<float>").alias("vec"))
+
+
+def vector_topk_sound(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of vectors of which many aren't sound."""
+    return search.nearest(_damaged_vectors(spark, d), first_vector(spark, d), 100, "vec_id").select("vec_id", F.round("sim", 6).alias("sim"))
+
+
+def _cells(spark: SparkSession, d: str) -> CellIndex:
+    return CellIndex.build(_damaged_vectors(spark, d), fresh_path(spark, "cells"), "vec_id")
+
+
+def vector_cells_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same by cells and their bounds."""
+    return _cells(spark, d).nearest_exact(first_vector(spark, d), 100).select("vec_id", F.round("sim", 5).alias("sim"))
+
+
+def vector_cells_recall(spark: SparkSession, d: str) -> DataFrame:
+    """For the vectors whose id is divisible by 100: how many of the 10 most similar ones by a full
+    comparison the cells find, and whether that is 0.9 of all."""
+    index, vectors = _cells(spark, d), written(_damaged_vectors(spark, d).where(search.sound(64)), "sound")
+    queries = vectors.where(F.col("vec_id") % 100 == 0)
+    asked = queries.withColumnRenamed("vec_id", "query_id")
+    found = index.nearest_of(asked, 10, "query_id")
+    every = CellIndex.build(vectors, fresh_path(spark, "all"), "vec_id", Cells(cells=1, probes=1)).nearest_of(asked, 10, "query_id")
+    both = every.select("query_id", "vec_id", F.lit(1).alias("is")).join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    sums = both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("recalled"))
+    return sums.select("queries", "neighbours", "recalled")
+
+
 def vector_left_guard(spark: SparkSession, d: str) -> DataFrame:
     g, v = symbol_graph(spark, d), first_vector(spark, d)
     sim = expr.cosine_similarity(F.col("vec"), F.array(*[F.lit(x) for x in v]), len(v))
@@ -318,7 +355,7 @@ def deprecation_share(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     churn, coupling, coupling_sparse, ownership, recency, file_evolution, author_counts, latest_version, exact_distinct, in_degree, trace_callees, trace_callers, reachable, schema_info,
-    filter_ci_substring, filter_regex, filter_label, subtoken_jaccard, lexical_binary, json_flag, vector_topk, vector_left_guard, candidate_union, hybrid_search, hybrid_search_page2, search_total,
+    filter_ci_substring, filter_regex, filter_label, subtoken_jaccard, lexical_binary, json_flag, vector_topk, vector_topk_sound, vector_cells_exact, vector_cells_recall, vector_left_guard, candidate_union, hybrid_search, hybrid_search_page2, search_total,
     semantic_search, rename_expand, snippet, module_names, embedding_texts, density_gate, mrr_by_slice, ranking_gates, noise_band, report_summary, tool_tally, leaked_tools, failed_answers, token_totals,
     parsed_nodes, parsed_edges, deprecation_share,
 )}
@@ -426,6 +463,9 @@ SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey,
     "lexical_binary": f"WITH {_SYMBOLS.strip()} SELECT qualified_name, CASE WHEN contains(lower(name), 'red') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS lex FROM symbols",
     "json_flag": f"WITH {_SYMBOLS.strip()} SELECT qualified_name, deprecated, false AS missing FROM symbols",
     "vector_topk": f"SELECT vec_id, round(sim, 6) AS sim FROM (SELECT vec_id, {_SIM.format(v='embedding')} AS sim FROM embeddings) ORDER BY sim DESC, vec_id LIMIT 100",
+    "vector_topk_sound": f"SELECT vec_id, round(sim, 6) AS sim FROM (SELECT vec_id, {_SIM.format(v='embedding')} AS sim FROM embeddings WHERE vec_id % 10 NOT IN (3, 4, 5, 6)) ORDER BY sim DESC, vec_id LIMIT 100",
+    "vector_cells_exact": f"SELECT vec_id, round(sim, 5) AS sim FROM (SELECT vec_id, {_SIM.format(v='embedding')} AS sim FROM embeddings WHERE vec_id % 10 NOT IN (3, 4, 5, 6)) ORDER BY sim DESC, vec_id LIMIT 100",
+    "vector_cells_recall": "SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) FROM embeddings WHERE vec_id % 10 NOT IN (3, 4, 5, 6)))::BIGINT AS neighbours, true AS recalled FROM embeddings WHERE vec_id % 100 = 0",
     "vector_left_guard": f"WITH {_SYMBOLS.strip()} SELECT qualified_name, round(CASE WHEN embedding IS NULL THEN 0.0 ELSE {_SIM.format(v='embedding')} END, 6) AS vec FROM symbols LEFT JOIN embeddings ON vec_id = key",
     "candidate_union": f"""
 WITH {_SYMBOLS.strip()},

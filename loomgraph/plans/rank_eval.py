@@ -59,14 +59,28 @@ def noise_band(rows: DataFrame, key: str, value: str, digits: int = 6) -> DataFr
 
 def report_summary(rows: DataFrame, key: str) -> DataFrame:
     """n, passed, quality, tokens_total, tokens_mean, graph_adoption of answers (passed, tokens,
-    used_graph) by key; an answer is a row."""
+    used_graph) by key; an answer is a row. With a column graph_calls (of each answer), their sum
+    is graph_tool_calls."""
     n = F.count("*")
+    calls = [F.coalesce(F.sum("graph_calls"), F.lit(0)).cast("long").alias("graph_tool_calls")] if "graph_calls" in rows.columns else []
     return rows.groupBy(key).agg(
         n.alias("n"), F.count_if("passed").alias("passed"), F.round(F.count_if("passed") / n, 6).alias("quality"), F.sum("tokens").alias("tokens_total"),
-        F.round(F.sum("tokens") / n, 4).alias("tokens_mean"), F.round(F.count_if("used_graph") / n, 6).alias("graph_adoption"),
+        F.round(F.sum("tokens") / n, 4).alias("tokens_mean"), F.round(F.count_if("used_graph") / n, 6).alias("graph_adoption"), *calls,
     )
 
 
+def question_rows(answers: DataFrame, calls: DataFrame, graph_tools: str) -> DataFrame:
+    """A row a question of a report: golden_id, passed, score, tokens, num_turns, is_error, notes,
+    tool_calls (map of tool and number), graph_calls, used_graph. answers: the first seven;
+    calls: golden_id, tool, a row a call; graph_tools: part of the names of the graph's tools."""
+    tally = tool_tally(calls).groupBy("golden_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("tool", "n")))).alias("tool_calls"), F.sum(F.when(F.contains("tool", F.lit(graph_tools)), F.col("n")).otherwise(0)).alias("graph_calls"),
+    )
+    out = answers.join(tally, "golden_id", "left").withColumn("graph_calls", F.coalesce("graph_calls", F.lit(0)))
+    none = F.create_map().cast("map<string,bigint>")
+    return out.select("golden_id", "passed", "score", "tokens", "num_turns", "is_error", "notes", F.coalesce("tool_calls", none).alias("tool_calls"), "graph_calls", (F.col("graph_calls") > 0).alias("used_graph"))
+
+
 def failures(rows: DataFrame) -> DataFrame:
     """golden_id, reason of answers that fail; an agent's error comes before the verdict."""
     return rows.where("is_error OR NOT passed").select("golden_id", F.when(F.col("is_error"), "agent_error").otherwise("judge_fail").alias("reason"))
@@ -168,10 +182,33 @@ def judge_prompt(golden: Golden, answer: str) -> str:
     points = "\n".join(f"{k}. {p}" for k, p in enumerate(golden.key_points, 1))
     return (
         f"Question:\n{golden.question}\n\nKey points:\n{points}\n\nAnswer to judge:\n{answer}\n\n"
-        f'For each of the {len(golden.key_points)} key points say whether the answer covers it. Reply with JSON alone: {{"covered": [true or false, ...], "score": 0 to 1}}'
+        f'For each of the {len(golden.key_points)} key points say whether the answer covers it. Reply with JSON alone: {{"covered": [true or false, ...], "pass": true if all are, "score": 0 to 1, "notes": "a few words"}}'
     )
 
 
+@dataclass(frozen=True)
+class Verdict:
+    """A judge's answer on one question."""
+
+    passed: bool
+    score: float
+    covered: tuple[bool, ...]
+    notes: str = ""
+
+
+def verdict_of(text: str, key_points: int) -> Verdict:
+    """The verdict in a judge's answer: `pass` and `score` where they are given, else what the flags
+    say; raises ValueError where a field isn't what it should be."""
+    found = parsed_verdict(text, key_points)
+    covered = found["covered"]
+    if not all(isinstance(x, bool) for x in covered):
+        raise ValueError(f"covered holds more than true and false: {covered}")
+    passed, score = found.get("pass", all(covered)), found.get("score", sum(covered) / max(1, len(covered)))
+    if not isinstance(passed, bool) or isinstance(score, bool) or not isinstance(score, (int, float)) or not 0 <= score <= 1:
+        raise ValueError(f"no verdict: pass {passed!r}, score {score!r}")
+    return Verdict(passed, float(score), tuple(covered), str(found.get("notes") or ""))
+
+
 def parsed_verdict(text: str, key_points: int) -> dict:
     """The first JSON object of a judge's answer; `covered` must have one flag a key point."""
     start = text.index("{")
@@ -181,11 +218,15 @@ def parsed_verdict(text: str, key_points: int) -> dict:
     return verdict
 
 
-def write_report(folder: Path, run_id: str, summary: dict, failed: list[dict]) -> tuple[Path, Path]:
-    """The report as JSON and as Markdown."""
+def write_report(folder: Path, run_id: str, summary: dict, failed: list[dict], questions: list[dict] | None = None, about: dict | None = None) -> tuple[Path, Path]:
+    """The report as JSON and as Markdown. questions: rows of question_rows(); about: what the run
+    was made with (condition, models, versions, corpus)."""
     folder.mkdir(parents=True, exist_ok=True)
     data, page = folder / f"{run_id}.json", folder / f"{run_id}.md"
-    data.write_text(json.dumps({"run_id": run_id, "summary": summary, "failures": failed}, indent=2, sort_keys=True))
+    data.write_text(json.dumps({**(about or {}), "run_id": run_id, "summary": summary, "questions": questions or [], "failures": failed}, indent=2, sort_keys=True))
     lines = [f"# Run {run_id}", "", "| | |", "|-|-|", *[f"| {k} | {v} |" for k, v in summary.items()], "", *[f"- {f['golden_id']}: {f['reason']}" for f in failed]]
+    if questions:
+        cell = lambda v: str(v).replace("|", "\\|").replace("\n", " ")
+        lines += ["", "| " + " | ".join(questions[0]) + " |", "|" + "-|" * len(questions[0]), *["| " + " | ".join(cell(v) for v in q.values()) + " |" for q in questions]]
     page.write_text("\n".join(lines) + "\n")
     return data, page

@@ -34,6 +34,11 @@ class Service:
         self.store = Store(spark, f"{folder}/{self.project}")
         self._lock = threading.Lock()
 
+    def close(self) -> None:
+        """Stops the session, after an index job that runs."""
+        with self._lock:
+            self.spark.stop()
+
     def op_ping(self) -> dict:
         return {"pong": True, "project": self.project, "pid": os.getpid()}
 
@@ -88,9 +93,10 @@ class Service:
         part = text.select(lines_between(F.col("value"), F.lit(node["start_line"]), F.lit(node["end_line"])).alias("text")).first()
         return {"qualified_name": qualified_name, "file_path": node["file_path"], "start_line": node["start_line"], "end_line": node["end_line"], "text": part["text"]}
 
-    def op_trace(self, qualified_name: str, direction: str = "callees", depth: int = 5) -> list[dict]:
+    def op_trace(self, qualified_name: str, direction: str = "callees", depth: int = 5, limit: int = 10_000, offset: int = 0) -> list[dict]:
+        """A page of the paths, the shortest first."""
         edges = self.store.read("edges").where("type = 'CALLS'")
-        return [r.asDict() for r in graph.trace_path(edges, qualified_name, direction, depth).collect()]
+        return [r.asDict() for r in graph.trace_path(edges, qualified_name, direction, depth).offset(offset).limit(limit).collect()]
 
     def op_schema_info(self) -> dict:
         rows = graph.schema_info(self.store.read("nodes"), self.store.read("edges")).collect()
