@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.expr import age_days, contains_ci, cosine_similarity, decay, json_flag, lexical
+from loomgraph.functions.expr import age_days, contains_ci, cosine_similarity, decay, json_flag, lexical, matches
 
 
 @dataclass(frozen=True)
@@ -150,7 +150,7 @@ def candidates(graph: Graph, query: Query, config: RankConfig = RankConfig()) ->
             match = match | F.coalesce("_near", F.lit(False))
         conditions.append(match)
     if query.name_pattern:
-        conditions.append(F.regexp_like(F.col("name"), F.lit(query.name_pattern)))
+        conditions.append(matches(F.col("name"), query.name_pattern))
     if query.label:
         conditions.append(F.col("label") == query.label)
     for c in conditions:
