@@ -1,7 +1,8 @@
 """Registered queries over a repository, its index job, store, service and stream, and their SQL.
 
 The repository is made from the pages: each page is a commit that writes a module's next
-version, so SQL over the pages knows its whole history and what the last version holds.
+version, some with a file of an odd name, its renaming, a binary file or a merged branch beside
+it, so SQL over the pages knows its whole history and what the last version holds.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ import json
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.expr import json_flag
 from loomgraph.plans.index_job import index_repository
 from loomgraph.service import Service
 from loomgraph.sources import git
+from loomgraph.sources.files import local_path
 from loomgraph.sources.shared import fresh_path
 from loomgraph.sources.storage import Store
 from loomgraph.streaming import append_changes
@@ -26,36 +29,55 @@ AS_OF = "2024-01-31 00:00:00"
 _made: dict[tuple[str, str], tuple[Path, Store]] = {}
 
 
-def _local(path: str) -> Path:
-    return Path(path.removeprefix("file://"))
-
-
-def _version(page: int) -> str:
-    """A module's text; no two versions share a line."""
-    names = "".join(f"X{page}_{k} = {page}\n" for k in range(page % 3))
-    return f"def f{page}():\n    return g{page}()\ndef g{page}():\n    return {page}\n{names}"
-
-
-def _repository(pages: list[int], root: Path) -> None:
+def _version(page: Column, html: Column) -> Column:
+    """A module's text; no two versions share a line. One name is bound by an import, one hidden by a
+    parameter, and one function says that it is deprecated."""
+    line = lambda text: F.regexp_replace(F.lit(text), "#", page.cast("string"))
+    more = F.array_join(F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (page % 3).cast("int")), lambda k: F.concat(line("X#_"), k.cast("string"), line(" = #\n"))), "")
+    digest = F.concat(line('D# = "'), F.md5(F.coalesce(html, F.lit("")).cast("binary")), F.lit('"\n'))
+    return F.concat(line("from lib# import tool as t#\n"), digest, line("def f#(x#):\n    return g#(t#(x#))\ndef g#(t#):\n    raise DeprecationWarning(t#())\n"), more)
+
+
+def _stream(pages: DataFrame) -> DataFrame:
+    """page_id and value: what git's import reads of each page: its commit, and by its number a file
+    whose name needs quotes, that file's renaming, a binary file, or a merge of a side branch."""
+    page, module = F.col("page_id"), F.col("page_id") % MODULES
+    s = lambda x: x.cast("string")
+    data = lambda text: F.concat(F.lit("data "), s(F.octet_length(text)), F.lit("\n"), text, F.lit("\n"))
+    who = lambda late: F.concat(F.lit("w"), s(page % 5), F.lit(" <w"), s(page % 5), F.lit("@example.com> "), s(EPOCH + 3600 * page + late), F.lit(" +0000\n"))
+    commit = lambda branch, late, message: F.concat(F.lit(f"commit refs/heads/{branch}\nauthor "), who(late), F.lit("committer "), who(late), data(F.concat(F.lit(message), s(page))))
+    put = lambda path, text: F.concat(F.lit("M 100644 inline "), path, F.lit("\n"), data(text))
+    odd = lambda folder, n: F.concat(F.lit(f'"{folder}/n \\"'), s(n), F.lit('\\"\\té.md"'))
+    note, side = F.concat(F.lit("note "), s(page), F.lit("\n")), F.concat(F.lit("side/s"), s(page), F.lit(".txt"))
+    more = F.when(page % 9 == 4, put(odd("docs", page), note)).when((page % 9 == 5) & F.col("has_before"), F.concat(F.lit("R "), odd("docs", page - 1), F.lit(" "), odd("docs/moved", page - 1), F.lit("\n")))
+    more = more.when(page % 9 == 7, put(F.concat(F.lit("bin/b"), s(page), F.lit(".dat")), F.concat(F.lit("\0\1"), s(page), F.lit("\n\0")))).otherwise("")
+    branch = F.concat(commit("side", 60, "side "), F.lit("from refs/heads/main\n"), put(side, note), commit("main", 120, "merge "), F.lit("merge refs/heads/side\n"), put(side, note))
+    value = F.concat(commit("main", 0, "page "), put(F.concat(F.lit("src/m"), s(module), F.lit(".py")), _version(page, F.col("html"))), more, F.when(page % 9 == 8, branch).otherwise(""))
+    before = pages.select((page + 1).alias("page_id"), F.lit(True).alias("before"))
+    return pages.join(before, "page_id", "left").withColumn("has_before", F.coalesce("before", F.lit(False))).select("page_id", value.alias("value"))
+
+
+def _repository(spark: SparkSession, d: str) -> Path:
+    """The pages' repository. Tasks write its import stream, and git reads that from the files."""
+    root, stream = local_path(fresh_path(spark, "repository")), fresh_path(spark, "import")
+    place = local_path(stream)
+    if root is None or place is None:
+        raise RuntimeError("git's repositories lie on mounted disks: spark.checkpoint.dir must be one")
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html").where("page_id IS NOT NULL").dropDuplicates(["page_id"])
+    _stream(pages).repartitionByRange("page_id").sortWithinPartitions("page_id").select("value").write.text(stream)
     subprocess.run(["git", "init", "-q", str(root)], check=True)
-    stream = []
-    for page in pages:
-        text, message = _version(page), f"page {page}"
-        who = f"w{page % 5} <w{page % 5}@example.com> {EPOCH + 3600 * page} +0000"
-        stream.append(f"commit refs/heads/main\nauthor {who}\ncommitter {who}\ndata {len(message)}\n{message}\nM 100644 inline src/m{page % MODULES}.py\ndata {len(text)}\n{text}\n")
-    subprocess.run(["git", "-C", str(root), "fast-import", "--quiet"], input="".join(stream).encode(), check=True)
-    if pages:
+    subprocess.run(["sh", "-c", 'cat "$0"/part-* | git -C "$1" fast-import --quiet', str(place), str(root)], check=True)
+    if subprocess.run(["git", "-C", str(root), "rev-parse", "-q", "--verify", "refs/heads/main"], capture_output=True).returncode == 0:
         subprocess.run(["git", "-C", str(root), "symbolic-ref", "HEAD", "refs/heads/main"], check=True)
         subprocess.run(["git", "-C", str(root), "reset", "-q", "--hard"], check=True)
+    return root
 
 
 def indexed(spark: SparkSession, d: str) -> tuple[Path, Store]:
     """The repository of the pages and its store, made and indexed once an application."""
     key = spark.sparkContext.applicationId, d
     if key not in _made:
-        root = _local(fresh_path(spark, "repository"))
-        pages = [r["page_id"] for r in spark.read.parquet(f"{d}/pages.parquet").select("page_id").orderBy("page_id").collect()]
-        _repository(pages, root)
+        root = _repository(spark, d)
         store = Store(spark, fresh_path(spark, "store"))
         index_repository(store, root, "pages", F.lit(AS_OF).cast("timestamp"))
         _made[key] = root, store
@@ -71,11 +93,11 @@ def history_commits(spark: SparkSession, d: str) -> DataFrame:
 def history_changes(spark: SparkSession, d: str) -> DataFrame:
     _, store = indexed(spark, d)
     named = store.read("git_commits").select("hash", "message")
-    return store.read("git_file_changes").join(named, "hash").select("message", "path", "additions", "deletions", F.col("is_rename").cast("int").alias("is_rename"))
+    return store.read("git_file_changes").join(named, "hash").select("message", "path", F.coalesce("old_path", F.lit("")).alias("old_path"), "additions", "deletions", F.col("is_rename").cast("int").alias("is_rename"))
 
 
 def indexed_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return indexed(spark, d)[1].read("nodes").select("label", "name", "qualified_name", "file_path", "start_line", "end_line")
+    return indexed(spark, d)[1].read("nodes").select("label", "name", "qualified_name", "file_path", "start_line", "end_line", json_flag(F.col("properties"), "deprecated").alias("deprecated"))
 
 
 def indexed_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -134,32 +156,42 @@ QUERIES = {f.__name__: f for f in (history_commits, history_changes, indexed_nod
 
 _V = f"""
 v AS (
-  SELECT page_id AS p, 'src/m' || (page_id % {MODULES})::VARCHAR AS m, 4 + page_id % 3 AS n, lag(4 + page_id % 3, 1, 0) OVER (PARTITION BY page_id % {MODULES} ORDER BY page_id) AS old,
-    page_id = max(page_id) OVER (PARTITION BY page_id % {MODULES}) AS last FROM pages)"""
+  SELECT page_id AS p, 'src/m' || (page_id % {MODULES})::VARCHAR AS m, 6 + page_id % 3 AS n, lag(6 + page_id % 3, 1, 0) OVER (PARTITION BY page_id % {MODULES} ORDER BY page_id) AS old,
+    page_id = max(page_id) OVER (PARTITION BY page_id % {MODULES}) AS last FROM pages),
+ch AS (
+  SELECT p, 'page ' || p::VARCHAR AS message, m || '.py' AS path, '' AS old_path, n::BIGINT AS additions, old::BIGINT AS deletions, 0 AS is_rename FROM v
+  UNION ALL SELECT p, 'page ' || p::VARCHAR, 'docs/n "' || p::VARCHAR || '"' || chr(9) || 'é.md', '', 1, 0, 0 FROM v WHERE p % 9 = 4
+  UNION ALL SELECT p, 'page ' || p::VARCHAR, 'docs/moved/n "' || (p - 1)::VARCHAR || '"' || chr(9) || 'é.md', 'docs/n "' || (p - 1)::VARCHAR || '"' || chr(9) || 'é.md', 0, 0, 1 FROM v WHERE p % 9 = 5 AND p - 1 IN (SELECT p FROM v)
+  UNION ALL SELECT p, 'page ' || p::VARCHAR, 'bin/b' || p::VARCHAR || '.dat', '', 0, 0, 0 FROM v WHERE p % 9 = 7
+  UNION ALL SELECT p, 'side ' || p::VARCHAR, 'side/s' || p::VARCHAR || '.txt', '', 1, 0, 0 FROM v WHERE p % 9 = 8)"""
 
 SQL = {
-    "history_commits": f"SELECT 'w' || (page_id % 5)::VARCHAR AS author_name, 'w' || (page_id % 5)::VARCHAR || '@example.com' AS author_email, {EPOCH} + 3600 * page_id AS committed_at, 'page ' || page_id::VARCHAR AS message FROM pages",
-    "history_changes": f"WITH {_V.strip()} SELECT 'page ' || p::VARCHAR AS message, m || '.py' AS path, n::BIGINT AS additions, old::BIGINT AS deletions, 0 AS is_rename FROM v",
+    "history_commits": f"""
+WITH c AS (SELECT page_id, 0 AS late, 'page ' AS what FROM pages UNION ALL SELECT page_id, 60, 'side ' FROM pages WHERE page_id % 9 = 8)
+SELECT 'w' || (page_id % 5)::VARCHAR AS author_name, 'w' || (page_id % 5)::VARCHAR || '@example.com' AS author_email, {EPOCH} + 3600 * page_id + late AS committed_at, what || page_id::VARCHAR AS message FROM c""",
+    "history_changes": f"WITH {_V.strip()} SELECT message, path, old_path, additions, deletions, is_rename FROM ch",
     "indexed_nodes": f"""
 WITH {_V.strip()}
-SELECT 'File' AS label, replace(m, 'src/', '') || '.py' AS name, m || '.py' AS qualified_name, m || '.py' AS file_path, 1 AS start_line, (n + 1)::INTEGER AS end_line FROM v WHERE last
-UNION ALL SELECT 'Function', x || p::VARCHAR, replace(m, '/', '.') || '.' || x || p::VARCHAR, m || '.py', CASE x WHEN 'f' THEN 1 ELSE 3 END, CASE x WHEN 'f' THEN 2 ELSE 4 END FROM v, (VALUES ('f'), ('g')) t(x) WHERE last""",
+SELECT 'File' AS label, replace(m, 'src/', '') || '.py' AS name, m || '.py' AS qualified_name, m || '.py' AS file_path, 1 AS start_line, (n + 1)::INTEGER AS end_line, false AS deprecated FROM v WHERE last
+UNION ALL SELECT 'Function', x || p::VARCHAR, replace(m, '/', '.') || '.' || x || p::VARCHAR, m || '.py', CASE x WHEN 'f' THEN 3 ELSE 5 END, CASE x WHEN 'f' THEN 4 ELSE 6 END, x = 'g' FROM v, (VALUES ('f'), ('g')) t(x) WHERE last""",
     "indexed_edges": f"""
 WITH {_V.strip()}
 SELECT m || '.py' AS source, replace(m, '/', '.') || '.' || x || p::VARCHAR AS target, 'DEFINES' AS type FROM v, (VALUES ('f'), ('g')) t(x) WHERE last
-UNION ALL SELECT replace(m, '/', '.') || '.f' || p::VARCHAR, replace(m, '/', '.') || '.g' || p::VARCHAR, 'CALLS' FROM v WHERE last""",
+UNION ALL SELECT m || '.py', 'lib' || p::VARCHAR || '.tool', 'IMPORTS' FROM v WHERE last
+UNION ALL SELECT replace(m, '/', '.') || '.f' || p::VARCHAR, replace(m, '/', '.') || '.g' || p::VARCHAR, 'CALLS' FROM v WHERE last
+UNION ALL SELECT replace(m, '/', '.') || '.f' || p::VARCHAR, 'lib' || p::VARCHAR || '.tool', 'CALLS' FROM v WHERE last""",
     "indexed_evolution": f"""
 WITH {_V.strip()},
-a AS (SELECT m || '.py' AS path, 'w' || (p % 5)::VARCHAR || '@example.com' AS author, count(*) AS c FROM v GROUP BY 1, 2),
+a AS (SELECT path, 'w' || (p % 5)::VARCHAR || '@example.com' AS author, count(*) AS c FROM ch GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY c DESC, author) AS k, sum(c) OVER (PARTITION BY path) AS total FROM a)
 SELECT k.path, total::BIGINT AS commit_count, s.churn, author AS top_author, round((c / total)::FLOAT::DOUBLE, 4) AS top_author_share
-FROM k JOIN (SELECT m || '.py' AS path, sum(n + old)::BIGINT AS churn FROM v GROUP BY 1) s ON s.path = k.path WHERE k.k = 1""",
+FROM k JOIN (SELECT path, sum(additions + deletions)::BIGINT AS churn FROM ch GROUP BY 1) s ON s.path = k.path WHERE k.k = 1""",
     "stored_rows": "SELECT o_orderstatus AS type, count(*) AS n, count(DISTINCT o_custkey) AS sources, 2::BIGINT AS version FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1",
     "service_answers": f"""
 WITH {_V.strip()},
 x AS (SELECT max(p)::VARCHAR AS p FROM v)
-SELECT 'status' AS op, 'indexed' AS answer UNION ALL SELECT 'labels', 'File,Function' UNION ALL SELECT 'edge_types', 'CALLS,DEFINES' UNION ALL SELECT 'refused', 'False' UNION ALL SELECT 'unknown', 'False'
-UNION ALL SELECT 'callees', 'f,g' UNION ALL SELECT 'total', (2 * count(*))::VARCHAR FROM v WHERE last
-UNION ALL SELECT 'snippet', 'def f' || p || '():' || chr(10) || '    return g' || p || '()' FROM x""",
+SELECT 'status' AS op, 'indexed' AS answer UNION ALL SELECT 'labels', 'File,Function' UNION ALL SELECT 'edge_types', 'CALLS,DEFINES,IMPORTS' UNION ALL SELECT 'refused', 'False' UNION ALL SELECT 'unknown', 'False'
+UNION ALL SELECT 'callees', 'f,t,g' UNION ALL SELECT 'total', (2 * count(*))::VARCHAR FROM v WHERE last
+UNION ALL SELECT 'snippet', 'def f' || p || '(x' || p || '):' || chr(10) || '    return g' || p || '(t' || p || '(x' || p || '))' FROM x""",
     "streamed_changes": "SELECT DISTINCT event_id::VARCHAR AS hash, user_id::VARCHAR AS path, value FROM events",
 }
