@@ -21,7 +21,8 @@ from loomgraph.sources import git
 from loomgraph.sources.files import local_path
 from loomgraph.sources.shared import fresh_path
 from loomgraph.sources.storage import Store
-from loomgraph.streaming import append_changes
+from loomgraph.operators.evolution import Roles
+from loomgraph.streaming import append_changes, summaries, summarise_changes
 
 #: Modules that the pages are versions of, and the second in which page 0 is committed.
 MODULES, EPOCH = 40, 1_700_000_000
@@ -152,7 +153,21 @@ def streamed_changes(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(table)
 
 
-QUERIES = {f.__name__: f for f in (history_commits, history_changes, indexed_nodes, indexed_edges, indexed_evolution, stored_rows, service_answers, streamed_changes)}
+def streamed_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Running sums of each user's events, of which each arrives twice and in no order: once taken in,
+    then summed up, both by micro-batches that stop and go on."""
+    source, table, sums = (fresh_path(spark, n) for n in ("stream", "changes", "sums"))
+    checks = [fresh_path(spark, "checkpoint") for _ in range(2)]
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("string").alias("hash"), F.col("user_id").cast("string").alias("path"), F.col("ts").alias("committed_at"), "value")
+    for turn in range(2):
+        for half in (0, 1):  # all rows come in two parts, and all come again
+            events.where(F.pmod(F.xxhash64("hash"), F.lit(2)) == (half + turn) % 2).write.mode("append").parquet(source)
+            append_changes(spark.readStream.schema(events.schema).parquet(source), table, checks[0]).awaitTermination()
+            summarise_changes(spark.readStream.schema(events.schema).parquet(table), sums, checks[1], Roles(churn="value")).awaitTermination()
+    return summaries(spark, sums).select("path", "commit_count", F.round("churn", 2).alias("churn"), "last_commit_at")
+
+
+QUERIES = {f.__name__: f for f in (history_commits, history_changes, indexed_nodes, indexed_edges, indexed_evolution, stored_rows, service_answers, streamed_changes, streamed_summaries)}
 
 _V = f"""
 v AS (
@@ -193,5 +208,6 @@ x AS (SELECT max(p)::VARCHAR AS p FROM v)
 SELECT 'status' AS op, 'indexed' AS answer UNION ALL SELECT 'labels', 'File,Function' UNION ALL SELECT 'edge_types', 'CALLS,DEFINES,IMPORTS' UNION ALL SELECT 'refused', 'False' UNION ALL SELECT 'unknown', 'False'
 UNION ALL SELECT 'callees', 'f,t,g' UNION ALL SELECT 'total', (2 * count(*))::VARCHAR FROM v WHERE last
 UNION ALL SELECT 'snippet', 'def f' || p || '(x' || p || '):' || chr(10) || '    return g' || p || '(t' || p || '(x' || p || '))' FROM x""",
+    "streamed_summaries": "SELECT user_id::VARCHAR AS path, count(*) AS commit_count, round(sum(value), 2) AS churn, max(ts) AS last_commit_at FROM events GROUP BY 1",
     "streamed_changes": "SELECT DISTINCT event_id::VARCHAR AS hash, user_id::VARCHAR AS path, value FROM events",
 }

@@ -9,6 +9,7 @@ and no path is quoted.
 
 from __future__ import annotations
 
+import itertools
 import subprocess
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -51,9 +52,22 @@ def _changes(fields: Iterator[str]) -> Iterator[tuple]:
         yield new, old, *(0 if n == "-" else int(n) for n in (added, removed)), not path
 
 
+def streamed(root: str | Path, *args: str, mark: bytes) -> Iterator[bytes]:
+    """What a git command prints, cut at each mark, as it comes; raises if the command fails."""
+    with subprocess.Popen(["git", "-C", str(root), *args], stdout=subprocess.PIPE) as run:
+        rest = b""
+        while part := run.stdout.read(1 << 20):
+            *whole, rest = (rest + part).split(mark)
+            yield from whole
+        yield rest
+    if run.returncode:
+        raise subprocess.CalledProcessError(run.returncode, "git")
+
+
 def commits(root: str | Path, *which: str) -> Iterator[tuple]:
     """The commits that a log lists, as rows of COMMIT."""
-    for record in git(root, *_LOG, *which, "--numstat", "--format=%x01%H%x02%an%x02%ae%x02%at%x02%s").split("\x01")[1:]:
+    for raw in itertools.islice(streamed(root, *_LOG, *which, "--numstat", "--format=%x01%H%x02%an%x02%ae%x02%at%x02%s", mark=b"\x01"), 1, None):
+        record = raw.decode(errors="replace")
         head, *fields = record.split("\0")
         name, author, email, at, message = head.split("\x02", 4)
         yield name, author, email, datetime.fromtimestamp(int(at), timezone.utc), message, list(_changes(iter(fields)))
@@ -106,5 +120,5 @@ def tables_of(history: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
 
 def count_reasons(root: str | Path, commits: int, changes: int) -> list[str]:
     """Where git's own counts differ from those of the tables; nothing if all agree."""
-    expected = {"commits": (commits, int(git(root, "rev-list", "--no-merges", "--count", "HEAD"))), "changes": (changes, sum(1 for name in git(root, *_LOG, "--name-only", "--format=").split("\0") if name.strip()))}
+    expected = {"commits": (commits, int(git(root, "rev-list", "--no-merges", "--count", "HEAD"))), "changes": (changes, sum(1 for name in streamed(root, *_LOG, "--name-only", "--format=", mark=b"\0") if name.strip()))}
     return [f"history: {ours} {what} read, git counts {theirs}" for what, (ours, theirs) in expected.items() if ours != theirs]

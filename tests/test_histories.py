@@ -8,8 +8,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import streaming
 from loomgraph.functions.expr import matches
-from loomgraph.operators import graph, renames, trigrams
+from loomgraph.operators import evolution, graph, renames, trigrams
 from loomgraph.operators.asof import asof_join
 from loomgraph.sources.shared import fresh_path
 
@@ -145,3 +146,29 @@ def test_patterns_that_go_back_end(spark):
     assert time.monotonic() - began < 60
     with pytest.raises(ValueError):
         matches(F.col("s"), "(a)\\1")
+
+
+def test_streams_of_late_and_repeated_rows(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(f"h{k}", r.choice(["a", "b", None]), DAY + timedelta(days=r.randint(0, 60)), r.randint(0, 50)) for k in range(200)]
+    schema = "hash string, path string, committed_at timestamp, additions long"
+    source, table, sums, checks = (str(tmp_path / n) for n in ("in", "table", "sums", "checks"))
+    shuffled = rows * 2
+    r.shuffle(shuffled)
+    roles = evolution.Roles(churn="additions")
+    for turn in range(4):
+        spark.createDataFrame(shuffled[turn::4], schema).write.mode("append").parquet(source)
+        query = streaming.append_changes(spark.readStream.schema(schema).parquet(source), table, f"{checks}/1")
+        query.awaitTermination()
+        assert sum(p["numInputRows"] for p in query.recentProgress) == len(shuffled[turn::4])  # of a batch, not of the table
+        streaming.summarise_changes(spark.readStream.schema(schema).parquet(table), sums, f"{checks}/2", roles).awaitTermination()
+    assert sorted(map(str, spark.read.parquet(table).collect())) == sorted(map(str, spark.createDataFrame(rows, schema).collect()))
+    want = {p: (sum(x[1] == p for x in rows), sum(x[3] for x in rows if x[1] == p), max(x[2] for x in rows if x[1] == p)) for p in ("a", "b", None)}
+    read = lambda: {x["path"]: (x["commit_count"], x["churn"], x["last_commit_at"]) for x in streaming.summaries(spark, sums).collect()}
+    assert read() == want
+    assert streaming.fold_summaries(spark, sums, keep=1) == 2 and read() == want and streaming.fold_summaries(spark, sums, keep=1) == 0
+    late = streaming.append_changes(spark.readStream.schema(schema).parquet(source), str(tmp_path / "t2"), f"{checks}/3", at="committed_at", delay="90 days")
+    late.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "t2")).count() == 200  # nothing is later than that
+    with pytest.raises(ValueError):
+        streaming.append_changes(spark.readStream.schema(schema).parquet(source), table, f"{checks}/1", at="committed_at")
