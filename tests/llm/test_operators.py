@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -496,6 +497,34 @@ def test_pii_model_on_rows_set_apart():
             assert y[own][chosen].mean() >= 0.95 and chosen[y[own] == 1].mean() >= 0.9, kind
 
 
+def test_pii_generalises_to_other_templates():
+    model = pii.fitted()
+    x, y = pii.training_rows(3000, seed=99, family=1)
+    p = model.probability(x)
+    for k, kind in enumerate(pii.KINDS):
+        own = x[:, 0] == k
+        chosen = p[own] >= model.thresholds[kind]
+        assert y[own][chosen].mean() >= 0.94 and chosen[y[own] == 1].mean() >= 0.9, kind
+    assert sum(t < 1 for t in model.thresholds.values()) >= 3  # the calibration decides
+
+
+def test_pii_in_words_without_digits_and_of_long_kinds():
+    model = pii.fitted()
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.find(t, model)[1]]
+    assert found("bob at example dot com is me") == [("email", "bob at example dot com")]
+    assert found("my key is qwhzkxvbnmtrplkjhgfdsazxcvbnmqw ok") == [("secret", "qwhzkxvbnmtrplkjhgfdsazxcvbnmqw")]
+    assert found("ssn 123-45-6789 there") == [("secret", "123-45-6789")]
+    assert found("DE89 3704 0044 0532 0130 00 iban") == [("secret", "DE89 3704 0044 0532 0130 00")]
+    assert found("server 2001:db8:85a3::8a2e:370:7334 up") == [("ip", "2001:db8:85a3::8a2e:370:7334")]
+    assert found("login 10[dot]1[dot]22[dot]3 there") == [("ip", "10[dot]1[dot]22[dot]3")]
+    for clean in ("look at home dot it was", "std::vector and abc::def", "a well-meant-and-lengthy-expression-of-thanks here", "Donaudampfschifffahrtsgesellschaft sailed", "at 12:30:45 on 01:02:03"):
+        assert found(clean) == [], clean
+    for long in ("ab at cd dot " * 20_000, "a" * 300_000, "a-" * 150_000, ":" * 100_000, "1:" * 60_000, "GB12 " * 40_000, "x at " * 50_000):
+        began = time.process_time()
+        pii.find(long, model)
+        assert time.process_time() - began < 20, long[:20]
+
+
 def test_pii(spark, docs, rows):
     text = "mail a.b@c.org or +1 (269) 555-3296 4524132264652876; 10.0.0.1 and password=e3b3ed3cc8548923d6 é end"
     got = collected(pii.pii_spans(frame(spark, [(1, text, "s"), (2, None, "s")])))
