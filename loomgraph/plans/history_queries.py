@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators import evolution, graph, renames, trigrams
+from loomgraph.operators import evolution, graph, renames, rollup, trigrams
 from loomgraph.operators.asof import asof_join
 from loomgraph.sources.shared import fresh_path, written
 
@@ -75,7 +75,28 @@ def name_substrings(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("asked", "p_partkey", "p_name")
 
 
-QUERIES = {f.__name__: f for f in (previous_change, followed_churn, followed_ownership, path_counts, paths_to, name_substrings)}
+PAGE_FILES = evolution.Roles(path="path", commit="page_id DIV 7", author="concat('w', page_id % 5)", churn="length(html)")
+
+
+def folder_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as changes of the files that their addresses name: sums of each folder."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").withColumn("path", F.regexp_replace("url", "^[a-z]+://", ""))
+    return rollup.folder_evolution(pages, PAGE_FILES)
+
+
+def sketched_range(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct orders of each supplier in a range of months by stored sketches, beside exact numbers:
+    whether the estimate is within five standard errors."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    roles = evolution.Roles(path="l_suppkey", commit="l_orderkey", author="l_partkey", churn="l_linenumber")
+    stored = written(rollup.sketched(lines, F.date_format("l_shipdate", "yyyy-MM"), roles), "sketches")
+    found = rollup.over_periods(stored, F.lit("1997-03"), F.lit("2000-10"))
+    exact = lines.where("date_format(l_shipdate, 'yyyy-MM') BETWEEN '1997-03' AND '2000-10'").groupBy(F.col("l_suppkey").alias("path")).agg(F.count_distinct("l_orderkey").alias("orders"), F.count_distinct("l_partkey").alias("parts"))
+    near = lambda got, want: F.abs(F.col(got) - F.col(want)) <= F.lit(5 * 1.04 / 2 ** (rollup.PRECISION / 2)) * F.col(want)
+    return found.join(exact, "path").select("path", "changes", "churn", "orders", "parts", (near("commits", "orders") & near("authors", "parts")).alias("near"))
+
+
+QUERIES = {f.__name__: f for f in (previous_change, followed_churn, followed_ownership, path_counts, paths_to, name_substrings, folder_sums, sketched_range)}
 
 _DENSE = """
 l AS (SELECT DISTINCT l_orderkey, s_nationkey::VARCHAR AS s FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
@@ -113,6 +134,17 @@ SQL = {
 WITH r AS (SELECT l_partkey AS p, l_shipdate AS d, arg_max(l_returnflag, (l_orderkey, l_linenumber, l_returnflag)) AS flag FROM lineitem GROUP BY 1, 2)
 SELECT l_orderkey, l_linenumber, l_partkey, r.flag AS author_before, date_diff('day', r.d, l_shipdate) AS days
 FROM lineitem ASOF LEFT JOIN r ON l_partkey = r.p AND l_shipdate - INTERVAL 1 DAY >= r.d""",
+    "folder_sums": """
+WITH p AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS path, page_id // 7 AS c, 'w' || page_id % 5 AS author, length(html) AS churn FROM pages WHERE url IS NOT NULL),
+e AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
+f AS (SELECT path, c, author, churn, unnest(list_transform(range(greatest(len(parts), 1)), lambda k: array_to_string(parts[1:k], '/'))) AS folder FROM e),
+a AS (SELECT folder, author, count(*) AS n FROM f GROUP BY 1, 2),
+t AS (SELECT folder, arg_min(author, (-n, author)) AS top_author, max(n) AS n FROM a GROUP BY folder)
+SELECT f.folder, CASE WHEN f.folder = '' THEN 0 ELSE len(string_split(f.folder, '/')) END::INTEGER AS depth, count(DISTINCT path) AS files, count(DISTINCT c) AS commits, count(*) AS changes, sum(churn)::BIGINT AS churn,
+  any_value(t.top_author) AS top_author, round(any_value(t.n) / count(*), 3) AS top_author_share FROM f JOIN t ON t.folder = f.folder GROUP BY f.folder""",
+    "sketched_range": """
+SELECT l_suppkey AS path, count(*) AS changes, sum(l_linenumber)::BIGINT AS churn, count(DISTINCT l_orderkey) AS orders, count(DISTINCT l_partkey) AS parts, true AS near
+FROM lineitem WHERE strftime(l_shipdate, '%Y-%m') BETWEEN '1997-03' AND '2000-10' GROUP BY 1""",
     "path_counts": f"WITH RECURSIVE {_DENSE.format(depth=4).strip()} SELECT depth, count(*) AS n FROM walk GROUP BY depth",
     "paths_to": f"WITH RECURSIVE {_DENSE.format(depth=4).strip()} SELECT node, array_to_string(path, ' > ') AS path, depth FROM walk WHERE node = '7' ORDER BY depth, node, walk.path LIMIT 2000 OFFSET 150",
     "name_substrings": """

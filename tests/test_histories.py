@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import streaming
 from loomgraph.functions.expr import matches
-from loomgraph.operators import evolution, graph, renames, trigrams
+from loomgraph.operators import evolution, graph, renames, rollup, trigrams
 from loomgraph.operators.asof import asof_join
 from loomgraph.sources.shared import fresh_path
 
@@ -172,3 +172,34 @@ def test_streams_of_late_and_repeated_rows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t2")).count() == 200  # nothing is later than that
     with pytest.raises(ValueError):
         streaming.append_changes(spark.readStream.schema(schema).parquet(source), table, f"{checks}/1", at="committed_at")
+
+
+def test_folders_have_the_sums_of_what_is_below(spark):
+    r = random.Random(7)
+    names = ["a", "b", "c"]
+    rows = [(f"h{r.randint(0, 30)}", "/".join(r.choice(names) for _ in range(r.randint(1, 4))), r.choice(["x", "y", "z", None]), r.randint(0, 9)) for _ in range(300)] + [("h1", None, "x", 5), (None, "a/b", "x", 1), ("h2", "/a//d.py", "y", 2), ("h2", "", "y", 3)]
+    df = spark.createDataFrame(rows, "hash string, path string, author_email string, churn int")
+    got = {x["folder"]: tuple(x)[1:] for x in rollup.folder_evolution(df, evolution.Roles(churn="churn")).collect()}
+    want = {}
+    for h, p, a, c in rows:
+        if p is not None:
+            parts = [x for x in p.split("/") if x]
+            for k in range(max(1, len(parts))):
+                want.setdefault("/".join(parts[:k]), []).append((h, p, a, c))
+    assert set(got) == set(want) and "a/b" in got
+    for folder, own in want.items():
+        authors = {a: sum(x[2] == a for x in own) for a in {x[2] for x in own}}
+        top = min(authors, key=lambda a: (-authors[a], a is not None, a or ""))
+        depth = len(folder.split("/")) if folder else 0
+        assert got[folder] == (depth, len({x[1] for x in own}), len({x[0] for x in own} - {None}), len(own), sum(x[3] for x in own), top, round(authors[top] / len(own), 3)), folder
+    assert rollup.folder_evolution(df.limit(0), evolution.Roles(churn="churn")).isEmpty()
+
+
+def test_sketches_of_periods_merge(spark):
+    rows = spark.range(60_000).selectExpr("concat('p', id % 3) AS path", "concat('h', id DIV 2) AS hash", "concat('w', id % 40) AS author_email", "CAST(id % 10 AS int) AS month", "1L AS churn")
+    stored = rollup.sketched(rows, F.col("month"), evolution.Roles(churn="churn"))
+    exact = {r["path"]: r for r in rows.where("month BETWEEN 2 AND 6").groupBy("path").agg(F.count_distinct("hash").alias("commits"), F.count_distinct("author_email").alias("authors"), F.count("*").alias("changes")).collect()}
+    for r in rollup.over_periods(stored, F.lit(2), F.lit(6)).collect():
+        e = exact[r["path"]]
+        assert r["changes"] == r["churn"] == e["changes"] and r["authors"] == e["authors"] and abs(r["commits"] - e["commits"]) < 0.07 * e["commits"]
+    assert abs(rollup.over_periods(stored, by=["period"]).where("period = 3").first()["commits"] - 6000) < 400
