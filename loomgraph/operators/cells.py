@@ -27,6 +27,8 @@ from loomgraph.sources.shared import written
 
 #: Sums of 32-bit products may be off by so much.
 SLACK = 1e-4
+#: Bytes of vectors in a part that is kept in memory, about.
+KEPT = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -129,9 +131,11 @@ class CellIndex:
         return cls(spark, place)
 
     def keep(self) -> CellIndex:
-        """Holds the blocks in the executors' memory, or on their disks, for many searches."""
+        """Holds the blocks in the executors' memory, or on their disks, for many searches: in parts of
+        KEPT bytes, about, by cell, of which a search skips what holds none of its cells."""
         if self.blocks is not None:
-            self.blocks = self.blocks.sortWithinPartitions("cell").persist(StorageLevel.MEMORY_AND_DISK)
+            size = self.blocks.agg(F.sum(F.length("unit")).alias("n")).first()["n"] or 0
+            self.blocks = self.blocks.repartitionByRange(max(1, -(-size // KEPT)), "cell").sortWithinPartitions("cell").persist(StorageLevel.MEMORY_AND_DISK)
             self.blocks.count()
         return self
 

@@ -161,7 +161,8 @@ def candidates(graph: Graph, query: Query, config: RankConfig = RankConfig()) ->
 def scored(graph: Graph, query: Query, as_of: Column, config: RankConfig = RankConfig(), found: DataFrame | None = None) -> DataFrame:
     """Candidates (found, if they are known) with lex, vec, rec, cen, dep and score."""
     found = candidates(graph, query, config) if found is None else found
-    recency = graph.changes.groupBy(F.col("path").alias("file_path")).agg(decay(age_days(F.max("committed_at"), as_of)).alias("_rec"))
+    # only the candidates' files; the largest degree is of all symbols
+    recency = graph.changes.join(found.select(F.col("file_path").alias("path")), "path", "left_semi").groupBy(F.col("path").alias("file_path")).agg(decay(age_days(F.max("committed_at"), as_of)).alias("_rec"))
     degree = graph.edges.where("type = 'CALLS'").groupBy(F.col("target").alias("qualified_name")).agg(F.count("*").alias("_deg"))
     most = degree.agg(F.greatest(F.max("_deg"), F.lit(1)).alias("_most"))
     out = found.join(recency, "file_path", "left").join(degree, "qualified_name", "left").join(F.broadcast(most))

@@ -67,7 +67,8 @@ class Service:
         return self.store.status()
 
     def _graph(self) -> search.Graph:
-        changes = self.store.read("git_file_changes")
+        # the last change of each file is all that a search needs of the history
+        changes = self.store.read("file_evolution").select("path", F.col("last_commit_at").alias("committed_at"))
         vectors = self.store.read("embeddings")
         return search.Graph(self.store.read("nodes"), self.store.read("edges"), changes, vectors)
 
