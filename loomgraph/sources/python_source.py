@@ -14,12 +14,14 @@ import ast
 import re
 import warnings
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.session import ship
+from loomgraph.sources.files import local_path
 from loomgraph.sources.recovery import Scope, recovered
 
 #: A row of a parsed file: nodes and edges share it. Further kinds are for names across files: alias (the module
@@ -300,8 +302,42 @@ def edges_of(rows: DataFrame, project: str, version: int) -> DataFrame:
     return rows.where("kind = 'edge'").select(F.lit(project).alias("project"), "source", "target", F.col("label").alias("type"), F.lit("{}").alias("properties"), F.lit(version).cast("long").alias("version"))
 
 
+#: Bytes of sources that are handed on at once, about.
+_READ = 16 << 20
+
+
+def _mounted(spark: SparkSession, root: Path, names: list[str]) -> DataFrame:
+    """Files of a mounted folder. Spark's own readers pass over names that begin with an underscore,
+    which packages' __init__.py do; tasks open the files instead. Those that are gone are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary())], names=["path", "content"])
+        rows, size = [], 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    content = (root / name).read_bytes()
+                except (FileNotFoundError, IsADirectoryError):
+                    continue
+                rows.append((name, content))
+                size += len(content)
+                if size >= _READ:
+                    yield made(rows)
+                    rows, size = [], 0
+        if rows:
+            yield made(rows)
+
+    listed = spark.createDataFrame([(n,) for n in names], "path string")
+    return listed.repartition(max(1, min(len(names) // 64, 2 * spark.sparkContext.defaultParallelism)), "path").mapInArrow(run, "path string, content binary")
+
+
 def read_sources(spark: SparkSession, root: str, tracked: list[str] | None = None) -> DataFrame:
-    """(path relative to root, content) of the .py files below root, or of the tracked ones."""
+    """(path relative to root, content) of the .py files below root, or of the tracked ones. A root
+    that isn't a mounted folder is read by Spark, without files whose name begins with _ or a dot."""
+    local = local_path(root)
+    if local is not None:
+        names = sorted(str(p.relative_to(local)) for p in local.rglob("*.py") if p.is_file()) if tracked is None else tracked
+        return _mounted(spark, local, names)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.py").load(root)
     base = F.lit(re.sub(r"^[a-z]+://*", "/", root).rstrip("/") + "/")
     path = F.regexp_replace("path", r"^[a-z]+:/+", "/")

@@ -241,3 +241,21 @@ def test_a_store_behind_a_file_system_of_spark(spark, tmp_path):
     assert store.status()["state"] == "indexed" and (tmp_path / "s" / "status.json").exists()
     store.delete()
     assert store.generation is None and store.read("edges").isEmpty()
+
+
+def test_an_index_with_names_through_files(spark, tmp_path):
+    root = tmp_path / "linked"
+    (root / "pkg").mkdir(parents=True)
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@example.com", *a], check=True, capture_output=True)
+    run("init", "-q")
+    for name, text in (("pkg/__init__.py", "from .a import run\n"), ("pkg/a.py", "from .b import work as run\n"), ("pkg/b.py", "def work():\n    return 1\n"), ("main.py", "from pkg import run\n\ndef main():\n    return run()\n")):
+        (root / name).write_text(text)
+    run("add", "-A")
+    run("commit", "-qm", "all")
+    now = F.lit("2024-06-01").cast("timestamp")
+    plain, linked = Store(spark, tmp_path / "plain"), Store(spark, tmp_path / "with")
+    index_repository(plain, root, "p", now)
+    index_repository(linked, root, "p", now, resolve_names=True)
+    calls = lambda s: {(r["source"], r["target"]) for r in s.read("edges").where("type = 'CALLS'").collect()}
+    assert calls(plain) == {("main.main", "pkg.run")} and calls(linked) == {("main.main", "pkg.run"), ("main.main", "pkg.b.work")}
+    assert {"pkg/__init__.py", "main.py"} <= {r["file_path"] for r in plain.read("nodes").where("label = 'File'").collect()}
