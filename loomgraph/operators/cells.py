@@ -27,6 +27,8 @@ from loomgraph.sources.shared import written
 
 #: Sums of 32-bit products may be off by so much.
 SLACK = 1e-4
+#: Rows of a query and one of its cells that are handed on at once, about.
+PLACES = 65_536
 #: Bytes of vectors in a part that is kept in memory, about.
 KEPT = 64 << 20
 
@@ -35,13 +37,18 @@ KEPT = 64 << 20
 class Cells:
     """cells: their number; None: the root of the number of vectors, 4096 at most. sample: vectors that
     centroids are fitted on, at most (those with the smallest hashes of their ids). rounds: of the
-    fitting. block: vectors in a row, at most. probes: cells that a search reads."""
+    fitting. block: vectors in a row, at most. probes: cells that a search reads, at least; where that
+    finds less than `recall` of the `near` most similar vectors, measured on `trials` of the sample
+    against a full comparison, it reads as many as do."""
 
     cells: int | None = None
     sample: int = 65_536
     rounds: int = 8
     block: int = 2_048
     probes: int = 16
+    recall: float = 0.95
+    near: int = 10
+    trials: int = 256
 
 
 def fitted(x: np.ndarray, cells: int, rounds: int, seed: int = 1) -> np.ndarray:
@@ -58,6 +65,23 @@ def fitted(x: np.ndarray, cells: int, rounds: int, seed: int = 1) -> np.ndarray:
     return c
 
 
+def needed_probes(x: np.ndarray, c: np.ndarray, how: Cells) -> int:
+    """The number of cells, how.probes at least, that hold how.recall of the how.near vectors of x (unit
+    vectors) most similar to each of how.trials of them. Where x is a sample, the nearest of all
+    vectors are nearer than those of x, so that their cells come no later."""
+    if len(x) == 0 or len(c) <= how.probes:
+        return how.probes
+    asked = x[:: max(1, len(x) // how.trials)][: how.trials]
+    sims = asked @ x.T
+    k = min(how.near, len(x))
+    top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    half = 0.5 * (c * c).sum(1)
+    place = np.argsort(np.argsort(-(asked @ c.T), axis=1, kind="stable"), axis=1)  # of each cell in a search's order
+    cell = np.stack([(x[t] @ c.T - half).argmax(1) for t in top])
+    ranks = np.sort(np.take_along_axis(place, cell, axis=1).ravel())
+    return max(how.probes, int(ranks[min(len(ranks) - 1, int(np.ceil(how.recall * len(ranks))) - 1)]) + 1)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     return (x / np.where(norms > 0, norms, 1)).astype(np.float32)
@@ -96,7 +120,9 @@ class CellIndex:
         kind = vectors.schema[id_col].dataType.simpleString()
         sample = kept.withColumn("at", F.xxhash64("id")).orderBy("at").limit(how.sample).select("vec").toArrow() if n else None
         number = max(1, min(how.cells or int(n**0.5), 4096, n))
-        centroids = fitted(_unit(_rows(sample["vec"].combine_chunks(), dims)), number, how.rounds) if n else np.zeros((0, dims), np.float32)
+        some = _unit(_rows(sample["vec"].combine_chunks(), dims)) if n else np.zeros((0, dims), np.float32)
+        centroids = fitted(some, number, how.rounds) if n else some
+        probes = needed_probes(some, centroids, how)
 
         def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             half = 0.5 * (centroids * centroids).sum(1)
@@ -127,7 +153,7 @@ class CellIndex:
         dealt = rows.join(F.broadcast(about.select("cell", F.ceil(F.col("n") / share).alias("parts"))), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
         dealt = dealt.repartition(F.col("cell"), F.col("part")).sortWithinPartitions("cell").select("cell", "id", "unit")
         dealt.mapInArrow(packed, f"ids array<{kind}>, unit binary, cell int").write.mode("overwrite").partitionBy("cell").parquet(f"{place}/blocks")
-        Files(spark, place).replace("about.json", json.dumps({"id_col": id_col, "kind": kind, "dims": dims, "probes": how.probes}))
+        Files(spark, place).replace("about.json", json.dumps({"id_col": id_col, "kind": kind, "dims": dims, "probes": probes}))
         return cls(spark, place)
 
     def keep(self) -> CellIndex:
@@ -200,12 +226,15 @@ class CellIndex:
         kind, dims, centroids, cells, most = queries.schema[query_id].dataType.simpleString(), self.dims, self.centroids, self.cells, probes or self.probes
 
         def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = _unit(_rows(batch.column(1), dims))
-                near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :most]
-                row = np.repeat(np.arange(len(x)), near.shape[1])
-                unit = pa.FixedSizeListArray.from_arrays(pa.array(x[row].ravel()), dims).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), unit, pa.array(cells[near.ravel()], pa.int32())], names=["query", "asked", "cell"])
+            step = max(1, PLACES // min(most, len(cells)))
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    x = _unit(_rows(batch.column(1), dims))
+                    near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :most]
+                    row = np.repeat(np.arange(len(x)), near.shape[1])
+                    unit = pa.FixedSizeListArray.from_arrays(pa.array(x[row].ravel()), dims).cast(pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), unit, pa.array(cells[near.ravel()], pa.int32())], names=["query", "asked", "cell"])
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
