@@ -46,6 +46,10 @@ BY_SOURCE = ("nodes", "edges", "embeddings", SOURCES)
 ORIGIN = "_origin"
 #: Seconds that files stay after the last of the kept generations has let go of them.
 RETAINED = 3600.0
+#: Bytes of a row group: rows of few distinct values take little, and a task reads whole groups.
+ROW_GROUP = 16 << 20
+#: Rows whose keys one task counts, about.
+COUNTED = 1_000_000
 #: States of a project. degraded is never shown as indexed.
 STATES = ("uninitialized", "queued", "running", "indexed", "degraded", "failed")
 
@@ -102,7 +106,7 @@ class Load:
 
     def _put(self, df: DataFrame, table: str) -> dict:
         name = f"data/{table}/{self.id}"
-        df.write.mode("overwrite").parquet(self.store.files.address(name))
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(self.store.files.address(name))
         return {"path": name, "files": [[n, size] for n, size, _ in self.store.files.names(name) if n.endswith(".parquet")]}
 
     def _rows(self, table: str, df: DataFrame) -> DataFrame:
@@ -134,7 +138,9 @@ class Load:
             old = self.store._live(table, before | {"gone": [*before["gone"], gone]}).select(*keys)
             if not old.join(new, keys, "left_semi").isEmpty():
                 return True
-        return not new.groupBy(*keys).count().where("count > 1").isEmpty()
+        # dealt by key before they are counted: a task holds the keys of its share, not of all that it reads
+        shares = max(1, -(-new.count() // COUNTED))
+        return not new.repartition(shares, *keys).groupBy(*keys).count().where("count > 1").isEmpty()
 
     def publish(self) -> int:
         """Makes this the current generation; raises ConcurrentLoad if it no longer is the next one."""

@@ -15,6 +15,20 @@ from loomgraph.sources import storage
 from loomgraph.sources.shared import fresh_path
 
 
+def test_stored_keys_are_counted_in_shares(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "COUNTED", 500)
+    monkeypatch.setattr(storage, "ROW_GROUP", 1 << 14)
+    store = storage.Store(spark, tmp_path / "s")
+    edges = lambda n: spark.range(n).selectExpr("'p' AS project", "concat('s', id % 3000) AS source", "'t' AS target", "'CALLS' AS type", "'{}' AS properties", "1L AS version").coalesce(1)
+    for n, contested in ((3000, False), (3001, True)):
+        load = store.begin()
+        load.write("edges", edges(n))
+        assert load.tables["edges"]["contested"] is contested
+        (part,) = load.tables["edges"]["parts"]
+        files = [pq.ParquetFile(tmp_path / "s" / part["path"] / name) for name, _ in part["files"]]
+        assert max(f.num_row_groups for f in files) > 1
+
+
 def test_cells_reach_their_recall_without_clusters(spark):
     x = np.random.default_rng(9).normal(size=(6000, 32)).astype(np.float32)
     vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<float>").repartition(3)
