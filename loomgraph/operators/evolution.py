@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.functions.expr import HALF_LIFE_DAYS, age_days, decay
+from loomgraph.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -36,24 +37,39 @@ def churn(changes: DataFrame, roles: Roles = Roles()) -> DataFrame:
 
 #: Paths of a commit in one block of its self-join.
 COUPLED = 2_000
+#: Rows, and pairs, that one task of a coupling holds, about.
+SHARE = 1_000_000
 
 
-def coupling(changes: DataFrame, roles: Roles = Roles(), min_support: int = 2, block: int = COUPLED) -> DataFrame:
+def _shares(n: int | None, share: int) -> int:
+    return max(1, -(-(n or 0) // share))
+
+
+def coupling(changes: DataFrame, roles: Roles = Roles(), min_support: int = 2, block: int = COUPLED, share: int = SHARE) -> DataFrame:
     """file_a < file_b, support (pairs of rows in the same commits), conf_a_to_b, conf_b_to_a
     (support over the distinct commits of either); the best supported first.
 
     Rows are added up to one a commit and path before the self-join: a path that a commit
     holds twice doubles a product instead of the pairs. The paths of a commit with more than
     `block` are dealt to blocks, and each pair of blocks is a join key of its own, so that no
-    task holds all pairs of a large commit."""
-    rows = changes.groupBy(F.expr(roles.commit).alias("commit"), F.expr(roles.path).alias("path")).agg(F.count("*").alias("n"))
-    large = rows.groupBy("commit").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    task holds all pairs of a large commit. Rows and pairs are counted first and dealt to as
+    many tasks as hold about `share` of them each, whatever the session's number of shuffle
+    partitions."""
+    change = changes.select(F.expr(roles.commit).alias("commit"), F.expr(roles.path).alias("path"))
+    parts = _shares(change.count(), share)
+    rows = written(change.repartition(parts, "commit", "path").groupBy("commit", "path").agg(F.count("*").alias("n")), "rows")
+    sizes, seen = rows.select("commit").repartition(parts, "commit").groupBy("commit").agg(F.count("*").alias("size")), Observation()
+    sizes = sizes.observe(seen, F.sum(F.expr("size * (size - 1) div 2")).alias("pairs"))
+    large = written(sizes.where(F.col("size") > block).select("commit", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "large")
+    parts = max(parts, _shares(seen.get["pairs"], share))
     dealt = rows.join(large, "commit", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     a = dealt.select("commit", F.col("own").alias("block_a"), every.alias("block_b"), F.col("path").alias("file_a"), F.col("n").alias("na"))
     b = dealt.select("commit", every.alias("block_a"), F.col("own").alias("block_b"), F.col("path").alias("file_b"), F.col("n").alias("nb"))
-    pairs = a.join(b, ["commit", "block_a", "block_b"]).where("file_a < file_b").groupBy("file_a", "file_b").agg(F.sum(F.col("na") * F.col("nb")).alias("support"))
-    totals = rows.groupBy("path").agg(F.count("*").alias("commits"))
+    keys = ["commit", "block_a", "block_b"]
+    joined = a.repartition(parts, *keys).join(b.repartition(parts, *keys), keys).where("file_a < file_b").select("file_a", "file_b", (F.col("na") * F.col("nb")).alias("support"))
+    pairs = joined.repartition(parts, "file_a", "file_b").groupBy("file_a", "file_b").agg(F.sum("support").alias("support"))
+    totals = rows.select("path").repartition(parts, "path").groupBy("path").agg(F.count("*").alias("commits"))
     pairs = pairs.where(F.col("support") >= min_support)
     out = pairs.join(totals.select(F.col("path").alias("file_a"), F.col("commits").alias("ta")), "file_a")
     out = out.join(totals.select(F.col("path").alias("file_b"), F.col("commits").alias("tb")), "file_b")

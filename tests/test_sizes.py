@@ -15,6 +15,23 @@ from loomgraph.sources import storage
 from loomgraph.sources.shared import fresh_path
 
 
+@pytest.mark.parametrize("share", [40, 1_000_000])
+def test_coupling_is_dealt_by_counts(spark, share):
+    r = random.Random(4)
+    rows = [(f"c{r.randrange(60)}", f"p{r.randrange(25)}") for _ in range(500)]
+    changes = spark.createDataFrame(rows, "hash string, path string")
+    found = evolution.coupling(changes, min_support=1, block=7, share=share)
+    held = Counter(rows)
+    want = Counter()
+    for commit in {c for c, _ in rows}:
+        for a, b in combinations(sorted(p for c, p in held if c == commit), 2):
+            want[a, b] += held[commit, a] * held[commit, b]
+    assert {(x["file_a"], x["file_b"]): x["support"] for x in found.collect()} == dict(want)
+    pairs = sum(n * (n - 1) // 2 for n in Counter(c for c, _ in held).values())
+    dealt = re.findall(r"RepartitionByExpression \[file_a#\d+L?, file_b#\d+L?\], (\d+)", found._jdf.queryExecution().toString())
+    assert set(dealt) == {str(max(1, -(-pairs // share)))}
+
+
 def test_stored_keys_are_counted_in_shares(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "COUNTED", 500)
     monkeypatch.setattr(storage, "ROW_GROUP", 1 << 14)
