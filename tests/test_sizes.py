@@ -8,10 +8,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import evolution
 from loomgraph.operators.cells import CellIndex, Cells
-from loomgraph.sources import storage
+from loomgraph.sources import python_source, storage
 from loomgraph.sources.shared import fresh_path
 
 
@@ -58,3 +59,10 @@ def test_cells_reach_their_recall_without_clusters(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = sum(len(found[q] & set(np.argsort(-(u @ u[q]), kind="stable")[:10].tolist())) for q in range(0, 6000, 50))
     assert hits >= 0.9 * 10 * 120
+
+
+def test_sources_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
+    spark.range(64).selectExpr("concat('m', id, '.py') AS path", "encode('def f():\\n    pass\\n', 'utf-8') AS content").coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = python_source.parsed(spark.read.parquet(str(tmp_path / "t")))
+    assert rows.where("kind = 'node'").count() == 128
+    assert rows.select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism
