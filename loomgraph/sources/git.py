@@ -25,8 +25,10 @@ COMMIT = (
     "hash string, author_name string, author_email string, committed_at timestamp, message string, "
     "changes array<struct<path: string, old_path: string, additions: bigint, deletions: bigint, is_rename: boolean>>"
 )
-#: Commits a partition.
+#: Commits a partition, at least.
 RANGE = 2_000
+#: Partitions a core, at most: each walks past the commits before its own, so their number must not grow with the history.
+RANGES = 4
 _LOG = ("log", "--no-merges", "-M", "-z")
 
 
@@ -74,7 +76,7 @@ def commits(root: str | Path, *which: str) -> Iterator[tuple]:
 
 
 class GitHistory(DataSource):
-    """Options: path, the repository; range, commits a partition."""
+    """Options: path, the repository; range, commits a partition, at least; most, partitions at most."""
 
     @classmethod
     def name(cls) -> str:
@@ -84,29 +86,31 @@ class GitHistory(DataSource):
         return COMMIT
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("range", RANGE)))
+        return _Reader(self.options["path"], int(self.options.get("range", RANGE)), int(self.options.get("most", 64)))
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, size: int):
-        self.root, self.size = root, size
+    def __init__(self, root: str, size: int, most: int):
+        self.root, self.size, self.most = root, size, most
 
     def partitions(self) -> list[InputPartition]:
         # the log is read up to the commit that is the head now, whatever is committed meanwhile
         head = git(self.root, "rev-parse", "HEAD").strip()
         n = int(git(self.root, "rev-list", "--no-merges", "--count", head))
-        return [InputPartition((head, at)) for at in range(0, max(1, n), self.size)]
+        size = max(self.size, -(-n // self.most))
+        return [InputPartition((head, at, size)) for at in range(0, max(1, n), size)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        head, at = partition.value
-        return commits(self.root, f"--skip={at}", f"--max-count={self.size}", head)
+        head, at, size = partition.value
+        return commits(self.root, f"--skip={at}", f"--max-count={size}", head)
 
 
 def read_commits(spark: SparkSession, root: str | Path, size: int = RANGE) -> DataFrame:
-    """The history without merges, a row a commit."""
+    """The history without merges, a row a commit. size: commits a partition, at least."""
     ship(spark)
     spark.dataSource.register(GitHistory)
-    return spark.read.format("git_history").option("range", size).load(str(root))
+    most = RANGES * spark.sparkContext.defaultParallelism
+    return spark.read.format("git_history").option("range", size).option("most", most).load(str(root))
 
 
 def tables_of(history: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import evolution
 from loomgraph.operators.cells import CellIndex, Cells
-from loomgraph.sources import python_source, storage
+from loomgraph.sources import git, python_source, storage
 from loomgraph.sources.shared import fresh_path
 
 
@@ -66,3 +66,15 @@ def test_sources_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
     rows = python_source.parsed(spark.read.parquet(str(tmp_path / "t")))
     assert rows.where("kind = 'node'").count() == 128
     assert rows.select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism
+
+
+def test_ranges_of_a_history_are_bounded(spark, repository):
+    root, run = repository
+    for k in range(20):
+        run("commit", "-q", "--allow-empty", "-m", f"e{k}")
+    reader = git._Reader(str(root), 1, 4)
+    parts = reader.partitions()
+    assert len(parts) == 4
+    assert [r[4] for p in parts for r in reader.read(p)] == [r[4] for r in git.commits(root)]
+    assert git.read_commits(spark, root, 1).rdd.getNumPartitions() <= git.RANGES * spark.sparkContext.defaultParallelism
+    assert git.read_commits(spark, root, 1).count() == 22
