@@ -481,6 +481,53 @@ def test_lm_tells_copies_from_other_texts(spark):
     assert np.quantile(twice, 0.95) < np.quantile(once, 0.05)
 
 
+def test_lm_starting_weights_come_from_all_training_texts(spark):
+    """Texts however long teach them, and each of more texts than a sample would hold."""
+    r = random.Random(37)
+    long = [(k, words(r, 5000, 60), "s") for k in range(7)]
+    src = lambda rows: documents(spark, rows).select("doc_id", F.col("source").eqNullSafe("held").alias("held"), "text")
+    assert all(len(t) > 16_384 for _, t, _ in long)
+    a = lm_score.fitted(src(long), lm_score.Mixer())
+    assert a.start != lm_score.Mixer().start and a.follow != lm_score.Mixer().follow
+    short = [(k, words(r, 4, 60), "s") for k in range(1500)]
+    plain = lm_score.fitted(src(short), lm_score.Mixer())
+    # one held out text tells nothing, one training text more does, whichever it is
+    same = lm_score.fitted(src([*short, (2000, "word1 word2 word3", "held")]), lm_score.Mixer())
+    more = lm_score.fitted(src([*short, (2000, long[0][1], "s")]), lm_score.Mixer())
+    assert np.allclose(plain.start, same.start) and not np.allclose(plain.start, more.start)
+
+
+def test_lm_cells_give_the_weights_of_single_decisions():
+    """Weights learned from cells are those of the decisions one by one, about."""
+    r = np.random.default_rng(5)
+    x = np.stack([r.normal(1, 1.5, 40_000), r.normal(1, 2, 40_000), r.normal(0.5, 2.5, 40_000), r.choice([0.0, 3.0, -1.0], 40_000)], axis=1)
+    x *= np.where(r.random(40_000) < 1 / (1 + np.exp(-x @ [0.1, 0.4, 0.3, 0.5])), 1, -1)[:, None]
+    at = np.zeros(len(x), np.int64)
+    for v in x.T:
+        at = at * lm_score.STEPS + lm_score.STEP[np.clip(np.rint(v * 8), -lm_score.STEP_TOP, lm_score.STEP_TOP).astype(int) + lm_score.STEP_TOP]
+    cells, place, n = np.unique(at, return_inverse=True, return_counts=True)
+    sums = np.stack([np.bincount(place, v) for v in x.T], axis=1)
+    got = np.array(lm_score.learned(cells, n.astype(float), sums, lm_score.Mixer()).start)[:, 0]
+    w = np.array(lm_score.Mixer().start)[:, 0]
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (1 - p))
+    assert np.allclose(got, w, atol=0.03) and np.allclose(got, [0.1, 0.4, 0.3, 0.5], atol=0.06)
+
+
+def test_lm_counts_elsewhere_are_shorter_and_the_same():
+    r = random.Random(15)
+    texts = [words(r, 120, 40).encode() for _ in range(90)]
+    blocks = [lm_score.Block(lm_score.packed(list(range(30)), [k % 5 == 0 for k in range(30)], texts[a : a + 30])) for a in (0, 30, 60)]
+    for kind in (0, 1):
+        asked = [b.pairs(kind, 30)[:2] for b in blocks]
+        whole = lm_score.counted(kind, [k for k, _ in asked], [n for _, n in asked])
+        short = lm_score.counted_elsewhere(kind, [k for k, _ in asked], [n for _, n in asked])
+        for (keys, n), steps, answer in zip(asked, whole, short, strict=True):
+            assert np.array_equal(lm_score.spread(kind, keys, n, np.zeros(len(keys)), [answer]), lm_score.recounted(steps))
+        assert sum(map(len, short)) < sum(x.size for steps in whole for x in steps) / 2
+
+
 def test_lm_keys_that_need_two_sorts():
     """Pairs are the same where context, code and text don't fit in 64 bits together."""
     r = random.Random(14)
