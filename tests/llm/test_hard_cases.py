@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -528,6 +529,49 @@ def test_lm_counts_elsewhere_are_shorter_and_the_same():
         assert sum(map(len, short)) < sum(x.size for steps in whole for x in steps) / 2
 
 
+def test_lm_holds_decisions_of_a_part_of_a_block_at_once():
+    """Memory beyond a block's answers is that of a slice of its tokens, in both passes."""
+    r = random.Random(16)
+    block = lm_score.Block(lm_score.packed(list(range(1000)), [k % 5 == 0 for k in range(1000)], [words(r, 2000, 300).encode() for _ in range(1000)]))
+    n = block.taught()
+    _, code = np.unique(block.hashes >> np.uint64(64 - lm_score.CODE_BITS), return_inverse=True)
+    pairs = []
+    for kind in (0, 1):
+        keys, count, place, own = block.pairs(kind, 30)
+        pairs.append((lm_score.recounted(lm_score.counted(kind, [keys], [count])[0]), place, own))
+    seen = lm_score.Seen(np.stack([n, np.bincount(code, n).astype(np.int64)[code]]), tuple(pairs))
+    kinds = (block.hashes >> np.uint64(64 - lm_score.CLASS_BITS)).astype(np.int64)[block.index]
+    grams = np.bincount(lm_score.CLASSES * lm_score.CLASSES + kinds, minlength=(lm_score.CLASSES + 1) * lm_score.CLASSES)
+    sums = np.array([lm_score.N_TOKENS, lm_score.N_WORDS, lm_score.N_ONCE]), np.array([n.sum(), (n > 0).sum(), (n == 1).sum()])
+    model = lm_score.Model(sums, grams, lm_score.Mixer(), 30)
+    for run in (model.cells, model.score):
+        tracemalloc.start()
+        run(block, seen)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 320 * len(block.index), run  # bytes; log odds of all tokens alone are 128 a token, and what makes them more
+
+
+def test_lm_answers_are_dealt_to_blocks_once(spark):
+    """Blocks meet their answers in buckets: nothing is shuffled when weights are learned or texts scored."""
+    docs = documents(spark, [(k, f"a b c{k % 7} d", "s") for k in range(40)])
+    both, _, _ = lm_score.trained(docs.select("doc_id", F.lit(False).alias("held"), "text"), lm_score.Mixer())
+    assert len(both.collect()) >= 1
+    assert "hashpartitioning" not in both._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lm_counts_of_contexts_that_one_block_has_alone():
+    """Of a block's own contexts it is told that no other has them, and nothing more."""
+    texts = [[f"own{b}x{k} own{b}y{k}".encode() for k in range(20)] for b in (0, 1)]
+    blocks = [lm_score.Block(lm_score.packed(list(range(20)), [False] * 20, t)) for t in texts]
+    for kind in (0, 1):
+        asked = [b.pairs(kind, 30)[:2] for b in blocks]
+        whole = lm_score.counted(kind, [k for k, _ in asked], [n for _, n in asked])
+        short = lm_score.counted_elsewhere(kind, [k for k, _ in asked], [n for _, n in asked])
+        for (keys, n), steps, answer in zip(asked, whole, short, strict=True):
+            assert np.array_equal(lm_score.spread(kind, keys, n, np.zeros(len(keys)), [answer]), lm_score.recounted(steps))
+
+
 def test_lm_keys_that_need_two_sorts():
     """Pairs are the same where context, code and text don't fit in 64 bits together."""
     r = random.Random(14)
