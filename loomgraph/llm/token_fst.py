@@ -27,6 +27,9 @@ byte to its last.
 
 Equal pieces of a batch are read once (Arrow's dictionary encoding); the counts
 of a text are the sums over its pieces.
+
+Where ids are asked for, the distinct pieces of a block are merged together, a merge of each
+in a step (MergeTable); only pieces longer than its matrices are put to the library.
 """
 
 from __future__ import annotations
@@ -314,6 +317,65 @@ class MergeTransducer:
         return array("I", out[::-1]).tobytes()
 
 
+class MergeTable:
+    """Ids of many pieces under byte-pair merges at once. Of each piece the pair of the lowest rank, the
+    leftmost of equal ones, is merged in a step, the longest pieces first: a piece that is merged to n
+    tokens goes on with those that have n bytes, so that a step's tokens are one matrix."""
+
+    #: Longer pieces are few, and not for matrices.
+    LONGEST = 32
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, vocab: dict[bytes, int], merges: dict[tuple[int, int], tuple[int, int]]):
+        self.byte_ids = np.array([vocab.get(bytes([b]), -1) for b in range(256)], np.int32)
+        pairs = np.array([a << 32 | b for a, b in merges], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.ranks = pairs[order], np.array([rank for rank, _ in merges.values()], np.int32)[order]
+        self.token = np.zeros(int(self.ranks.max(initial=-1)) + 1, np.int32)
+        for rank, token in merges.values():
+            self.token[rank] = token
+        # bytes that follow each other, without a search
+        a, b = np.divmod(np.arange(1 << 16), 256)
+        self.of_bytes = self._rank(self.byte_ids[a], self.byte_ids[b])
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of tokens, NONE if it isn't merged."""
+        if not len(self.pairs):
+            return np.full(len(a), self.NONE)
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.ranks[at], self.NONE)
+
+    def ids(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places among the pieces, their ids [piece, token]) of pieces of 1 to LONGEST bytes at the
+        places `begin` of data, those of as many ids together."""
+        order = np.argsort(size, kind="stable")
+        cuts = np.searchsorted(size[order], np.arange(self.LONGEST + 2))
+        of, tokens, ranks = np.zeros(0, np.int64), np.zeros((0, self.LONGEST), np.int32), np.zeros((0, self.LONGEST - 1), np.int32)
+        for width in range(self.LONGEST, 0, -1):
+            fresh = order[cuts[width] : cuts[width + 1]]
+            piece = data[begin[fresh][:, None] + np.arange(width)]
+            of, tokens = np.concatenate([of, fresh]), np.concatenate([tokens, self.byte_ids[piece]])
+            if width == 1:
+                yield of, tokens
+                break
+            ranks = np.concatenate([ranks, self.of_bytes[piece[:, :-1].astype(np.int32) << 8 | piece[:, 1:]]])
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(at)), at]
+            done = best == self.NONE
+            yield of[done], tokens[done]
+            on = np.flatnonzero(~done)
+            of, at, best, tokens, ranks = of[on], at[on], best[on], tokens[on], ranks[on]
+            row = np.arange(len(of))
+            tokens = np.where(np.arange(width - 1) <= at[:, None], tokens[:, :-1], tokens[:, 1:])
+            tokens[row, at] = self.token[best]
+            ranks = np.where(np.arange(width - 2) < at[:, None], ranks[:, :-1], ranks[:, 1:])
+            for first in (at - 1, at):  # the pairs that the new token is in
+                has = np.flatnonzero((first >= 0) & (first < width - 2))
+                k = first[has]
+                ranks[has, k] = self._rank(tokens[has, k], tokens[has, k + 1])
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable stand-ins of bytes in byte-level vocabularies: printable Latin-1
     characters stand for themselves, the others follow from U+0100 on."""
@@ -367,8 +429,9 @@ class ByteLevelMachine:
         self.special_ids = {FIRST_SPECIAL + k: np.uint32(self.tokenizer.token_to_id(t)).tobytes() for k, t in enumerate(added)}
         self.specials = re.compile(b"|".join(map(re.escape, self.special)) or b"(?!)")
         self.boundaries = BoundaryTransducer(code_point_symbols(self.tokenizer))
-        self.merger = MergeTransducer(vocab, merges)
-        self.known: tuple[dict, dict] = {}, {}
+        self.merger, self.table = MergeTransducer(vocab, merges), MergeTable(vocab, merges)
+        self.plain = (self.table.byte_ids >= 0).all() and not spec["model"].get("ignore_merges")
+        self.known: dict[bytes, int] = {}
 
     def _of_all(self, pieces: list[bytes], known: dict, run: Callable[[list[bytes]], list]) -> list:
         """run of each piece; short ones are remembered, up to KNOWN of them."""
@@ -387,7 +450,7 @@ class ByteLevelMachine:
         return [(p[0] < END) if len(p) == 1 and p[0] >= FIRST_SPECIAL else self.merger.count(p) for p in pieces]
 
     def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
-        """By the library, which is faster than compiling states for pieces seen once."""
+        """By the library: of pieces that are too long for the table of merges."""
         marks = [p[0] if len(p) == 1 and p[0] >= FIRST_SPECIAL else 0 for p in pieces]
         coded = iter(self.tokenizer.encode_batch_fast([p.decode() for p, mark in zip(pieces, marks, strict=True) if not mark], add_special_tokens=False))
         return [self.special_ids.get(mark, b"") if mark else array("I", next(coded).ids).tobytes() for mark in marks]
@@ -408,16 +471,14 @@ class ByteLevelMachine:
     def counts(self, texts: list[bytes]) -> np.ndarray:
         """Tokens of each text."""
         coded, ends = self.pieces(texts)
-        own = np.array(self._of_all(coded.dictionary.to_pylist(), self.known[0], self._counts_of), np.int64)
+        own = np.array(self._of_all(coded.dictionary.to_pylist(), self.known, self._counts_of), np.int64)
         total = np.cumsum(own[coded.indices.to_numpy()])
         return np.diff(total[ends], prepend=0)
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Token ids of each text."""
         coded, ends = self.pieces(texts)
-        own = self._of_all(coded.dictionary.to_pylist(), self.known[1], self._ids_of)
-        lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        flat = np.frombuffer(b"".join(own), np.uint32)
+        flat, lengths = self._ids_of_all(coded.dictionary)
         begin = np.cumsum(lengths) - lengths
         at = coded.indices.to_numpy()
         n = lengths[at]
@@ -426,6 +487,29 @@ class ByteLevelMachine:
         ids = flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin[at] - (upto - n), n)]
         return np.split(ids, upto[ends])[:-1]
 
+    def _ids_of_all(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the distinct pieces, one after the other; how many each has)."""
+        if not len(pieces):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        offsets, data = np.frombuffer(pieces.buffers()[1], np.int32)[: len(pieces) + 1].astype(np.int64), np.frombuffer(pieces.buffers()[2], np.uint8)
+        size = np.diff(offsets)
+        mark = (size == 1) & (data[offsets[:-1]] >= FIRST_SPECIAL)
+        table = ~mark & (size <= MergeTable.LONGEST) & self.plain
+        some, rest = np.flatnonzero(table), np.flatnonzero(~table)
+        got = [(some[of], ids) for of, ids in self.table.ids(data, offsets[some], size[some])]
+        long = [np.frombuffer(x, np.uint32) for x in self._ids_of(pieces.take(pa.array(rest)).to_pylist())]
+        lengths = np.zeros(len(pieces), np.int64)
+        for of, ids in got:
+            lengths[of] = ids.shape[1]
+        lengths[rest] = list(map(len, long))
+        begin = np.cumsum(lengths) - lengths
+        flat = np.empty(int(lengths.sum()), np.uint32)
+        for of, ids in got:
+            flat[begin[of][:, None] + np.arange(ids.shape[1])] = ids
+        for k, ids in zip(begin[rest].tolist(), long, strict=True):
+            flat[k : k + len(ids)] = ids
+        return flat, lengths
+
 
 @lru_cache(maxsize=2)
 def machine(path: str) -> ByteLevelMachine:

@@ -177,6 +177,19 @@ def test_transducer_bounds_its_states_inside_a_piece():
     assert ids == m.tokenizer.encode(piece.decode(), add_special_tokens=False).ids and len(m.merger.keys) <= 2_001
 
 
+def test_ids_come_from_the_table_of_merges(monkeypatch):
+    """Only pieces longer than its matrices are put to the library, whose ids all texts have."""
+    m = token_fst.machine(byte_level_file())
+    r = random.Random(17)
+    texts = ["".join(r.choice("aabeinrst  012é'’日ñ-_=/\n\t") for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    texts += ["a" * k for k in range(80)] + ["ab" * k for k in range(40)] + ["", "<|endoftext|>x<|endoftext|>", "日" * 11, "x\x00y"]
+    want = [list(x.ids) for x in m.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    asked, plain = [], m._ids_of
+    monkeypatch.setattr(m, "_ids_of", lambda pieces: asked.extend(pieces) or plain(pieces))
+    assert [x.tolist() for x in m.ids([t.encode() for t in texts])] == want
+    assert asked and all(len(p) > token_fst.MergeTable.LONGEST or p[0] >= token_fst.FIRST_SPECIAL for p in asked)
+
+
 def test_file_with_several_special_tokens(tmp_path):
     import json
 
