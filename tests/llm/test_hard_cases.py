@@ -596,6 +596,45 @@ def test_lm_keys_that_need_two_sorts():
         assert Counter(a[1].tolist()) == Counter(b[1].tolist()) and np.array_equal(a[3], b[3])
 
 
+def test_lm_orders_keys_of_any_width():
+    """Places and keys in order, equal ones as they come, also where keys and places don't fit in 64 bits together."""
+    r = np.random.default_rng(3)
+    for bits in (1, 8, 40, 58, 63):
+        keys = r.integers(0, 1 << bits, 3000).astype(np.uint64)
+        keys[1500:] = keys[:1500] ^ r.integers(0, 2, 1500).astype(np.uint64)  # some differ in the last bit alone
+        order, ordered = lm_score._ordered(keys)
+        assert np.array_equal(order, np.argsort(keys, kind="stable")) and np.array_equal(ordered, keys[order])
+    for top in (0, 200, 70_000, 1 << 33):
+        x = r.integers(0, top + 1, 500)
+        assert np.array_equal(lm_score._wide(lm_score._narrow(x)).astype(np.int64), x)
+        assert [len(y) for y in lm_score._parted(lm_score._narrow(x) + lm_score._narrow(x[:0]))] == [500, 0]
+
+
+def test_lm_scores_few_texts_at_once():
+    """A text's score is the same whichever texts of its block are scored with it, and what is
+    held beyond the answers doesn't grow with their number, so that it stays near a core."""
+    r = random.Random(18)
+    texts = [words(r, r.choice([0, 5, 31, 32, 33, 200]), 60).encode() for _ in range(1000)]
+    block = lm_score.Block(lm_score.packed(list(range(1000)), [k % 5 == 0 for k in range(1000)], texts))
+    n = block.taught()
+    pairs = []
+    for kind in (0, 1):
+        keys, count, place, own = block.pairs(kind, 30)
+        pairs.append((lm_score.recounted(lm_score.counted(kind, [keys], [count])[0]), place, own))
+    _, code = np.unique(block.hashes >> np.uint64(64 - lm_score.CODE_BITS), return_inverse=True)
+    seen = lm_score.Seen(np.stack([n, np.bincount(code, n).astype(np.int64)[code]]), tuple(pairs))
+    grams = np.bincount(lm_score.CLASSES * lm_score.CLASSES + block.kinds.astype(np.int64)[block.index], minlength=(lm_score.CLASSES + 1) * lm_score.CLASSES)
+    sums = np.array([lm_score.N_TOKENS, lm_score.N_WORDS, lm_score.N_ONCE]), np.array([n.sum(), (n > 0).sum(), (n == 1).sum()])
+    model = lm_score.Model(sums, grams, lm_score.Mixer(), 30)
+    tracemalloc.start()
+    score, spelling = model.score(block, seen)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6  # bytes
+    alone = np.concatenate([model._scored(block, seen, np.array([k])) for k in range(100)])
+    assert np.allclose((score - spelling)[:100], alone, rtol=1e-5)
+
+
 # --- the pipeline
 
 
