@@ -12,8 +12,9 @@ and a block of vectors:
    score found.
 
 Vector blocks are dealt to buckets, query blocks are copied to each bucket, and the two
-meet in an equi-join on the bucket; a task holds one block of each.  A pair hands on k
-rows a query at most.
+meet in an equi-join on the bucket; a task holds one block of each.  The copies are shuffled,
+never broadcast: the planner takes them for one copy and would send all through the driver.
+A pair hands on k rows a query at most.
 """
 
 from __future__ import annotations
@@ -194,7 +195,7 @@ def top_k(vectors: DataFrame, is_query: Column, how: Search = Search(), id_col:
     buckets = max(1, min(how.buckets, rows.count()))
     side = lambda df, p, names: df.select("bucket", *[F.col(c).alias(f"{p}{c}") for c in names])
     placed = rows.withColumn("bucket", F.pmod(F.xxhash64("no"), F.lit(buckets)))
-    copies = lambda df: df.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
+    copies = lambda df: df.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long")))).hint("merge")
     k = how.k
     ship(vectors.sparkSession)
 

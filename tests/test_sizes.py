@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.llm import topk
 from loomgraph.operators import evolution
 from loomgraph.operators.cells import CellIndex, Cells
 from loomgraph.sources import git, python_source, storage
@@ -78,3 +79,20 @@ def test_ranges_of_a_history_are_bounded(spark, repository):
     assert [r[4] for p in parts for r in reader.read(p)] == [r[4] for r in git.commits(root)]
     assert git.read_commits(spark, root, 1).rdd.getNumPartitions() <= git.RANGES * spark.sparkContext.defaultParallelism
     assert git.read_commits(spark, root, 1).count() == 22
+
+
+def test_copies_of_queries_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    plan_of = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString()
+    kept = topk.written
+    monkeypatch.setattr(topk, "written", lambda df, name: (plans.append(plan_of(df)), kept(df, name))[1])
+    x = np.random.default_rng(3).normal(size=(600, 16))
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    got = topk.top_k(vectors, F.col("vec_id") % 100 == 0, topk.Search(block=64, queries=8))
+    plans.append(plan_of(got))
+    joined = [p for p in plans if "explode" in p]
+    assert len(joined) == 2
+    for p in joined:  # one with the floors' join, of a row a block of queries, beside it
+        assert not re.search(r"BroadcastHashJoin \[bucket|BroadcastNestedLoopJoin", p)
+        assert re.search(r"SortMergeJoin \[bucket", p)
+    assert got.count() == 60
