@@ -3,15 +3,20 @@
 The repository is made from the pages: each page is a commit that writes a module's next
 version, some with a file of an odd name, its renaming, a binary file or a merged branch beside
 it, so SQL over the pages knows its whole history and what the last version holds.
+
+Git writes and compares a folder's whole list for each commit that touches it, so files that stay would
+make the work grow with the square of the pages. Merges, which the history doesn't list, put such files
+on the shelf after every SPAN ids, and the last merge brings all of them back.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.expr import json_flag
@@ -19,43 +24,108 @@ from loomgraph.plans.index_job import index_repository
 from loomgraph.service import Service
 from loomgraph.sources import git
 from loomgraph.sources.files import local_path
-from loomgraph.sources.shared import fresh_path
+from loomgraph.sources.shared import fresh_path, written
 from loomgraph.sources.storage import Store
 from loomgraph.operators.evolution import Roles
 from loomgraph.streaming import append_changes, summaries, summarise_changes
 
 #: Modules that the pages are versions of, and the second in which page 0 is committed.
 MODULES, EPOCH = 40, 1_700_000_000
+#: Ids after which a merge shelves files; a multiple of 9, so that a file is renamed before it is shelved.
+SPAN = 63
+#: Folders whose files are shelved.
+SHELVED = ("bin", "docs", "side")
 AS_OF = "2024-01-31 00:00:00"
 _made: dict[tuple[str, str], tuple[Path, Store]] = {}
 
 
-def _version(page: Column, html: Column) -> Column:
+def _version(page: Column, digest: Column) -> Column:
     """A module's text; no two versions share a line. One name is bound by an import, one hidden by a
     parameter, and one function says that it is deprecated."""
     line = lambda text: F.regexp_replace(F.lit(text), "#", page.cast("string"))
     more = F.array_join(F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (page % 3).cast("int")), lambda k: F.concat(line("X#_"), k.cast("string"), line(" = #\n"))), "")
-    digest = F.concat(line('D# = "'), F.md5(F.coalesce(html, F.lit("")).cast("binary")), F.lit('"\n'))
-    return F.concat(line("from lib# import tool as t#\n"), digest, line("def f#(x#):\n    return g#(t#(x#))\ndef g#(t#):\n    raise DeprecationWarning(t#())\n"), more)
+    return F.concat(line("from lib# import tool as t#\n"), line('D# = "'), digest, F.lit('"\n'), line("def f#(x#):\n    return g#(t#(x#))\ndef g#(t#):\n    raise DeprecationWarning(t#())\n"), more)
+
+
+def _span(page: Column) -> Column:
+    """The first id of the span that a page is in."""
+    return page - F.pmod(page, F.lit(SPAN))
+
+
+def _marked(pages: DataFrame) -> DataFrame:
+    """page_id, and whether the page is first or last of its span, and has the ids beside it there."""
+    order = Window.partitionBy(_span(F.col("page_id"))).orderBy("page_id")
+    before, after = F.lag("page_id").over(order), F.lead("page_id").over(order)
+    beside = lambda other, by: F.coalesce(other == F.col("page_id") + by, F.lit(False))
+    return pages.select("page_id", before.isNull().alias("first"), after.isNull().alias("last"), beside(before, -1).alias("has_before"), beside(after, 1).alias("has_after"))
+
+
+def _text(n: Column) -> Column:
+    return n.cast("string")
+
+
+def _odd(folder: str, n: Column) -> Column:
+    """A path that git quotes."""
+    return F.concat(F.lit(f'{folder}/n "'), _text(n), F.lit('"\té.md'))
+
+
+def _note(n: Column) -> Column:
+    return F.concat(F.lit("note "), _text(n), F.lit("\n"))
+
+
+def _beside(page: Column) -> dict[str, tuple[Column, Column]]:
+    """(path, text) of the files that pages have beside their module, by kind."""
+    return {
+        "odd": (_odd("docs", page), _note(page)), "moved": (_odd("docs/moved", page - 1), _note(page - 1)),
+        "binary": (F.concat(F.lit("bin/b"), _text(page), F.lit(".dat")), F.concat(F.lit("\0\1"), _text(page), F.lit("\n\0"))),
+        "side": (F.concat(F.lit("side/s"), _text(page), F.lit(".txt")), _note(page)),
+    }
 
 
-def _stream(pages: DataFrame) -> DataFrame:
+def _stream(pages: DataFrame, marks: DataFrame, ends: tuple[int, int]) -> DataFrame:
     """page_id and value: what git's import reads of each page: its commit, and by its number a file
-    whose name needs quotes, that file's renaming, a binary file, or a merge of a side branch."""
+    whose name needs quotes, that file's renaming, a binary file, or a merge of a side branch. Spans but
+    the first and last (ends) end with a merge that shelves what they and the one before have left."""
     page, module = F.col("page_id"), F.col("page_id") % MODULES
-    s = lambda x: x.cast("string")
-    data = lambda text: F.concat(F.lit("data "), s(F.octet_length(text)), F.lit("\n"), text, F.lit("\n"))
-    who = lambda late: F.concat(F.lit("w"), s(page % 5), F.lit(" <w"), s(page % 5), F.lit("@example.com> "), s(EPOCH + 3600 * page + late), F.lit(" +0000\n"))
-    commit = lambda branch, late, message: F.concat(F.lit(f"commit refs/heads/{branch}\nauthor "), who(late), F.lit("committer "), who(late), data(F.concat(F.lit(message), s(page))))
-    put = lambda path, text: F.concat(F.lit("M 100644 inline "), path, F.lit("\n"), data(text))
-    odd = lambda folder, n: F.concat(F.lit(f'"{folder}/n \\"'), s(n), F.lit('\\"\\té.md"'))
-    note, side = F.concat(F.lit("note "), s(page), F.lit("\n")), F.concat(F.lit("side/s"), s(page), F.lit(".txt"))
-    more = F.when(page % 9 == 4, put(odd("docs", page), note)).when((page % 9 == 5) & F.col("has_before"), F.concat(F.lit("R "), odd("docs", page - 1), F.lit(" "), odd("docs/moved", page - 1), F.lit("\n")))
-    more = more.when(page % 9 == 7, put(F.concat(F.lit("bin/b"), s(page), F.lit(".dat")), F.concat(F.lit("\0\1"), s(page), F.lit("\n\0")))).otherwise("")
-    branch = F.concat(commit("side", 60, "side "), F.lit("from refs/heads/main\n"), put(side, note), commit("main", 120, "merge "), F.lit("merge refs/heads/side\n"), put(side, note))
-    value = F.concat(commit("main", 0, "page "), put(F.concat(F.lit("src/m"), s(module), F.lit(".py")), _version(page, F.col("html"))), more, F.when(page % 9 == 8, branch).otherwise(""))
-    before = pages.select((page + 1).alias("page_id"), F.lit(True).alias("before"))
-    return pages.join(before, "page_id", "left").withColumn("has_before", F.coalesce("before", F.lit(False))).select("page_id", value.alias("value"))
+    data = lambda text: F.concat(F.lit("data "), _text(F.octet_length(text)), F.lit("\n"), text, F.lit("\n"))
+    who = lambda late: F.concat(F.lit("w"), _text(page % 5), F.lit(" <w"), _text(page % 5), F.lit("@example.com> "), _text(EPOCH + 3600 * page + late), F.lit(" +0000\n"))
+    commit = lambda branch, late, message: F.concat(F.lit(f"commit refs/heads/{branch}\nauthor "), who(late), F.lit("committer "), who(late), data(F.concat(F.lit(message), _text(page))))
+    quoted = lambda path: F.concat(F.lit('"'), F.replace(F.replace(path, F.lit('"'), F.lit('\\"')), F.lit("\t"), F.lit("\\t")), F.lit('"'))
+    put = lambda path, text: F.concat(F.lit("M 100644 inline "), quoted(path), F.lit("\n"), data(text))
+    files = _beside(page)
+    more = F.when(page % 9 == 4, put(*files["odd"])).when((page % 9 == 5) & F.col("has_before"), F.concat(F.lit("R "), quoted(_odd("docs", page - 1)), F.lit(" "), quoted(files["moved"][0]), F.lit("\n")))
+    more = more.when(page % 9 == 7, put(*files["binary"])).otherwise("")
+    branch = F.concat(commit("side", 60, "side "), F.lit("from refs/heads/main\n"), put(*files["side"]), commit("main", 120, "merge "), F.lit("merge refs/heads/side\n"), put(*files["side"]))
+    value = F.concat(commit("main", 0, "page "), put(F.concat(F.lit("src/m"), _text(module), F.lit(".py")), _version(page, F.col("digest"))), more, F.when(page % 9 == 8, branch).otherwise(""))
+    inner, latest = _span(page) != _span(F.lit(ends[0])), _span(page) == _span(F.lit(ends[1]))
+    # a merge's other parent is the commit before the span
+    value = F.concat(F.when(F.col("first") & inner, F.lit("reset refs/heads/shelf\nfrom refs/heads/main\n\n")).otherwise(""), value)
+    shelve = F.concat(commit("main", 180, "shelve "), F.lit("merge refs/heads/shelf\n" + "".join(f"D {folder}\n" for folder in SHELVED)))
+    value = F.concat(value, F.when(F.col("last") & inner & ~latest, shelve).otherwise(""))
+    # marks take little in files and much in memory: by their size they would be broadcast
+    return pages.join(marks.hint("merge"), "page_id").select("page_id", value.alias("value"))
+
+
+def _held(marks: DataFrame) -> DataFrame:
+    """value: a line of git's index for each file that pages have beside their module in the last
+    version, and its path."""
+    page, blob = F.col("page_id"), lambda text: F.sha1(F.concat(F.lit("blob "), _text(F.octet_length(text)), F.lit("\0"), text).cast("binary"))
+    line = lambda path, text: F.struct(F.concat(F.lit("100644 "), blob(text), F.lit("\t"), path).alias("value"), path.alias("path"))
+    files = {kind: line(*of) for kind, of in _beside(page).items()}
+    held = F.when((page % 9 == 4) & ~F.col("has_after"), files["odd"]).when((page % 9 == 5) & F.col("has_before"), files["moved"]).when(page % 9 == 7, files["binary"]).when(page % 9 == 8, files["side"])
+    return marks.select(held.alias("held")).where("held IS NOT NULL").select("held.*")
+
+
+def _bring_back(spark: SparkSession, root: Path, marks: DataFrame, at: int) -> None:
+    """The last merge, in the second `at`: all shelved files are back. Git's index takes them as sorted lines."""
+    lines = fresh_path(spark, "held")
+    _held(marks).repartitionByRange("path").sortWithinPartitions("path").select("value").write.text(lines)
+    run = lambda *args, **more: git.git(root, "-c", "user.name=w0", "-c", "user.email=w0@example.com", *args, **more).strip()
+    run("read-tree", "refs/heads/main")
+    subprocess.run(["sh", "-c", 'cat "$0"/part-* | git -C "$1" update-index --add --index-info', str(local_path(lines)), str(root)], check=True)
+    when = {name: f"@{at} +0000" for name in ("GIT_AUTHOR_DATE", "GIT_COMMITTER_DATE")}  # after 2099 git takes seconds only with an @
+    made = run("commit-tree", "-p", "refs/heads/main", "-p", "refs/heads/shelf", "-m", "bring back", run("write-tree"), env=os.environ | when)
+    run("update-ref", "refs/heads/main", made)
 
 
 def _repository(spark: SparkSession, d: str) -> Path:
@@ -64,14 +134,21 @@ def _repository(spark: SparkSession, d: str) -> Path:
     place = local_path(stream)
     if root is None or place is None:
         raise RuntimeError("git's repositories lie on mounted disks: spark.checkpoint.dir must be one")
-    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html").where("page_id IS NOT NULL").dropDuplicates(["page_id"])
-    _stream(pages).repartitionByRange("page_id").sortWithinPartitions("page_id").select("value").write.text(stream)
+    found = spark.read.parquet(f"{d}/pages.parquet").where("page_id IS NOT NULL")
+    pages = found.select("page_id", F.md5(F.coalesce("html", F.lit("")).cast("binary")).alias("digest")).dropDuplicates(["page_id"])
+    marks = written(_marked(found.select("page_id").distinct()), "marks")
+    ends = marks.agg(F.min("page_id"), F.max("page_id")).first()
     subprocess.run(["git", "init", "-q", str(root)], check=True)
-    subprocess.run(["sh", "-c", 'cat "$0"/part-* | git -C "$1" fast-import --quiet', str(place), str(root)], check=True)
-    if subprocess.run(["git", "-C", str(root), "rev-parse", "-q", "--verify", "refs/heads/main"], capture_output=True).returncode == 0:
-        subprocess.run(["git", "-C", str(root), "symbolic-ref", "HEAD", "refs/heads/main"], check=True)
-        subprocess.run(["git", "-C", str(root), "reset", "-q", "--hard"], check=True)
-        subprocess.run(["git", "-C", str(root), "commit-graph", "write", "--reachable"], check=True, capture_output=True)  # walks read it instead of each commit
+    if ends[0] is None:
+        return root
+    _stream(pages, marks, ends).repartitionByRange("page_id").sortWithinPartitions("page_id").select("value").write.text(stream)
+    # deltas leave little to compress, which took more than half of the time
+    subprocess.run(["sh", "-c", 'cat "$0"/part-* | git -C "$1" -c core.compression=0 fast-import --quiet', str(place), str(root)], check=True)
+    if ends[0] // SPAN != ends[1] // SPAN:
+        _bring_back(spark, root, marks, EPOCH + 3600 * ends[1] + 180)
+    subprocess.run(["git", "-C", str(root), "symbolic-ref", "HEAD", "refs/heads/main"], check=True)
+    subprocess.run(["git", "-C", str(root), "-c", "checkout.workers=0", "reset", "-q", "--hard"], check=True)  # 0: one a core
+    subprocess.run(["git", "-C", str(root), "commit-graph", "write", "--reachable"], check=True, capture_output=True)  # walks read it instead of each commit
     return root
 
 

@@ -2,9 +2,11 @@
 
 import random
 import re
+import subprocess
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm import topk
 from loomgraph.operators import evolution
 from loomgraph.operators.cells import CellIndex, Cells
+from loomgraph.plans import repository_queries
 from loomgraph.sources import git, python_source, storage
 from loomgraph.sources.shared import fresh_path
 
@@ -96,3 +99,25 @@ def test_copies_of_queries_are_not_broadcast(spark, monkeypatch):
         assert not re.search(r"BroadcastHashJoin \[bucket|BroadcastNestedLoopJoin", p)
         assert re.search(r"SortMergeJoin \[bucket", p)
     assert got.count() == 60
+
+
+@pytest.mark.parametrize("ids", [[*range(400), *range(1000, 9000 * 30, 9 * 500 + 1), *range(300_004, 300_094, 9)], [5], [*range(4, 40)], [62, 63], [8, 80, 800, 801]], ids=["many", "one", "a span", "two spans", "apart"])
+def test_trees_of_the_pages_are_bounded_and_the_last_is_whole(spark, tmp_path, ids):
+    spark.createDataFrame([(k, f"<p>{k}</p>") for k in ids], "page_id long, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    root = repository_queries._repository(spark, str(tmp_path))
+    run = lambda *args: subprocess.run(["git", "-C", str(root), *args], check=True, capture_output=True).stdout.decode()
+    there = set(ids)
+    want = {f"src/m{p % 40}.py" for p in ids} | {f"bin/b{p}.dat" for p in ids if p % 9 == 7} | {f"side/s{p}.txt" for p in ids if p % 9 == 8}
+    want |= {f'docs/n "{p}"\té.md' for p in ids if p % 9 == 4 and p + 1 not in there} | {f'docs/moved/n "{p - 1}"\té.md' for p in ids if p % 9 == 5 and p - 1 in there}
+    assert set(run("ls-files", "-z").split("\0")) - {""} == want and run("status", "--porcelain") == ""
+    assert all((root / name).is_file() for name in want)
+    assert [(root / n).read_bytes() for n in sorted(want) if n.startswith("bin/")] == [f"\0\1{p}\n\0".encode() for p in sorted(ids, key=str) if p % 9 == 7]
+    sizes = [sum(not x.startswith("src/") for x in run("ls-tree", "-r", "-z", "--name-only", c).split("\0") if x) for c in run("rev-list", "HEAD").split()[1:]]
+    assert max(sizes, default=0) <= 42  # the files of two spans
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    log = list(git.commits(root))
+    got = [(message, path, old, added, removed, int(rename)) for *_, message, changes in log for path, old, added, removed, rename in changes]
+    assert sorted(got) == sorted(con.execute(repository_queries.SQL["history_changes"]).fetchall())
+    got = [(name, email, int(at.timestamp()), message) for _, name, email, at, message, _ in log]
+    assert sorted(got) == sorted(con.execute(repository_queries.SQL["history_commits"]).fetchall())
