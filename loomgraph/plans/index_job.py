@@ -145,7 +145,7 @@ def index_repository(
             about = kept.select("lines", "nodes", "edges", "symbols", "parsed").union(_per_source(rows, hashes, version).select("lines", "nodes", "edges", "symbols", "parsed"))
             count = about.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lines", "nodes", "edges", "symbols")], F.count("*").alias("files"), F.count_if(~F.col("parsed")).alias("bad"))
             row = count.first()
-            reasons += git.count_reasons(root, commits.count(), changes.count())
+            reasons += git.count_reasons(root, commits.count(), changes.count(), spark)
             reasons += density_reasons(count.select("files", "symbols", "lines"))
             if row["bad"]:
                 reasons.append(f"{row['bad']} of {row['files']} files don't parse")

@@ -75,23 +75,32 @@ def commits(root: str | Path, *which: str) -> Iterator[tuple]:
         yield name, author, email, datetime.fromtimestamp(int(at), timezone.utc), message, list(_changes(iter(fields)))
 
 
+def count_names(root: str | Path, *which: str) -> int:
+    """How many changed paths git names in the commits that a log lists."""
+    return sum(1 for name in streamed(root, *_LOG, "--name-only", "--format=", *which, mark=b"\0") if name.strip())
+
+
 class GitHistory(DataSource):
-    """Options: path, the repository; range, commits a partition, at least; most, partitions at most."""
+    """Options: path, the repository; range, commits a partition, at least; most, partitions at most;
+    counted: true for the number of changed paths of each range, as git names them, instead of commits."""
 
     @classmethod
     def name(cls) -> str:
         return "git_history"
 
+    def _counted(self) -> bool:
+        return self.options.get("counted", "false") == "true"
+
     def schema(self) -> str:
-        return COMMIT
+        return "changes bigint" if self._counted() else COMMIT
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("range", RANGE)), int(self.options.get("most", 64)))
+        return _Reader(self.options["path"], int(self.options.get("range", RANGE)), int(self.options.get("most", 64)), self._counted())
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, size: int, most: int):
-        self.root, self.size, self.most = root, size, most
+    def __init__(self, root: str, size: int, most: int, counted: bool = False):
+        self.root, self.size, self.most, self.counted = root, size, most, counted
 
     def partitions(self) -> list[InputPartition]:
         # the log is read up to the commit that is the head now, whatever is committed meanwhile
@@ -102,15 +111,25 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         head, at, size = partition.value
-        return commits(self.root, f"--skip={at}", f"--max-count={size}", head)
+        which = f"--skip={at}", f"--max-count={size}", head
+        return iter([(count_names(self.root, *which),)]) if self.counted else commits(self.root, *which)
 
 
-def read_commits(spark: SparkSession, root: str | Path, size: int = RANGE) -> DataFrame:
-    """The history without merges, a row a commit. size: commits a partition, at least."""
+def _history(spark: SparkSession, root: str | Path, size: int, **options: str) -> DataFrame:
     ship(spark)
     spark.dataSource.register(GitHistory)
     most = RANGES * spark.sparkContext.defaultParallelism
-    return spark.read.format("git_history").option("range", size).option("most", most).load(str(root))
+    return spark.read.format("git_history").options(range=size, most=most, **options).load(str(root))
+
+
+def read_commits(spark: SparkSession, root: str | Path, size: int = RANGE) -> DataFrame:
+    """The history without merges, a row a commit. size: commits a partition, at least."""
+    return _history(spark, root, size)
+
+
+def counted_changes(spark: SparkSession, root: str | Path, size: int = RANGE) -> DataFrame:
+    """changes: how many paths git names as changed, a row a range of commits."""
+    return _history(spark, root, size, counted="true")
 
 
 def tables_of(history: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +141,9 @@ def tables_of(history: DataFrame, project: str) -> tuple[DataFrame, DataFrame]:
     return history.select(whose, "hash", "author_name", "author_email", "committed_at", "message"), changes
 
 
-def count_reasons(root: str | Path, commits: int, changes: int) -> list[str]:
-    """Where git's own counts differ from those of the tables; nothing if all agree."""
-    expected = {"commits": (commits, int(git(root, "rev-list", "--no-merges", "--count", "HEAD"))), "changes": (changes, sum(1 for name in streamed(root, *_LOG, "--name-only", "--format=", mark=b"\0") if name.strip()))}
+def count_reasons(root: str | Path, commits: int, changes: int, spark: SparkSession | None = None) -> list[str]:
+    """Where git's own counts differ from those of the tables; nothing if all agree. With a session, ranges
+    are counted where they are read."""
+    named = counted_changes(spark, Path(root).resolve()).agg(F.sum("changes")).first()[0] if spark else count_names(root)
+    expected = {"commits": (commits, int(git(root, "rev-list", "--no-merges", "--count", "HEAD"))), "changes": (changes, named)}
     return [f"history: {ours} {what} read, git counts {theirs}" for what, (ours, theirs) in expected.items() if ours != theirs]

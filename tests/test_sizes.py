@@ -121,3 +121,15 @@ def test_trees_of_the_pages_are_bounded_and_the_last_is_whole(spark, tmp_path, i
     assert sorted(got) == sorted(con.execute(repository_queries.SQL["history_changes"]).fetchall())
     got = [(name, email, int(at.timestamp()), message) for _, name, email, at, message, _ in log]
     assert sorted(got) == sorted(con.execute(repository_queries.SQL["history_commits"]).fetchall())
+
+
+def test_changes_are_counted_in_ranges(spark, repository):
+    root, run = repository
+    for k in range(20):
+        (root / "a.py").write_text(f"x = {k}\n")
+        run("commit", "-qam", f"e{k}")
+    counted = git.counted_changes(spark, root, 3)
+    parts = [r["changes"] for r in counted.collect()]
+    assert len(parts) == 8 and sum(parts) == git.count_names(root) == 24
+    assert git.count_reasons(root, 22, 24, spark) == git.count_reasons(root, 22, 24) == []
+    assert git.count_reasons(root, 22, 23, spark) == git.count_reasons(root, 22, 23) == ["history: 23 changes read, git counts 24"]
